@@ -32,8 +32,11 @@ def carry_in(
         .orderBy("_piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    fold = F.max("_own") if running == "max" else F.coalesce(F.sum("_own"), F.lit(0))
-    return per_piece.select(*keys, "_piece", fold.over(before).alias(name))
+    if running == "max":
+        carried = F.max("_own").over(before)
+    else:
+        carried = F.coalesce(F.sum("_own").over(before), F.lit(0))
+    return per_piece.select(*keys, "_piece", carried.alias(name))
 
 
 def ranked(

@@ -21,9 +21,9 @@ _TRIPLE = ["ip_version", "masklen", "net_key"]
 
 def network_keys(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
     """``networks`` with ``ip_version, masklen, net_key``; unreadable networks drop out."""
+    # generated rather than filtered, so the text is parsed once per network
     return (
-        networks.withColumn("_net", cidr_struct(F.col(cidr)))
-        .filter(F.col("_net").isNotNull())
+        networks.withColumn("_net", F.explode(F.array_compact(F.array(cidr_struct(F.col(cidr))))))
         .select(
             *networks.columns, F.col("_net.ip_version"), F.col("_net.masklen"), F.col("_net.net_key")
         )
@@ -58,10 +58,11 @@ def _probes(df: DataFrame, hex_col: str, lengths: DataFrame, identity: str) -> D
 
 
 def _salted(keyed: DataFrame) -> DataFrame:
+    zero, last = F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")
     salts = F.when(
-        _wide(F.col("ip_version"), F.col("masklen")), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    return keyed.withColumn("_salt", F.explode(salts).cast("bigint"))
+        _wide(F.col("ip_version"), F.col("masklen")), F.sequence(zero, last)
+    ).otherwise(F.array(zero))
+    return keyed.withColumn("_salt", F.explode(salts))
 
 
 def _distinct_addresses(df: DataFrame, column: str) -> DataFrame:
@@ -69,8 +70,7 @@ def _distinct_addresses(df: DataFrame, column: str) -> DataFrame:
         df.filter(F.col(column).isNotNull())
         .select(F.col(column).alias("address"))
         .distinct()
-        .withColumn("_hex", ip_hex(F.col("address")))
-        .filter(F.col("_hex").isNotNull())
+        .withColumn("_hex", F.explode(F.array_compact(F.array(ip_hex(F.col("address"))))))
     )
 
 
