@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.scoring import ESCALATION_RULES, case_severity, case_title, entity_key
 from netquarry.operators.pieces import MICRO, carry_in, ranked, with_piece
+from netquarry.session import materialize
 
 HOUR = 3600
 
@@ -109,7 +110,8 @@ def _split_islands(rows: DataFrame, keys: Sequence[str], rules: GapRules) -> Dat
     keys = list(keys)
     group = [*keys, "_island"]
     placed = ranked(rows, group, ["_s", "_e", "_id"], "_s", rules.piece_seconds)
-    blocks = _blocks(placed.select(*group, "_s", "_e", "_id", "_rank"), group, rules)
+    # read twice: once for the blocks' answers, once to mark the starts
+    blocks = materialize(_blocks(placed.select(*group, "_s", "_e", "_id", "_rank"), group, rules))
     size, max_n = rules.block_rows, rules.max_n
     gap, span = rules.gap_seconds * MICRO, rules.max_span_seconds * MICRO
     key_ddl = ", ".join(f"{c} {t}" for c, t in rows.select(*group).dtypes)
@@ -207,7 +209,7 @@ def gap_groups(
         F.unix_micros(end).alias("_e"),
         F.col(row_id).alias("_id"),
     )
-    numbered = islands(rows, keys, rules)
+    numbered = materialize(islands(rows, keys, rules))
     group = [*keys, "_island"]
     over = (
         numbered.groupBy(*group)
@@ -220,11 +222,14 @@ def gap_groups(
         )
         .select(*group)
     )
+    over = materialize(over)
     whole = numbered.join(over, group, "left_anti").select(
         *group, "_id", F.lit(1).cast("bigint").alias("_part")
     )
-    cut = _split_islands(numbered.join(over, group, "left_semi"), keys, rules)
-    return whole.unionByName(cut.select(*group, "_id", "_part")).select(
+    if not over.isEmpty():
+        cut = _split_islands(numbered.join(over, group, "left_semi"), keys, rules)
+        whole = whole.unionByName(cut.select(*group, "_id", "_part"))
+    return whole.select(
         *keys,
         F.col("_id").alias(row_id),
         F.col("_island").alias("island"),
@@ -241,8 +246,8 @@ def propose_cases(
     keyed = alerts.withColumn(
         "correlation_key", entity_key(F.col("entity_type"), F.col("entity_value"))
     )
-    members = gap_groups(
-        keyed, ["correlation_key"], "first_seen", "last_seen", "alert_id", rules
+    members = materialize(
+        gap_groups(keyed, ["correlation_key"], "first_seen", "last_seen", "alert_id", rules)
     )
     proposals = severity_rollup(
         members.join(keyed.drop("correlation_key"), "alert_id"),

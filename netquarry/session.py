@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "netquarry", master: str | None = None, **extra: str) -> SparkSession:
@@ -46,3 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = os.path.join(tempfile.mkdtemp(prefix="netquarry-"), "checkpoints")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and go on from there. For
+    results that several later steps read: they are computed once, and a lost executor costs a
+    re-read instead of the whole lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
