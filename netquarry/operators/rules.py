@@ -31,6 +31,7 @@ from netquarry.operators.pieces import (
     sample_contributors,
     smallest_k,
 )
+from netquarry.session import materialize
 
 # fixed values
 SATURATION = 3.0
@@ -148,6 +149,12 @@ def _strings(values: Column) -> Column:
     return F.coalesce(values, F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
+def _firing(rows: DataFrame, fired: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The contributors of the groups that fired. ``fired`` has been stored and is small beside
+    the events, so this is a filter on the scan rather than a second aggregation."""
+    return rows.join(fired.select(*keys), list(keys), "left_semi")
+
+
 def _finish(
     rule: Rule,
     fired: DataFrame,
@@ -168,10 +175,10 @@ def _finish(
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<event_id: STRING, role: STRING>>)")
     if detail:
         # only groups that fired are ranked
-        chosen = rows.join(fired.select(*keys), keys, "left_semi")
+        fired = materialize(fired)
         columns = [*keys, "_us", "id"] + ([peak] if peak else [])
         samples = sample_contributors(
-            chosen.select(*columns),
+            _firing(rows, fired, keys).select(*columns),
             keys,
             "_us",
             "id",
@@ -252,7 +259,8 @@ def detect_port_scan(
         .withColumn("signal", _signal(ratio))
         .withColumn("confidence", _share(F.col("unanswered"), F.col("event_count")))
     )
-    touched = targets.join(fired.select(*keys), keys, "left_semi")
+    fired = materialize(fired)
+    touched = _firing(rows, fired, keys)
     fired = fired.join(
         smallest_k(touched, keys, "dest_port", 20, "sample_ports"), keys, "left"
     ).join(smallest_k(touched, keys, "dest_ip", 10, "sample_hosts"), keys, "left")
@@ -315,14 +323,22 @@ def detect_auth_burst(
         F.min("lo").alias("first_us"),
         F.max("hi").alias("last_us"),
     )
-    enough = tallies.filter(F.col("event_count") >= params.failures)
+    enough = materialize(tallies.filter(F.col("event_count") >= params.failures))
+    spans = densest_span(_firing(rows, enough, keys), keys, "_us", params.burst_seconds)
     fired = (
-        enough.join(densest_span(rows, keys, "_us", params.burst_seconds), keys)
+        enough.join(spans, keys)
         .filter(F.col("max_burst") >= need)
         .withColumn("signal", _signal(F.col("max_burst") / need))
         .withColumn("confidence", _share(F.col("max_burst"), F.col("event_count")))
     )
-    touched = parts.join(fired.select(*keys), keys, "left_semi")
+    fired = materialize(fired)
+    touched = _firing(
+        rows.withColumns(
+            {"target": target, "signature_id": F.col("sig_signature_id"), "category": category}
+        ),
+        fired,
+        keys,
+    )
     for value, k, name in (
         ("target", 10, "sample_targets"),
         ("signature_id", 10, "signature_ids"),
@@ -490,11 +506,11 @@ def detect_beaconing(
     fine = [*keys, "_dest"]
     piece = max(1, rule.window_seconds // PIECES_PER_WINDOW)
     stats = interval_stats(rows, fine, "_us", piece)
-    beacons = stats.filter(
+    beacons = materialize(stats.filter(
         (F.col("connections") >= params.min_connections)
         & (F.col("mean_interval") >= params.min_interval_seconds)
         & (F.col("jitter") <= params.max_jitter)
-    ).withColumn("jitter", F.bround("jitter", 4))
+    ).withColumn("jitter", F.bround("jitter", 4)))
     rank = F.struct("jitter", (-F.col("connections")).alias("c"), "_dest")
     sources = (
         beacons.groupBy(*keys)
@@ -617,7 +633,8 @@ def detect_volume_anomaly(
             ),
         )
     )
-    touched = parts.join(fired.select(*keys), keys, "left_semi")
+    fired = materialize(fired)
+    touched = _firing(rows, fired, keys)
     fired = fired.join(smallest_k(touched, keys, "dest_ip", 10, "sample_dests"), keys, "left")
     evidence = [
         F.col("bytes_out"),
