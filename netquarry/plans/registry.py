@@ -38,5 +38,6 @@ def load_all() -> None:
         detect_queries,
         ingest_queries,
         join_queries,
+        stream_queries,
         text_queries,
     )
