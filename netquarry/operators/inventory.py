@@ -99,7 +99,8 @@ def upsert_assets(
     active = networks.join(
         assets.filter("is_active").select("asset_id"), "asset_id", "left_semi"
     )
-    clashes = network_overlaps(fresh_nets, active, exclude=identified.select("asset_id"))
+    sound = fresh_nets.join(alone.select("hostname").distinct(), "hostname", "left_anti")
+    clashes = network_overlaps(sound, active, exclude=identified.select("asset_id"))
     overlapping = (
         clashes.join(identified.select("asset_id", "hostname"), "asset_id")
         .select("hostname", F.lit("network overlap").alias("problem"))

@@ -12,7 +12,7 @@ from netquarry.plans import adapters as A
 from netquarry.plans.registry import query
 from netquarry.sources.datasets import corpus_profile
 from netquarry.sources.ingest import Provenance, ingest
-from netquarry.sources.normalize import normalize
+from netquarry.sources.normalize import judge_lines, normalize, outcomes_of
 
 AS_OF = "2026-09-05 12:00:00"
 STAMP = "2026-09-01T10:00:00.000000+0000"
@@ -52,9 +52,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT event_id AS line_number, {_REASONS_SQL}[event_id % 12 + 1] AS outcome FROM events",
 )
 def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, rejects = normalize(raw_lines(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
-    return events.select("line_number", F.lit("event").alias("outcome")).unionByName(
-        rejects.select("line_number", F.col("reason_code").alias("outcome"))
+    judged = judge_lines(raw_lines(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return outcomes_of(judged).select(
+        "line_number", F.coalesce("reason_code", F.lit("event")).alias("outcome")
     )
 
 
