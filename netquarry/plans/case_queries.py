@@ -537,7 +537,7 @@ def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-def _sweep(spark: SparkSession, sf_dir: str):
+def _sweep(spark: SparkSession, sf_dir: str, rules=None):
     nets = A.networks(spark, sf_dir)
     stored = nets.filter(F.col("cidr").endswith("/32")).select(
         "asset_id",
@@ -550,7 +550,7 @@ def _sweep(spark: SparkSession, sf_dir: str):
     )
     start = datetime.fromtimestamp(A.BASE, tz=UTC)
     end = datetime.fromtimestamp(A.BASE + 7200, tz=UTC)
-    return sweep(_everything(spark, sf_dir), start, end, nets, stored)
+    return sweep(_everything(spark, sf_dir), start, end, nets, stored, rules=rules)
 
 
 @query("sweep_alerts")
@@ -563,3 +563,38 @@ def q_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, _, runs = _sweep(spark, sf_dir)
     return runs.select("rule_id", "status", "events_examined", "alerts_created")
+
+
+# Three rules whose firing is plain SQL, scored with the criticality of the resolved asset.
+_SCORED_SQL = f"""
+WITH {A.FLOWS_SQL}, {A.AUTH_SQL}, {A.NETWORKS_SQL},
+a AS (SELECT DISTINCT src AS address, src_num AS num FROM flows
+      UNION SELECT DISTINCT {A.dotted_sql(f"{A.SITE} + user_id % 40")}, {A.SITE} + user_id % 40 FROM events WHERE event_type = 'error'),
+m AS (SELECT address, asset_id, criticality,
+             row_number() OVER (PARTITION BY address ORDER BY masklen DESC, is_primary DESC, born, asset_id) AS r
+      FROM a JOIN networks ON num BETWEEN lo AND hi WHERE is_active),
+d1 AS (SELECT 'D-001' AS rule_id, src, t - t % 600 AS b, count(*) AS n,
+              greatest(count(DISTINCT dest_port) / 20.0, count(DISTINCT dest) / 15.0) AS ratio
+       FROM flows GROUP BY src, t - t % 600
+       HAVING count(*) >= 20 AND (count(DISTINCT dest_port) >= 20 OR count(DISTINCT dest) >= 15)),
+w AS (SELECT *, t - t % 600 AS b, count(*) OVER (PARTITION BY src, t - t % 600 ORDER BY t RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) AS burst
+      FROM auth),
+d2 AS (SELECT 'D-002' AS rule_id, src, b, count(*) AS n, max(burst) / 10.0 AS ratio FROM w GROUP BY src, b HAVING max(burst) >= 10),
+d5 AS (SELECT 'D-005' AS rule_id, src, t - t % 3600 AS b, count(*) AS n, CAST(sum(bytes_out) AS DOUBLE) / 1e10 AS ratio
+       FROM flows JOIN m ON src = address AND r = 1 AND asset_id LIKE 'host-%' WHERE bytes_out > 0
+       GROUP BY src, t - t % 3600 HAVING sum(bytes_out) >= 1e10),
+f AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d5)
+SELECT rule_id || ':src_ip=' || src || ':' || strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS dedup_key,
+       n AS event_count,
+       CAST(least(5, greatest(1, floor(3 + 0.5 * (coalesce(criticality, 3) - 3)
+            + 2 * (round_even(least(1.0, ratio / 3.0), 4) - 0.5) + 0.5))) AS INTEGER) AS severity
+FROM f LEFT JOIN m ON src = address AND r = 1"""
+
+
+@query("sweep_scored", _SCORED_SQL)
+def q_sweep_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquarry.operators.rules import RULES
+
+    chosen = [RULES[r] for r in ("D-001", "D-002", "D-005")]
+    alerts, _, _, _ = _sweep(spark, sf_dir, chosen)
+    return alerts.select("dedup_key", "event_count", "severity")
