@@ -67,7 +67,9 @@ def pseudonymize(
     A case's tokens are at most 201, so they travel to its texts as one map per case; the texts
     are neither exploded nor regrouped."""
     keep = [case, *order] + ([subject] if subject else [])
-    seen = df.select(*keep, F.posexplode(names_in_text(F.col(column))).alias("_pos", "_value"))
+    # a name repeated in one text keeps its first place
+    names = F.array_distinct(names_in_text(F.col(column)))
+    seen = df.select(*keep, F.posexplode(names).alias("_pos", "_value"))
     tokens = token_numbers(seen, case, "_value", [*order, "_pos"], subject)
     maps = tokens.groupBy(case).agg(
         F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_map")
