@@ -7,7 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.llm import chunk_codec, packing, token_orc
+from netquarry.llm import (
+    chunk_codec,
+    line_dedup,
+    packing,
+    repetition,
+    secret_ledger,
+    simhash_gray,
+    token_orc,
+)
 from netquarry.llm.staging import documents
 from netquarry.session import utc
 
@@ -30,6 +38,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.round_trip(documents(spark, sf_dir))
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.occurrences(documents(spark, sf_dir)).drop("row_key")
+
+
+@query("op5_repetition")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(documents(spark, sf_dir))
+
+
 @query("op7_token_orc")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.store_and_read(documents(spark, sf_dir))
@@ -38,3 +56,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query("op9_secret_ledger")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.secrets(documents(spark, sf_dir))
+
+
+@query("op10_simhash_gray")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(documents(spark, sf_dir))
