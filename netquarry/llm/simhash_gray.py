@@ -344,3 +344,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(of_code, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id; of repeated
+    rows with that id one stays. Rows without a doc_id cannot be told apart and all stay."""
+    kept = (
+        near_duplicates(docs, radius)
+        .filter(F.col("doc_id") == F.col("component_id"))
+        .select(F.col("doc_id").alias("kept_id"))
+        .distinct()
+    )
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
