@@ -162,9 +162,9 @@ def shared_ids(rows: DataFrame, chunks: DataFrame, vocabulary: str) -> DataFrame
         encoder = byte_level(vocabulary)
         for batch in batches:
             keys, ids = [], []
-            for text, wanted in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for text, wanted in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
                 left = set(wanted)
-                for chunk in chunk_texts(text):
+                for chunk in chunk_texts(text or ""):
                     key = chunk_key(chunk)
                     if key in left:
                         left.discard(key)
@@ -174,11 +174,11 @@ def shared_ids(rows: DataFrame, chunks: DataFrame, vocabulary: str) -> DataFrame
                 [pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], schema=SHARED
             )
 
-    held = rows.join(wanted, "row_key", "right").filter(F.col("text").isNotNull())
+    # the same columns and no filter, so that the exchange of the texts is the one that
+    # encode_documents() needs, and Spark runs it once
+    held = rows.join(wanted, "row_key", "right").select("doc_id", "text", "wanted")
     # a repeated row would encode its chunks twice
-    return (
-        held.select("text", "wanted").mapInArrow(encode, SHARED_DDL).dropDuplicates(["chunk"])
-    )
+    return held.mapInArrow(encode, SHARED_DDL).dropDuplicates(["chunk"])
 
 
 def with_shared(docs: DataFrame, vocabulary: str) -> DataFrame:

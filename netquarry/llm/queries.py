@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netquarry.llm import (
     chunk_codec,
+    langid,
     line_dedup,
     packing,
     repetition,
     secret_ledger,
     simhash_gray,
     token_orc,
+    toxicity,
 )
 from netquarry.llm.staging import documents
 from netquarry.session import utc
@@ -38,6 +40,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.round_trip(documents(spark, sf_dir))
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels)
+
+
+@query("op3_langid")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.occurrences(documents(spark, sf_dir)).drop("row_key")

@@ -25,14 +25,16 @@ FOLDS = 5
 BUCKETS = 1 << 14
 WIDTH = 8
 GRAMS = (3, 4, 5)
-DECAY = 0.0
-#: Bound of the training sample: labelled documents of each class, those with the lowest hash
-#: among the ones of at most so many characters.
-PER_CLASS = 1500
+#: Bound of the training sample: labelled documents of class 0 and of class 1, those with the
+#: lowest hash among the ones of at most so many characters.
+SAMPLE = (3000, 1500)
 TRAIN_CHARS = 20_000
-EPOCHS = 15
+STEPS = 350
 BATCH = 128
 RATE = 0.03
+DECAY = 1.0
+#: How much the mean is scaled before the softmax: it is over many rows of which few tell.
+SCALE = 30.0
 WORD = re.compile(r"[^\W_]+")
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -78,13 +80,15 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Adam on the cross-entropy of the softmax. A class that is rarer weighs as much as it is
-    rare, so the score is a probability in the sample."""
+    """Adam with weight decay on the cross-entropy of the softmax. Where class 1 is rarer than half
+    of class 0, its documents weigh as if it were not."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         sure = 40.0 if labels and labels[0] == 1 else -40.0
         return Model(np.zeros(BUCKETS), sure)
+    weight = np.ones(len(y), dtype=np.float32)
+    weight[y == 1] = max(1.0, (y == 0).sum() / (2 * (y == 1).sum()))
     found = bags(texts)
     used = np.unique(np.concatenate([rows for rows, _ in found]))
     place = np.zeros(BUCKETS, dtype=np.int64)
@@ -96,43 +100,37 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     ]
     means = [np.zeros_like(p) for p in parameters]
     squares = [np.zeros_like(p) for p in parameters]
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
-            x = np.zeros((len(chosen), len(used)), dtype=np.float32)
-            for i, k in enumerate(chosen):
-                rows, share = found[k]
-                x[i, place[rows]] = share
-            table, top, bias = parameters
-            # the mean is over many rows of which few tell: scale it to the size of one
-            hidden = SCALE * (x @ table)
-            logits = hidden @ top + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(chosen)), y[chosen]] -= 1
-            p /= len(chosen)
-            gradients = [SCALE * (x.T @ (p @ top.T)), hidden.T @ p, p.sum(axis=0)]
-            step += 1
-            for k, g in enumerate(gradients):
-                means[k] += 0.1 * (g - means[k])
-                squares[k] += 0.001 * (g * g - squares[k])
-                change = (means[k] / (1 - 0.9**step)) / (
-                    np.sqrt(squares[k] / (1 - 0.999**step)) + 1e-8
-                )
-                parameters[k] -= rate * (change + (DECAY * parameters[k] if k < 2 else 0))
+    order = np.zeros(0, dtype=np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(y))])
+        chosen, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - (step - 1) / STEPS)
+        x = np.zeros((len(chosen), len(used)), dtype=np.float32)
+        for i, k in enumerate(chosen):
+            rows, share = found[k]
+            x[i, place[rows]] = share
+        table, top, bias = parameters
+        hidden = SCALE * (x @ table)
+        logits = hidden @ top + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(chosen)), y[chosen]] -= 1
+        p *= (weight[chosen] / weight[chosen].sum())[:, None]
+        gradients = [SCALE * (x.T @ (p @ top.T)), hidden.T @ p, p.sum(axis=0)]
+        for k, g in enumerate(gradients):
+            means[k] += 0.1 * (g - means[k])
+            squares[k] += 0.001 * (g * g - squares[k])
+            change = (means[k] / (1 - 0.9**step)) / (
+                np.sqrt(squares[k] / (1 - 0.999**step)) + 1e-8
+            )
+            parameters[k] -= rate * (change + (DECAY * parameters[k] if k < 2 else 0))
     table, top, bias = (p.astype(np.float64) for p in parameters)
     weights = np.zeros(BUCKETS)
     weights[used] = SCALE * (table @ (top[:, 1] - top[:, 0]))
     return Model(weights, float(bias[1] - bias[0]))
 
 
-#: How much the mean is scaled before the softmax.
-SCALE = 10.0
-
-
 def fold(doc_id: str, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
@@ -149,13 +147,13 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     rows: list = []
-    for label in (0, 1):
+    for label, bound in enumerate(SAMPLE):
         # the ids are chosen first, so that only their texts are fetched
         chosen = (
             known.filter(F.col("label") == label)
             .join(texts.select("doc_id"), "doc_id", "left_semi")
             .orderBy(F.xxhash64("doc_id"), "doc_id")
-            .limit(PER_CLASS)
+            .limit(bound)
         )
         rows += (
             texts.join(F.broadcast(chosen), "doc_id")
