@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.staging import stage_path
+from netquarry.llm.staging import stage, stage_path
 
 OPEN, MIDDLE, CLOSE, OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
 NO_PATH = -(1 << 63)
@@ -210,9 +210,11 @@ def secrets(
     ledger = ledger or stage_path(docs.sparkSession, "secrets", "ledger")
     findings, _ = scan(rows, ledger, rules)
     none = F.lit(0).cast("long")
+    # stored, so that the join's sides are both plain exchanges and Spark can split a hot blob
+    found = stage(digests(findings, rules), "secret-digests")
     return (
         rows.select("doc_id", "blob")
-        .join(digests(findings, rules), "blob", "left")
+        .join(found, "blob", "left")
         .select(
             "doc_id",
             *(F.coalesce(f"n_{r.kind}", none).alias(f"n_{r.kind}") for r in BASE),
@@ -260,8 +262,9 @@ def redacted(
     masked = F.when(spans.isNull(), text).otherwise(
         F.concat(F.concat_ws("", F.transform(spans, lead)), rest)
     )
+    spans_of = stage(merged_spans(findings), "secret-spans")
     keyed = docs.alias("d").join(
-        merged_spans(findings).alias("s"), blob_of(F.col("d.text")) == F.col("s.blob"), "left"
+        spans_of.alias("s"), blob_of(F.col("d.text")) == F.col("s.blob"), "left"
     )
     return keyed.select(
         *(masked.alias(c) if c == "text" else column
