@@ -32,7 +32,9 @@ TRAIN_CHARS = 20_000
 STEPS = 350
 BATCH = 128
 RATE = 0.03
-DECAY = 1.0
+#: Weight decay with a full sample; a smaller one needs more, up to four times this.
+DECAY = 0.5
+LEAST_TEXTS = 3
 #: How much the mean is scaled before the softmax: it is over many rows of which few tell.
 SCALE = 30.0
 WORD = re.compile(r"[^\W_]+")
@@ -79,6 +81,17 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def rarity(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How much each table row counts: 3 where few texts of the sample have it, 0 where all do or
+    fewer than ``LEAST_TEXTS``."""
+    texts = np.zeros(BUCKETS)
+    for rows, _ in found:
+        texts[rows] += 1
+    n = max(2, len(found))
+    share = np.maximum(texts, 1) / n
+    return np.where(texts < LEAST_TEXTS, 0.0, 3.0 * -np.log(share) / np.log(n))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Adam with weight decay on the cross-entropy of the softmax. Where class 1 is rarer than half
     of class 0, its documents weigh as if it were not."""
@@ -89,7 +102,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS), sure)
     weight = np.ones(len(y), dtype=np.float32)
     weight[y == 1] = max(1.0, (y == 0).sum() / (2 * (y == 1).sum()))
+    decay = DECAY * min(4.0, max(1.0, sum(SAMPLE) / len(y)) ** 0.5)
     found = bags(texts)
+    rare = rarity(found)
     used = np.unique(np.concatenate([rows for rows, _ in found]))
     place = np.zeros(BUCKETS, dtype=np.int64)
     place[used] = np.arange(len(used))
@@ -109,7 +124,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         x = np.zeros((len(chosen), len(used)), dtype=np.float32)
         for i, k in enumerate(chosen):
             rows, share = found[k]
-            x[i, place[rows]] = share
+            x[i, place[rows]] = share * rare[rows]
         table, top, bias = parameters
         hidden = SCALE * (x @ table)
         logits = hidden @ top + bias
@@ -124,10 +139,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             change = (means[k] / (1 - 0.9**step)) / (
                 np.sqrt(squares[k] / (1 - 0.999**step)) + 1e-8
             )
-            parameters[k] -= rate * (change + (DECAY * parameters[k] if k < 2 else 0))
+            parameters[k] -= rate * (change + (decay * parameters[k] if k < 2 else 0))
     table, top, bias = (p.astype(np.float64) for p in parameters)
     weights = np.zeros(BUCKETS)
-    weights[used] = SCALE * (table @ (top[:, 1] - top[:, 0]))
+    weights[used] = SCALE * rare[used] * (table @ (top[:, 1] - top[:, 0]))
     return Model(weights, float(bias[1] - bias[0]))
 
 
