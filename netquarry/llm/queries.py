@@ -11,6 +11,7 @@ from netquarry.llm import (
     chunk_codec,
     langid,
     line_dedup,
+    nn_descent,
     packing,
     repetition,
     secret_ledger,
@@ -61,6 +62,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+@query("op6_nn_descent")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op7_token_orc")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.store_and_read(documents(spark, sf_dir))
