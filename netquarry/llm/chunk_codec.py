@@ -20,20 +20,31 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.encoders import WHITE_SPACE, byte_level
+from netquarry.llm.encoders import WHITE_SPACE, ByteLevel, byte_level
 from netquarry.llm.staging import stage
 
 VOCABULARY = "byte_bpe_50k.json"
 SPAN = 32
 MULTIPLIER = 0x9E3779B1
-BITS = 9
+BITS = 10
 LEAST, MOST = 64, 8192
+#: Rows of a batch that are taken apart at once.
+SLICE = 500
 #: Where white space follows something else; no token reaches across such a place.
 BOUNDARY = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
 
+ROWS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        pa.field("row_key", pa.int64(), nullable=False),
+        ("packed", pa.binary()),
+    ]
+)
+ROWS_DDL = "doc_id long, row_key long not null, packed binary"
 CHUNKS = pa.schema([("row_key", pa.int64()), ("keys", pa.list_(pa.binary()))])
 CHUNKS_DDL = "row_key long, keys array<binary>"
 SHARED = pa.schema([("chunk", pa.binary()), ("ids", pa.binary())])
@@ -135,17 +146,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("row_key"))
 
 
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """doc_id, row_key, packed: the texts as they are shuffled, compressed one by one."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                packed = [compress((t or "").encode()) for t in part[2].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part[0], part[1], pa.array(packed, pa.binary())], schema=ROWS
+                )
+
+    return rows.select("doc_id", "row_key", "text").mapInArrow(pack, ROWS_DDL)
+
+
 def corpus_chunks(rows: DataFrame) -> DataFrame:
     """row_key, keys: the chunk keys of each text, in order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [
-                [chunk_key(c) for c in chunk_texts(t)] if t else [] for t in batch[1].to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array(keys, pa.list_(pa.binary()))], schema=CHUNKS
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys = [
+                    [chunk_key(c) for c in chunk_texts(t)] if t else []
+                    for t in part[1].to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part[0], pa.array(keys, pa.list_(pa.binary()))], schema=CHUNKS
+                )
 
     return rows.select("row_key", "text").mapInArrow(cut, CHUNKS_DDL)
 
@@ -160,39 +190,45 @@ def shared_ids(rows: DataFrame, chunks: DataFrame, vocabulary: str) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(vocabulary)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keys, ids = [], []
-            for text, wanted in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-                left = set(wanted)
-                for chunk in chunk_texts(text or ""):
-                    key = chunk_key(chunk)
-                    if key in left:
-                        left.discard(key)
-                        keys.append(key)
-                        ids.append(encoder.encode(chunk))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], schema=SHARED
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys, ids = [], []
+                for packed, wanted in zip(part[1].to_pylist(), part[2].to_pylist(), strict=True):
+                    left = set(wanted)
+                    for chunk in chunk_texts(unpack(packed).decode() if packed else ""):
+                        key = chunk_key(chunk)
+                        if key in left:
+                            left.discard(key)
+                            keys.append(key)
+                            ids.append(encoder.encode(chunk))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], schema=SHARED
+                )
 
     # the same columns and no filter, so that the exchange of the texts is the one that
-    # encode_documents() needs, and Spark runs it once
-    held = rows.join(wanted, "row_key", "right").select("doc_id", "text", "wanted")
+    # with_shared() needs, and Spark runs it once
+    held = rows.join(wanted, "row_key", "right").select("doc_id", "packed", "wanted")
     # a repeated row would encode its chunks twice
     return held.mapInArrow(encode, SHARED_DDL).dropDuplicates(["chunk"])
 
 
 def with_shared(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, text, stored: the keys and ids of the shared chunks that the text holds."""
-    rows = keyed(docs)
-    chunks = stage(corpus_chunks(rows), "chunks")
+    """doc_id, packed, keys, ids: each text, and the keys and ids of the shared chunks in it."""
+    texts = keyed(docs)
+    chunks = stage(corpus_chunks(texts), "chunks")
+    rows = packed_rows(texts)
     ids = shared_ids(rows, chunks, vocabulary)
-    places = chunks.select("row_key", F.explode("keys").alias("chunk")).distinct()
+    places = chunks.select("row_key", F.explode(F.array_distinct("keys")).alias("chunk"))
     stored = (
         places.join(ids, "chunk")
         .groupBy("row_key")
         .agg(F.collect_list(F.struct("chunk", "ids")).alias("stored"))
     )
-    return rows.join(stored, "row_key", "left").select("doc_id", "text", "stored")
+    return rows.join(stored, "row_key", "left").select(
+        "doc_id", "packed", "stored.chunk", "stored.ids"
+    )
 
 
 def encode_text(text: str, stored: dict[bytes, bytes], encode: Callable[[str], bytes]):
@@ -219,22 +255,33 @@ def encode_text(text: str, stored: dict[bytes, bytes], encode: Callable[[str], b
     return stitch(parts, encode), reused
 
 
+def encoded_parts(
+    batches: Iterator[pa.RecordBatch], encoder: ByteLevel
+) -> Iterator[tuple[pa.Array, list[bytes], list[int]]]:
+    """Ids of documents, their packed token ids and the numbers of chunks reused, from the rows of
+    :func:`with_shared`."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            found = [
+                encode_text(
+                    unpack(packed).decode(), dict(zip(keys or (), ids or (), strict=True)),
+                    encoder.encode,
+                )
+                for packed, keys, ids in zip(*(part[i].to_pylist() for i in (1, 2, 3)), strict=True)
+            ]
+            yield part[0], [ids for ids, _ in found], [n for _, n in found]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (packed 16-bit), n_reused. Null and empty texts have no ids; extra columns are
     ignored; repeated rows are encoded as often as they occur."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(vocabulary)
-        for batch in batches:
-            ids, reused = [], []
-            for text, stored in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-                known = {s["chunk"]: s["ids"] for s in stored or ()}
-                one, n = encode_text(text or "", known, encoder.encode)
-                ids.append(one)
-                reused.append(n)
+        for names, ids, reused in encoded_parts(batches, byte_level(vocabulary)):
             yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array(ids, pa.binary()), pa.array(reused, pa.int64())],
-                schema=ENCODED,
+                [names, pa.array(ids, pa.binary()), pa.array(reused, pa.int64())], schema=ENCODED
             )
 
     return with_shared(docs, vocabulary).mapInArrow(encode, ENCODED_DDL)
@@ -259,28 +306,29 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Digest of each document's ids and of the text decoded from them."""
+    """Digest of each document's ids and of the text decoded from them, in the task that encodes
+    it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(vocabulary)
-        names = np.array([str(i) for i in range(65536)], dtype=object)
-        for batch in batches:
+        listed = np.array([str(i) for i in range(65536)], dtype=object)
+        for names, packed, reused in encoded_parts(batches, encoder):
             sizes, ids_sha, text_sha = [], [], []
-            for packed in batch[1].to_pylist():
-                ids = np.frombuffer(packed, dtype="<u2")
+            for one in packed:
+                ids = np.frombuffer(one, dtype="<u2")
                 sizes.append(len(ids))
-                listed = ",".join(names[ids].tolist())
-                ids_sha.append(hashlib.sha256(listed.encode()).hexdigest())
+                joined = ",".join(listed[ids].tolist())
+                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch[0],
+                    names,
                     pa.array(sizes, pa.int64()),
                     pa.array(ids_sha, pa.string()),
                     pa.array(text_sha, pa.string()),
-                    batch[2],
+                    pa.array(reused, pa.int64()),
                 ],
                 schema=DIGEST,
             )
 
-    return encode_documents(docs, vocabulary).mapInArrow(digest, DIGEST_DDL)
+    return with_shared(docs, vocabulary).mapInArrow(digest, DIGEST_DDL)

@@ -26,7 +26,7 @@ WORD = re.compile(f"[^{WHITE_SPACE}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Latin letters, digits and signs, for which both libraries know the same character classes.
 PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
 
 _LOADED: dict[str, "ByteLevel | WordEnd"] = {}
