@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.toxicity import fold
@@ -268,25 +268,16 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
         & (fold("doc_id", FOLDS) != HELD_OUT)
         & (F.length("text") <= TRAIN_CHARS)
     )
-    # one row per language
-    languages = [r["lang"] for r in known.select("lang").distinct().collect()]
-    rows: list = []
-    for language in sorted(languages):
-        own = known.filter(F.col("lang") == language)
-        last = (
-            own.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-            .orderBy("h")
-            .limit(DOCS_PER_LANGUAGE)
-            .agg(F.max("h").alias("h"))
-            .first()["h"]
-        )
-        rows += (
-            own.filter(F.xxhash64(F.col("doc_id").cast("long")) <= last)
-            .select("doc_id", "text", "lang")
-            .orderBy(F.xxhash64(F.col("doc_id").cast("long")))
-            .limit(DOCS_PER_LANGUAGE)
-            .collect()
-        )
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    # ids only: the window keeps the few lowest of each language before anything is shuffled
+    chosen = (
+        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
+        .withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= DOCS_PER_LANGUAGE)
+        .select("doc_id", "lang")
+        .distinct()
+    )
+    rows = known.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
