@@ -32,7 +32,7 @@ NAME_IN_TEXT = (
     r"|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){2,7}"
     r"|(?:[a-zA-Z0-9-]{1,63}\.){1,10}[a-zA-Z]{2,24})\b"
 )
-FREE_TEXT_CHARS = 200
+# fixed value: keys whose values never leave
 SENSITIVE_KEY = r"(?i)pass(?:word)?|secret|token|api[_-]?key|authorization|cookie|credential"
 
 
@@ -52,12 +52,13 @@ def secret_names(text: Column) -> Column:
     )
 
 
-def free_text(text: Column, limit: int = FREE_TEXT_CHARS) -> Column:
-    """Text fit to leave: controls gone, ends trimmed, capped; NULL when empty or when any
-    secret pattern occurs anywhere in it."""
+def free_text(text: Column, limit: int | None = None) -> Column:
+    """Text fit to leave: controls gone, ends trimmed, NULL when empty or when any secret pattern
+    occurs anywhere in it; cut to ``limit`` characters where one is given."""
 
     def decide(clean: Column) -> Column:
-        return F.when((clean != "") & (F.size(secret_names(clean)) == 0), F.substring(clean, 1, limit))
+        short = clean if limit is None else F.substring(clean, 1, limit)
+        return F.when((clean != "") & (F.size(secret_names(clean)) == 0), short)
 
     return let(strip_python(clean_text(text, 2**31 - 1)), decide)
 

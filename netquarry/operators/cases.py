@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.scoring import (
@@ -19,7 +19,7 @@ from netquarry.functions.text import clean_keep_newline, strip_python
 from netquarry.operators.correlate import GapRules, islands, propose_cases
 from netquarry.operators.pieces import MICRO, ranked
 from netquarry.operators.prefix import longest_match
-from netquarry.operators.sets import drop_known
+from netquarry.operators.sets import drop_known, union_all
 from netquarry.schemas import CLOSED_STATUSES
 from netquarry.session import materialize
 from netquarry.sources.normalize import event_uuid
@@ -399,40 +399,40 @@ def trace_provenance(
     alert_events: DataFrame,
     events: DataFrame,
     batches: DataFrame,
-    max_alerts: int = 25,
-    max_events: int = 5,
+    max_alerts: int | None = None,
+    max_events: int | None = None,
 ) -> DataFrame:
-    """``(incident_id, batch_id, …batch columns, complete)``: the batches behind the first
-    ``max_events`` sampled events of each case's first ``max_alerts`` alerts, and whether that
-    was all there is. Both limits are part of the report and are applied below the shuffle."""
-    from pyspark.sql import Window
-
+    """``(incident_id, batch_id, …batch columns, complete)``: the batches behind the sampled events
+    of each case's alerts. With limits only the first ``max_events`` events of the first
+    ``max_alerts`` alerts are followed, and ``complete`` tells whether that was all there is."""
     links = incident_alerts.join(alerts.select("alert_id", "first_seen"), "alert_id")
-    by_case = Window.partitionBy("incident_id").orderBy("first_seen", "alert_id")
-    near = links.withColumn("_r", F.row_number().over(by_case)).filter(F.col("_r") <= max_alerts + 1)
-    by_alert = Window.partitionBy("alert_id").orderBy("event_id")
-    sampled = (
-        alert_events.select("alert_id", "event_id")
-        .withColumn("_k", F.row_number().over(by_alert))
-        .filter(F.col("_k") <= max_events + 1)
-    )
-    used = near.filter(F.col("_r") <= max_alerts).join(sampled, "alert_id", "left")
-    partial = (
-        near.filter(F.col("_r") > max_alerts)
-        .select("incident_id")
-        .unionByName(used.filter(F.col("_k") > max_events).select("incident_id"))
-        .distinct()
-        .withColumn("_partial", F.lit(True))
-    )
-    kept = used.filter(F.col("_k") <= max_events).select("incident_id", "event_id").distinct()
+    sampled = alert_events.select("alert_id", "event_id")
+    cut = []
+    if max_alerts is not None:
+        by_case = Window.partitionBy("incident_id").orderBy("first_seen", "alert_id")
+        near = links.withColumn("_r", F.row_number().over(by_case))
+        near = near.filter(F.col("_r") <= max_alerts + 1)
+        cut.append(near.filter(F.col("_r") > max_alerts).select("incident_id"))
+        links = near.filter(F.col("_r") <= max_alerts)
+    if max_events is not None:
+        by_alert = Window.partitionBy("alert_id").orderBy("event_id")
+        some = sampled.withColumn("_k", F.row_number().over(by_alert))
+        some = some.filter(F.col("_k") <= max_events + 1)
+        more = some.filter(F.col("_k") > max_events).select("alert_id")
+        cut.append(links.join(more, "alert_id").select("incident_id"))
+        sampled = some.filter(F.col("_k") <= max_events).select("alert_id", "event_id")
+    used = links.join(sampled, "alert_id").select("incident_id", "event_id").distinct()
     found = (
-        kept.join(events.select(F.col("id").alias("event_id"), "batch_id"), "event_id")
+        used.join(events.select(F.col("id").alias("event_id"), "batch_id"), "event_id")
         .select("incident_id", "batch_id")
         .distinct()
+        .join(batches, "batch_id")
     )
+    if not cut:
+        return found.withColumn("complete", F.lit(True))
+    partial = union_all(cut).distinct().withColumn("_partial", F.lit(True))
     return (
-        found.join(batches, "batch_id")
-        .join(partial, "incident_id", "left")
+        found.join(partial, "incident_id", "left")
         .withColumn("complete", F.col("_partial").isNull())
         .drop("_partial")
     )

@@ -130,7 +130,10 @@ def interval_stats(
     )
     gaps = (F.col("connections") - 1).cast("decimal(12,0)")
     total = (F.col("last_us") - F.col("first_us")).cast("decimal(18,0)")
-    exact = (gaps * F.col("_s").cast("decimal(26,0)") - total * total).cast("double")
+    # beyond 26 digits the product could overflow; the spread is then far from zero, so doubles do
+    exact = (gaps * F.col("_s").try_cast("decimal(26,0)") - total * total).cast("double")
+    wide = gaps.cast("double") * F.col("_s").cast("double") - F.pow(total.cast("double"), F.lit(2))
+    exact = F.coalesce(exact, F.greatest(wide, F.lit(0.0)))
     mean_us = F.try_divide(total.cast("double"), gaps.cast("double"))
     stddev_us = F.try_divide(F.sqrt(exact), gaps.cast("double"))
     return totals.select(

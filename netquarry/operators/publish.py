@@ -12,38 +12,46 @@ from pyspark.sql import functions as F
 from netquarry.functions.binding import let
 from netquarry.functions.ip import hex_in, ip_hex
 from netquarry.schemas import SENSOR_TYPES
+from netquarry.session import materialize
 
+# fixed value: the deepest level that may be published
 MAX_DEPTH = 24
-MAX_STRING = 512
 
 # fixed values: keys that can carry captured content or identity, and prefixes of such keys
 CONTENT_KEYS = frozenset(
-    """
-    payload payload_printable packet packet_info http_request_body http_request_body_printable
-    http_response_body http_response_body_printable request_body response_body request_headers
-    response_headers file_data content certificate chain subject issuerdn serial fingerprint ja3
-    ja3s ja4 ja3_string ja3s_string email smtp smb krb5 snmp ftp ftp_data ssh ike rdp mqtt sip
-    filename magic md5 sha1 sha256 host hostname_original capture_file pcap_filename user username
-    password credentials command_data software_version banner cookie set_cookie authorization
-    proxy_authorization referer http_refer redirect vars metadata
-    """.split()
-)
+    {
+        "payload", "payload_printable", "packet", "packet_info", "http_request_body",
+        "http_request_body_printable", "http_response_body", "http_response_body_printable",
+        "request_body", "response_body", "request_headers", "response_headers", "file_data",
+        "content", "certificate", "chain", "subject", "issuerdn", "serial", "fingerprint", "ja3",
+        "ja3s", "ja4", "ja3_string", "ja3s_string", "email", "smtp", "smb", "krb5", "snmp", "ftp",
+        "ftp_data", "ssh", "ike", "rdp", "mqtt", "sip", "filename", "magic", "md5", "sha1",
+        "sha256", "host", "hostname_original", "capture_file", "pcap_filename", "user", "username",
+        "password", "credentials", "command_data", "software_version", "banner", "cookie",
+        "set_cookie", "authorization", "proxy_authorization", "referer", "http_refer", "redirect",
+        "vars", "metadata",
+    }
+)
 CONTENT_PREFIXES = ("payload", "packet", "body", "raw_", "pass", "secret", "token", "key_")
 
 # fixed values: keys reviewed and allowed
 PUBLISHED_KEYS = frozenset(
-    """
-    timestamp event_type flow_id in_iface ip_v pkt_src direction src_ip src_port dest_ip dest_port
-    proto app_proto tx_id pcap_cnt community_id tenant_id alert action gid signature_id rev
-    signature category severity flow pkts_toserver pkts_toclient bytes_toserver bytes_toclient
-    start end age state reason alerted tx_cnt min_ttl max_ttl tcp tcp_flags tcp_flags_ts
-    tcp_flags_tc syn fin rst psh ack urg ecn cwr ttl ts_progress tc_progress ts_max_regions
-    tc_max_regions ts_gap tc_gap http http_port http_method http_user_agent http_content_type
-    protocol status length url hostname http_response_status dns type id version flags qr rd ra
-    opcode rcode queries answers grouped rrname rrtype rdata ttl_dns aa tc A AAAA CNAME MX NS PTR
-    SOA SRV TXT anomaly event layer code
-    """.split()
-)
+    {
+        "timestamp", "event_type", "flow_id", "in_iface", "ip_v", "pkt_src", "direction", "src_ip",
+        "src_port", "dest_ip", "dest_port", "proto", "app_proto", "tx_id", "pcap_cnt",
+        "community_id", "tenant_id", "alert", "action", "gid", "signature_id", "rev", "signature",
+        "category", "severity", "flow", "pkts_toserver", "pkts_toclient", "bytes_toserver",
+        "bytes_toclient", "start", "end", "age", "state", "reason", "alerted", "tx_cnt", "min_ttl",
+        "max_ttl", "tcp", "tcp_flags", "tcp_flags_ts", "tcp_flags_tc", "syn", "fin", "rst", "psh",
+        "ack", "urg", "ecn", "cwr", "ttl", "ts_progress", "tc_progress", "ts_max_regions",
+        "tc_max_regions", "ts_gap", "tc_gap", "http", "http_port", "http_method", "http_user_agent",
+        "http_content_type", "protocol", "status", "length", "url", "hostname",
+        "http_response_status", "dns", "type", "id", "version", "flags", "qr", "rd", "ra", "opcode",
+        "rcode", "queries", "answers", "grouped", "rrname", "rrtype", "rdata", "ttl_dns", "aa",
+        "tc", "A", "AAAA", "CNAME", "MX", "NS", "PTR", "SOA", "SRV", "TXT", "anomaly", "event",
+        "layer", "code",
+    }
+)
 
 # fixed values: address space and names that may appear in published data
 PUBLIC_NETWORKS = (
@@ -62,12 +70,13 @@ PUBLIC_NETWORKS = (
     "fc00::/7",
 )
 PUBLIC_DOMAINS = ("example.test", "example.com")
-CHECKED_TLDS = tuple(
-    """
-    com net org test example io dev local gov edu mil info biz co uk de fr nl eu ru cn jp us ca au
-    ch se no es it pl br in xyz online site top cloud app ai me tv cc ly sh id
-    """.split()
-)
+CHECKED_TLDS = (
+    "com", "net", "org", "test", "example", "io", "dev", "local", "gov", "edu", "mil", "info",
+    "biz", "co", "uk", "de", "fr", "nl", "eu", "ru", "cn", "jp", "us", "ca", "au", "ch", "se",
+    "no", "es", "it", "pl", "br", "in", "xyz", "online", "site", "top", "cloud", "app", "ai",
+    "me", "tv", "cc", "ly", "sh", "id",
+)
+# fixed values: what counts as an address, a name or a secret parameter in a value
 ADDRESS_TOKEN = r"(?i)[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 HOST_TOKEN = r"(?i)(?:[a-z0-9_-]{1,63}\.)+[a-z]{2,24}"
 SECRET_PARAMETER = (
@@ -81,8 +90,8 @@ NODES = (
 
 
 def _walk(text: str) -> Iterator[tuple]:
-    """Every node of one JSON text below the root, parents first. A node deeper than the limit
-    is reported and not entered."""
+    """Every node of one JSON text from the root on, parents first, at any depth. A node just
+    beyond the limit is reported as ``too_deep`` besides."""
     try:
         root = json.loads(text)
     except (ValueError, RecursionError, TypeError):
@@ -91,9 +100,9 @@ def _walk(text: str) -> Iterator[tuple]:
     stack = [("", None, (), 0, root)]
     while stack:
         path, key, keys, depth, node = stack.pop()
-        if depth > MAX_DEPTH:
+        if depth == MAX_DEPTH + 1:
             yield (path, key, list(keys), depth, "too_deep", None)
-        elif isinstance(node, dict):
+        if isinstance(node, dict):
             yield (path, key, list(keys), depth, "object", None)
             members = [
                 (f"{path}.{k}" if path else k, k, (*keys, k), depth + 1, v) for k, v in node.items()
@@ -172,7 +181,11 @@ def publish_audit(
 ) -> DataFrame:
     """``(id, path, problem)``: every reason a record may not be published, judged as it is.
     Below a key that is refused nothing more is reported."""
-    nodes = flatten_json(lines, json_col, id_col)
+    return problems_of(materialize(flatten_json(lines, json_col, id_col)), id_col, strict_keys)
+
+
+def problems_of(nodes: DataFrame, id_col: str, strict_keys: bool = True) -> DataFrame:
+    """:func:`publish_audit` on nodes already walked (and stored: they are read more than once)."""
     content, known = is_content_key(F.col("key")), is_published_key(F.col("key"))
 
     def refused(k: Column) -> Column:
@@ -220,31 +233,64 @@ def publish_audit(
     return problems.unionByName(untyped)
 
 
-def strip_content(lines: DataFrame, json_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(leaves, dropped)``: records as leaf rows without content-bearing keys at any depth and
-    with strings cut to 512 characters, and counts of the records left out."""
-    nodes = flatten_json(lines, json_col, id_col)
-    sensor = nodes.filter(
-        (F.col("path") == "event_type") & F.lower(F.trim("value")).isin(*SENSOR_TYPES)
-    ).select(id_col)
+def refusals_of(nodes: DataFrame, id_col: str) -> DataFrame:
+    """``(id, reason)``, one row per record that cannot be published in any form: the first of
+    not readable, not an object, too deep, no type, a sensor's own record."""
+    root, kind = F.col("depth") == 0, F.col("type")
+    named = (F.col("path") == "event_type") & (F.size("keys") == 1) & (kind == "string")
+    told = nodes.groupBy(id_col).agg(
+        F.bool_or(kind == "invalid").alias("invalid"),
+        F.bool_or(root & (kind != "object")).alias("other"),
+        F.bool_or(kind == "too_deep").alias("deep"),
+        F.bool_or(named & (F.trim("value") != "")).alias("typed"),
+        F.bool_or(named & F.lower(F.trim("value")).isin(*SENSOR_TYPES)).alias("sensor"),
+    )
+    reason = (
+        F.when(F.col("invalid"), "unreadable")
+        .when(F.col("other"), "not_an_object")
+        .when(F.col("deep"), "too_deep")
+        .when(~F.coalesce("typed", F.lit(False)), "no_event_type")
+        .when(F.col("sensor"), "sensor_record")
+    )
+    return told.select(id_col, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def strip_content(
+    lines: DataFrame, json_col: str, id_col: str, max_string: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(leaves, dropped)``: records as leaf rows without content-bearing keys at any depth, and
+    counts of the records left out by reason. A record that is left out gives no leaf at all.
+    Strings are cut only where ``max_string`` asks for it."""
+    nodes = materialize(flatten_json(lines, json_col, id_col))
+    refused = materialize(refusals_of(nodes, id_col))
+    value = F.col("value")
+    if max_string is not None:
+        value = F.when(F.col("type") == "string", F.substring("value", 1, max_string)).otherwise(
+            value
+        )
     leaves = (
         nodes.filter(~F.col("type").isin("object", "array", "invalid", "too_deep"))
         .filter(~F.exists("keys", is_content_key))
-        .join(sensor, id_col, "left_anti")
-        .select(
-            id_col,
-            "path",
-            "type",
-            F.when(F.col("type") == "string", F.substring("value", 1, MAX_STRING))
-            .otherwise(F.col("value"))
-            .alias("value"),
-        )
+        .join(refused, id_col, "left_anti")
+        .select(id_col, "path", "type", value.alias("value"))
     )
-    unread = nodes.filter(F.col("type").isin("invalid", "too_deep")).select(id_col).distinct()
-    dropped = (
-        sensor.select(F.lit("sensor_record").alias("reason"))
-        .unionByName(unread.select(F.lit("unreadable").alias("reason")))
-        .groupBy("reason")
-        .agg(F.count("*").alias("n"))
+    return leaves, refused.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def sanitize(
+    lines: DataFrame, json_col: str, id_col: str, strict_keys: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(leaves, dropped, problems)``: :func:`strip_content`, and what :func:`publish_audit` still
+    finds in the leaves that are left. A corpus may go out when ``problems`` has no row."""
+    leaves, dropped = strip_content(lines, json_col, id_col)
+    text, key = F.col("type") == "string", F.element_at(F.split(F.col("path"), r"\.|\["), -1)
+    bare = F.when(~key.endswith("]"), key)
+    found = F.array_compact(
+        F.array(
+            F.when(F.lit(strict_keys) & ~is_published_key(bare), F.lit("unclassified_key")),
+            F.when(text & has_foreign_address(F.col("value")), F.lit("address")),
+            F.when(text & has_foreign_name(F.col("value")), F.lit("name")),
+            F.when(text & F.col("value").rlike(SECRET_PARAMETER), F.lit("secret_parameter")),
+        )
     )
-    return leaves, dropped
+    return leaves, dropped, leaves.select(id_col, "path", F.explode(found).alias("problem"))

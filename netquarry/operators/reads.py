@@ -15,9 +15,7 @@ from netquarry.functions.ip import ip_in
 from netquarry.operators.pieces import MICRO, carry_in, with_piece
 from netquarry.operators.prefix import memberships
 from netquarry.schemas import CLOSED_STATUSES
-
-MAX_DAYS = 30
-MAX_NETWORKS = 32
+from netquarry.session import materialize
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -42,11 +40,10 @@ def query_events(
     batch_id: str | None = None,
     payload: bool = False,
 ) -> DataFrame:
-    """Events of at most 30 days, both ends of the interval included, matching every filter
-    given. The day partition is filtered as well when the table has one, and the record itself
+    """Events of an interval, both its ends included, matching every filter given. The day partition is filtered as well when the table has one, and the record itself
     is read only on request."""
-    if end < start or (end - start).days > MAX_DAYS:
-        raise ValueError(f"an interval of 0 to {MAX_DAYS} days is needed")
+    if end < start:
+        raise ValueError("the interval ends before it starts")
     tests = [F.col("event_time") >= F.lit(start), F.col("event_time") <= F.lit(end)]
     if "event_date" in events.columns:
         tests += [
@@ -67,32 +64,19 @@ def query_events(
 
 
 def events_of_asset(events: DataFrame, networks: DataFrame, asset_id: str) -> DataFrame:
-    """Events with either end inside a network of the asset.
-
-    An asset has at most 32 networks by rule; up to that many become ranges in one filter over
-    the scan. A table that breaks the rule takes the join: the addresses of the asset, then one
-    semi join per end."""
-    mine = networks.filter(F.col("asset_id") == asset_id)
-    cidrs = [r[0] for r in mine.select("cidr").limit(MAX_NETWORKS + 1).collect()]
-    if len(cidrs) <= MAX_NETWORKS:
-        def touches(column: str) -> Column:
-            return reduce(lambda a, b: a | b, [ip_in(F.col(column), c) for c in cidrs], F.lit(False))
-
-        return events.filter(touches("src_ip") | touches("dest_ip"))
-    return events_of_networks(events, mine)
+    """Events with either end inside a network of the asset."""
+    return events_of_networks(events, networks.filter(F.col("asset_id") == asset_id))
 
 
 def events_of_networks(events: DataFrame, networks: DataFrame) -> DataFrame:
-    """Events with either end inside any of the networks, as two semi joins on exact addresses
-    rather than one join on a disjunction."""
-    ends = events.select("src_ip").union(events.select("dest_ip")).toDF("address")
-    inside = memberships(ends, "address", networks).select("address").distinct()
-    src = events.join(inside.withColumnRenamed("address", "src_ip"), "src_ip", "left_semi")
-    rest = events.join(inside.withColumnRenamed("address", "src_ip"), "src_ip", "left_anti")
-    without_source = events.filter(F.col("src_ip").isNull())
-    others = rest.filter(F.col("src_ip").isNotNull()).unionByName(without_source)
-    dest = others.join(inside.withColumnRenamed("address", "dest_ip"), "dest_ip", "left_semi")
-    return src.select(*events.columns).unionByName(dest.select(*events.columns))
+    """Events with either end inside any of the networks: the addresses inside are found once,
+    and the events are read once and met with them at both ends."""
+    ends = events.select("src_ip").union(events.select("dest_ip")).toDF("address").distinct()
+    inside = materialize(memberships(ends, "address", networks).select("address").distinct())
+    src = inside.select(F.col("address").alias("src_ip"), F.lit(True).alias("_src"))
+    dest = inside.select(F.col("address").alias("dest_ip"), F.lit(True).alias("_dest"))
+    met = events.join(src, "src_ip", "left").join(dest, "dest_ip", "left")
+    return met.filter(F.col("_src") | F.col("_dest")).select(*events.columns)
 
 
 def keyset_page(

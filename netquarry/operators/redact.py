@@ -14,9 +14,10 @@ from netquarry.functions.secrets import (
     replace_names,
     secret_names,
 )
+from netquarry.session import materialize
 
+# fixed value: the label of a case's subject
 SUBJECT_LABEL = "asset-A"
-MAX_LABELS = 200
 
 
 def scan_secrets(df: DataFrame, column: str) -> DataFrame:
@@ -24,7 +25,9 @@ def scan_secrets(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("patterns", secret_names(F.col(column)))
 
 
-def clean_free_text(df: DataFrame, column: str, limit: int = 200, name: str = "clean") -> DataFrame:
+def clean_free_text(
+    df: DataFrame, column: str, limit: int | None = None, name: str = "clean"
+) -> DataFrame:
     return df.withColumn(name, free_text(F.col(column), limit))
 
 
@@ -32,20 +35,16 @@ def token_numbers(
     values: DataFrame, case: str, value: str, order: Sequence[str], subject: str | None = None
 ) -> DataFrame:
     """``(case, value, token)``: ``int-1``, ``ext-1``, ``domain-1``, … numbered per case and
-    class by first appearance. The case's subject has a fixed label and takes no number; past
-    200 values there is no token (callers write ``other``).
+    class by first appearance. The case's subject has a fixed label and takes no number.
 
-    Values are reduced to their first appearance before anything is ranked, and the ranking is
-    limited below the shuffle."""
+    Values are reduced to their first appearance before anything is ranked."""
     keep = [case, value] + ([subject] if subject else [])
     first = values.groupBy(*keep).agg(F.min(F.struct(*order)).alias("_first"))
     own = F.col(value) == F.col(subject) if subject else F.lit(False)
     own = F.coalesce(own, F.lit(False))
     others = first.filter(~own)
-    place = Window.partitionBy(case).orderBy("_first", value)
-    numbered = others.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= MAX_LABELS)
-    kinds = numbered.withColumn("_kind", name_class(F.col(value)))
-    within = Window.partitionBy(case, "_kind").orderBy("_r")
+    kinds = others.withColumn("_kind", name_class(F.col(value)))
+    within = Window.partitionBy(case, "_kind").orderBy("_first", value)
     tokens = kinds.select(
         case,
         value,
@@ -64,17 +63,25 @@ def pseudonymize(
     """``(scrubbed, mapping)``. Every address and host name in ``column`` becomes its token,
     stable within a case; ``mapping`` is ``(case, token, value)``, to be kept apart.
 
-    A case's tokens are at most 201, so they travel to its texts as one map per case; the texts
-    are neither exploded nor regrouped."""
+    Tokens travel by name, not as one map per case: a text gets the tokens of its own names, and
+    the case may have any number of them."""
     keep = [case, *order] + ([subject] if subject else [])
     # a name repeated in one text keeps its first place
     names = F.array_distinct(names_in_text(F.col(column)))
-    seen = df.select(*keep, F.posexplode(names).alias("_pos", "_value"))
-    tokens = token_numbers(seen, case, "_value", [*order, "_pos"], subject)
-    maps = tokens.groupBy(case).agg(
-        F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_map")
+    row_key = F.xxhash64(*df.columns)
+    found = materialize(
+        df.select(*keep, row_key.alias("_row"), F.posexplode(names).alias("_pos", "_value"))
+    )
+    tokens = materialize(token_numbers(found, case, "_value", [*order, "_pos"], subject))
+    # equal rows have equal names, so their map is the same
+    maps = (
+        found.select("_row", case, "_value")
+        .distinct()
+        .join(tokens, [case, "_value"])
+        .groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_map"))
     )
-    joined = df.join(maps, case, "left")
+    joined = df.withColumn("_row", row_key).join(maps, "_row", "left")
     scrubbed = joined.withColumn(
         column,
         F.when(F.col("_map").isNull(), F.col(column)).otherwise(

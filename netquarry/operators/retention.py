@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators.sets import union_all
@@ -85,13 +85,38 @@ def prune(
     return kept, counts
 
 
-def prune_partitions(dates: DataFrame, before: Column, limit: int) -> DataFrame:
-    """The oldest ``limit`` whole days that lie before the cutoff: what one run drops without
-    reading a row. Days holding protected rows are to be left out of ``dates`` first."""
-    return (
+def prune_partitions(
+    dates: DataFrame, before: Column, protected_dates: DataFrame | None = None
+) -> DataFrame:
+    """The whole days that lie before the cutoff and hold no protected row: what a run drops as
+    partitions, without reading a row of them."""
+    old = (
         dates.select("event_date")
         .distinct()
         .filter(F.date_add("event_date", 1).cast("timestamp") <= before)
-        .orderBy("event_date")
-        .limit(limit)
     )
+    if protected_dates is None:
+        return old
+    return old.join(protected_dates.select("event_date").distinct(), "event_date", "left_anti")
+
+
+def prune_table(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    column: str,
+    before: Column,
+    protected: DataFrame | None = None,
+    key: str = "id",
+) -> DataFrame:
+    """Write what stays of the day-partitioned table at ``path`` to ``target``, a fresh folder that
+    the caller swaps in, and return the counts. Days after the cutoff are copied as they are;
+    only old days meet the protected ids. Run it again after a failure: a half-written target is
+    overwritten."""
+    table = spark.read.parquet(path)
+    edge = F.to_date(before)
+    recent = table.filter(F.col("event_date") > edge)
+    kept, counts = prune(table.filter(F.col("event_date") <= edge), column, before, protected, key)
+    both = recent.unionByName(kept)
+    both.write.mode("overwrite").partitionBy("event_date").parquet(target)
+    return counts

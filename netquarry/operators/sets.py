@@ -15,15 +15,14 @@ def drop_known(
     """Rows of ``new`` whose key is not in ``existing``. A key with a NULL part conflicts with
     nothing, not even itself. With ``distinct`` one row per key is kept; callers that care which
     one reduce ``new`` first."""
-    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    known = existing.select(*keys).distinct()
-    solid = new.filter(~has_null)
-    if distinct:
-        solid = solid.dropDuplicates(list(keys))
-    fresh = solid.join(known, list(keys), "left_anti").select(*new.columns)
-    if not any(new.schema[k].nullable for k in keys):
+    # an anti join keeps NULL keys and needs no distinct right side
+    fresh = new.join(existing.select(*keys), list(keys), "left_anti").select(*new.columns)
+    if not distinct:
         return fresh
-    return fresh.unionByName(new.filter(has_null))
+    if not any(new.schema[k].nullable for k in keys):
+        return fresh.dropDuplicates(list(keys))
+    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return fresh.filter(~has_null).dropDuplicates(list(keys)).unionByName(fresh.filter(has_null))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

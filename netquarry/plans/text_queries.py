@@ -71,7 +71,7 @@ def q_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0a-\\x1f\\x7f-\\x9f]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text
                    FROM conversations),
     s AS ({_scan_sql("c", "conv_id, turn, text")})
-    SELECT conv_id, turn, CASE WHEN text <> '' AND patterns = '' THEN substr(text, 1, 200) END AS clean FROM s""",
+    SELECT conv_id, turn, CASE WHEN text <> '' AND patterns = '' THEN text END AS clean FROM s""",
 )
 def q_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.clean_free_text(A.table(spark, sf_dir, "conversations"), "text")
@@ -88,7 +88,7 @@ m AS (SELECT c, id, unnest([src, dest, '10.0.0.1', '10.0.0.10', 'gw' || (k % 3)
 f AS (SELECT c, value, min(id || '-' || pos) AS seen FROM m GROUP BY c, value),
 r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY seen) AS r FROM f),
 t AS (SELECT c, value, kind || '-' || row_number() OVER (PARTITION BY c, kind ORDER BY r) AS token
-      FROM (SELECT *, CASE WHEN value LIKE '10.%' THEN 'int' WHEN value LIKE '203.%' THEN 'ext' ELSE 'domain' END AS kind FROM r WHERE r <= 200))"""
+      FROM (SELECT *, CASE WHEN value LIKE '10.%' THEN 'int' WHEN value LIKE '203.%' THEN 'ext' ELSE 'domain' END AS kind FROM r))"""
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,20 +154,25 @@ def q_pseudonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ publication
 
 _RECORD_SQL = """
-WITH r AS (SELECT event_id, event_type, user_id, event_id % 6 AS shape,
-  CASE event_id % 6
+WITH r AS (SELECT event_id, event_type, user_id, event_id % 9 AS shape,
+  CASE event_id % 9
     WHEN 0 THEN '{"event_type":"flow","src_ip":"10.0.0.' || (user_id % 250) || '","dest_ip":"8.8.8.8","flow":{"age":' || event_id || '}}'
     WHEN 1 THEN '{"event_type":"http","http":{"hostname":"a.example.com","url":"/x?token=1","cookie":"c' || event_id || '"}}'
     WHEN 2 THEN '{"event_type":"stats","uptime":' || event_id || '}'
     WHEN 3 THEN '{"event_type":"dns","dns":{"answers":[{"rdata":"192.0.2.1"},{"rdata":"mail.acme.org"}]}}'
     WHEN 4 THEN '{"event_type":"alert","alert":{"signature":"ok","extra":{"rdata":"1.2.3.4"}}'
-    ELSE '{"event_type":"flow","src_ip":"192.168.1.1","proto":"TCP"}' END AS line FROM events)"""
-# shape 4 lacks a brace, so it is not JSON
+    WHEN 5 THEN '{"event_type":"flow","src_ip":"192.168.1.1","proto":"TCP"}'
+    WHEN 6 THEN '{"event_type":"flow","flow":' || repeat('{"flow":', 25) || event_id || repeat('}', 26)
+    WHEN 7 THEN '[' || event_id || ',2]'
+    ELSE '{"src_ip":"10.0.0.' || (user_id % 250) || '"}' END AS line FROM events)"""
+# shape 4 lacks a brace, so it is not JSON; 6 is too deep, 7 not an object, 8 has no type
 _PROBLEMS_SQL = """
 SELECT event_id, path, problem FROM r JOIN (VALUES
   (0, 'dest_ip', 'address'), (1, 'http.url', 'secret_parameter'), (1, 'http.cookie', 'content_key'),
   (2, 'event_type', 'sensor_record'), (2, 'uptime', 'unclassified_key'),
-  (3, 'dns.answers[1].rdata', 'name'), (4, '', 'not_json')) AS v(shape, path, problem) USING (shape)"""
+  (3, 'dns.answers[1].rdata', 'name'), (4, '', 'not_json'),
+  (6, rtrim(repeat('flow.', 25), '.'), 'too_deep'), (7, '', 'not_an_object'),
+  (8, '', 'no_event_type')) AS v(shape, path, problem) USING (shape)"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +185,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"event_type":"dns","dns":{"answers":[{"rdata":"192.0.2.1"},{"rdata":"mail.acme.org"}]}}'),
         F.lit('{"event_type":"alert","alert":{"signature":"ok","extra":{"rdata":"1.2.3.4"}}'),
         F.lit('{"event_type":"flow","src_ip":"192.168.1.1","proto":"TCP"}'),
+        F.concat(F.lit('{"event_type":"flow","flow":' + '{"flow":' * 25), eid, F.lit("}" * 26)),
+        F.concat(F.lit("["), eid, F.lit(",2]")),
+        F.concat(F.lit('{"src_ip":"10.0.0.'), uid, F.lit('"}')),
     ]
-    line = F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int"))
+    line = F.element_at(F.array(*shapes), (F.col("event_id") % 9 + 1).cast("int"))
     return A.table(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
@@ -205,6 +213,30 @@ def q_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("event_id", "path", "value")
 
 
+@query(
+    "strip_content_dropped",
+    _RECORD_SQL
+    + """ SELECT reason, count(*) AS n FROM r JOIN (VALUES (2, 'sensor_record'), (4, 'unreadable'),
+     (6, 'too_deep'), (7, 'not_an_object'), (8, 'no_event_type')) AS v(shape, reason) USING (shape)
+     GROUP BY reason""",
+)
+def q_strip_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, dropped = P.strip_content(_records(spark, sf_dir), "line", "event_id")
+    return dropped
+
+
+@query(
+    "sanitize_problems",
+    _RECORD_SQL
+    + """ SELECT event_id, path, problem FROM r JOIN (VALUES (0, 'dest_ip', 'address'),
+     (1, 'http.url', 'secret_parameter'), (3, 'dns.answers[1].rdata', 'name')) AS v(shape, path, problem)
+     USING (shape)""",
+)
+def q_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, problems = P.sanitize(_records(spark, sf_dir), "line", "event_id")
+    return problems
+
+
 @query(
     "flatten_json",
     """SELECT event_id, '$.' || k AS path, json_extract_string(props, '$.' || k) AS value

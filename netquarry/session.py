@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,8 @@ def utc(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables. The cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests) is a folder of our own made."""
+    ``spark.checkpoint.dir``. Only a session in one process (``local``) may leave it unset; it
+    then gets a folder of its own. Anywhere else that folder would be seen by one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -43,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         current = os.path.join(tempfile.mkdtemp(prefix="netquarry-"), "checkpoints")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -54,3 +59,12 @@ def materialize(df: DataFrame) -> DataFrame:
     re-read instead of the whole lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`materialize`, for wide results: Parquet in the same folder, so that later reads
+    keep column pruning and statistics."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

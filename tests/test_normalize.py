@@ -74,7 +74,7 @@ def test_reasons(spark):
     assert by[HOSTILE[0][0]].http_url_path == "/ab\tc"
     assert by[HOSTILE[14][0]].src_port == 443
     assert by[rec(event_type="quic")].event_type == "other"
-    assert by[HOSTILE[3][0]].detail == "missing required field(s): event_type, timestamp"
+    assert by[HOSTILE[3][0]].detail == "absent: event_type, timestamp"
     assert "src_ip" in by[rec(src_ip="not-an-address")].detail
     assert "not-an-address" not in by[rec(src_ip="not-an-address")].detail
 

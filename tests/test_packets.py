@@ -36,7 +36,7 @@ def test_only_named_keys_leave_and_names_become_tokens(spark):
     first, second = doc["alerts"]
     assert first["evidence"] == {
         "distinct_dest_ports": 40, "jitter": 0.5, "sample_dest_hosts": ["ext-1", "int-1", "asset-A"],
-        "sample_dest_ports": list(range(8)), "signals": ["tunnel"], "top_domain": "domain-1",
+        "sample_dest_ports": list(range(12)), "signals": ["tunnel"], "top_domain": "domain-1",
         "window_start": "2026-09-01T10:00:00+00:00"}
     assert second["evidence"] == {"destination": "ext-1", "top_domain_names": 5}
     assert first["entity"] == "asset-A" and doc["subject"] == "asset-A" and doc["subject_class"] == "private"
@@ -46,14 +46,18 @@ def test_only_named_keys_leave_and_names_become_tokens(spark):
     for value in (secret, "203.0.113.9", "10.0.0.1", "evil.test"):
         assert value not in row.packet_json
     assert set(row.dropped) == {
-        "alerts[0].app_proto: failed the free-text scan", "alerts[0].failures: not a number",
-        "alerts[0].odd: not on the allow-list", "alerts[0].sample_categories: not sent by policy"}
+        "alerts[0].app_proto: text looks secret", "alerts[0].failures: value is not numeric",
+        "alerts[0].odd: key is not listed", "alerts[0].sample_categories: always withheld",
+        "timeline[e0002]: text looks secret", "timeline[e0003]: text looks secret"}
     assert json.dumps(doc, sort_keys=True, separators=(",", ":")) == row.packet_json
     assert not row.truncated and len(row.packet_hash) == 64
 
 
 def test_limits(spark):
-    doc, row, _ = build(spark, [{"flows": n} for n in range(15)], [f"line {n}" for n in range(30)])
+    everything = [{"flows": n} for n in range(15)], [f"line {n}" for n in range(30)]
+    doc, row, _ = build(spark, *everything)
+    assert len(doc["alerts"]) == 15 and len(doc["timeline"]) == 30 and not row.truncated
+    doc, row, _ = build(spark, *everything, limits=PacketLimits(max_alerts=12, max_timeline=20))
     assert len(doc["alerts"]) == 12 and len(doc["timeline"]) == 20 and doc["packet_truncated"] and row.truncated
     assert [a["evidence"]["flows"] for a in doc["alerts"]] == list(range(12))
     full, row, _ = build(spark, [{"flows": n} for n in range(5)])
