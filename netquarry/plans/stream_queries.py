@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from netquarry.operators.correlate import propose_cases
 from netquarry.operators.packets import evidence_packets
@@ -45,29 +48,56 @@ class _StreamTables:
         return _stream(self.spark, folder, name.removesuffix(".parquet"))
 
 
-def _run(spark: SparkSession, out: DataFrame, rocks: bool = False) -> DataFrame:
-    """Run to the end of the input into a table in the shared folder, then read the table."""
+def _drain(out: DataFrame, base: str) -> None:
+    """Run to the end of what the sources hold now; a second call goes on from the first."""
+    running = (
+        out.writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/state")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+
+
+def _run(
+    spark: SparkSession,
+    source: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    closing: dict[str, object] | None = None,
+    rocks: bool = False,
+) -> DataFrame:
+    """Run ``build(source)`` to the end of the input into a table in the shared folder, then read
+    the table. With ``closing``, a row with these values follows the input: its time lies past all
+    others, so the watermark passes them and nothing stays open but that row."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     if rocks:
         spark.conf.set(key, SC.ROCKSDB)
     try:
-        running = (
-            out.writeStream.format("parquet")
-            .option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/state")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        running.awaitTermination()
+        if closing is None:
+            out = build(source)
+            _drain(out, base)
+        else:
+            shape = StructType([StructField(f.name, f.dataType) for f in source.schema])
+            last = f"{base}/closing"
+            spark.createDataFrame([], shape).write.parquet(last)
+            out = build(source.unionByName(spark.readStream.schema(shape).parquet(last)))
+            _drain(out, base)
+            row = [tuple(closing.get(name) for name in shape.names)]
+            spark.createDataFrame(row, shape).write.mode("append").parquet(last)
+            _drain(out, base)
     finally:
         if rocks:
             spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+FAR = datetime(2200, 1, 1, tzinfo=UTC)
+
+
 @query(
     "stream_normalize",
     f"SELECT event_id AS line_number, {IQ._REASONS_SQL}[event_id % 12 + 1] AS outcome FROM events",
@@ -76,20 +106,27 @@ def q_stream_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = IQ.raw_lines(_StreamTables(spark), sf_dir)
     judged = judge_lines(lines, F.lit(IQ.AS_OF).cast("timestamp"))
     return _run(
-        spark, judged.select("line_number", F.coalesce("reason", F.lit("event")).alias("outcome"))
+        spark,
+        judged,
+        lambda rows: rows.select("line_number", F.coalesce("reason", F.lit("event")).alias("outcome")),
     )
 
 
 @query(
     "stream_port_scan",
-    f"""WITH {A.FLOWS_SQL}, m AS (SELECT max(t) - 3600 AS mark FROM flows), f AS (SELECT *, t - t % 600 AS b FROM flows)
+    f"""WITH {A.FLOWS_SQL}, f AS (SELECT *, t - t % 600 AS b FROM flows)
     SELECT src AS entity_value, b AS bucket, count(*) AS event_count, count(DISTINCT dest_port) AS ports, count(DISTINCT dest) AS hosts
-    FROM f, m WHERE b + 600 <= mark GROUP BY 1, 2
+    FROM f GROUP BY 1, 2
     HAVING count(*) >= 20 AND (count(DISTINCT dest_port) >= 20 OR count(DISTINCT dest) >= 15)""",
 )
 def q_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = stream_port_scan(A.flows(_StreamTables(spark), sf_dir), PortScanParams())
-    return _run(spark, fired).select(
+    closing = {
+        "event_type": "flow", "src_ip": "0.0.0.0", "dest_ip": "0.0.0.0", "dest_port": 0,
+        "event_time": FAR,
+    }
+    flows = A.flows(_StreamTables(spark), sf_dir)
+    fired = _run(spark, flows, lambda rows: stream_port_scan(rows, PortScanParams()), closing)
+    return fired.select(
         "entity_value",
         F.unix_seconds("window_bucket").alias("bucket"),
         "event_count",
@@ -101,13 +138,14 @@ def q_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_sessions",
     CQ._ISLANDS_SQL
-    + f""", g AS (SELECT entity_value, island, count(*) AS alerts, min(s) AS start_s, max(e) AS end_s FROM i GROUP BY 1, 2)
-    SELECT entity_value, alerts, start_s, end_s FROM g WHERE end_s + {30 * A.DAY} <= (SELECT max(s) FROM alerts) - 3600""",
+    + """, g AS (SELECT entity_value, island, count(*) AS alerts, min(s) AS start_s, max(e) AS end_s FROM i GROUP BY 1, 2)
+    SELECT entity_value, alerts, start_s, end_s FROM g""",
 )
 def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = A.order_alerts(_StreamTables(spark), sf_dir)
-    out = SC.stream_sessions(alerts, gap_seconds=30 * A.DAY)
-    return _run(spark, out).select(
+    closing = {"entity_type": "end", "entity_value": "end", "first_seen": FAR, "last_seen": FAR}
+    out = _run(spark, alerts, lambda rows: SC.stream_sessions(rows, 30 * A.DAY), closing)
+    return out.select(
         "entity_value",
         "alerts",
         F.unix_seconds("window_start").alias("start_s"),
@@ -117,11 +155,7 @@ def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_workflow",
-    CQ._WORKFLOW_SQL.replace(
-        "SELECT request_id, was AS from_status, outcome FROM s WHERE k > 0",
-        "SELECT request_id, was AS from_status, outcome FROM s JOIN orders ON o_orderkey = request_id"
-        " WHERE k > 0 AND o_orderdate < (SELECT max(o_orderdate) FROM orders)",
-    ),
+    CQ._WORKFLOW_SQL,
 )
 def q_stream_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = F.array(*[F.lit(m) for m in CQ._MOVES])
@@ -131,14 +165,15 @@ def q_stream_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("request_id"),
         F.element_at(moves, (F.lit(1) + F.col("o_orderkey") % 5).cast("int")).alias("to_status"),
     )
-    out = _run(spark, SC.stream_workflow(requests), rocks=True)
+    closing = {"incident_id": "end", "requested_at": FAR, "request_id": -1, "to_status": "new"}
+    out = _run(spark, requests, SC.stream_workflow, closing, rocks=True)
     return out.select("request_id", "from_status", "outcome")
 
 
 @query(
     "stream_capped_sessions",
     CQ._CAPPED_SQL
-    + """, x AS (SELECT w.alert_id, w.entity_value, w.grp FROM w JOIN alerts USING (alert_id) WHERE s < (SELECT max(s) FROM alerts))
+    + """, x AS (SELECT w.alert_id, w.entity_value, w.grp FROM w)
     SELECT CAST(alert_id AS VARCHAR) AS alert_id, grp AS part FROM x""",
 )
 def q_stream_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +181,14 @@ def q_stream_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = A.order_alerts(_StreamTables(spark), sf_dir).withColumn(
         "alert_id", F.lpad(F.col("alert_id").cast("string"), 15, "0")
     )
+    closing = {
+        "entity_type": "end", "entity_value": "end", "alert_id": "0", "first_seen": FAR, "last_seen": FAR
+    }
     out = _run(
         spark,
-        SC.stream_capped_sessions(alerts, 30 * A.DAY, 90 * A.DAY, 6),
+        alerts,
+        lambda rows: SC.stream_capped_sessions(rows, 30 * A.DAY, 90 * A.DAY, 6),
+        closing,
         rocks=True,
     )
     return out.select(F.col("alert_id").cast("bigint").cast("string").alias("alert_id"), "part")
