@@ -194,11 +194,11 @@ def q_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clean_text",
-    r"""SELECT page_id, md5(substr(regexp_replace(html, '[\x00-\x08\x0a-\x1f\x7f-\x9f]', '', 'g'), 1, 4096)) AS digest FROM pages""",
+    r"""SELECT page_id, md5(regexp_replace(html, '[\x00-\x08\x0a-\x1f\x7f-\x9f]', '', 'g')) AS digest FROM pages""",
 )
 def q_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select(
-        "page_id", F.md5(text.clean_text(F.col("html"), 4096)).alias("digest")
+        "page_id", F.md5(text.clean_text(F.col("html"), 2**31 - 1)).alias("digest")
     )
 
 
@@ -275,16 +275,26 @@ def q_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _visible_sql(text: str) -> str:
+    """Controls gone, invisible code points written out, as in functions.markdown."""
+    out = rf"regexp_replace({text}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
+    for low, high in markdown._INVISIBLE_RANGES:
+        for point in range(low, high + 1):
+            out = f"replace({out}, chr({point}), '<U+{point:04X}>')"
+    return out
+
+
 @query(
     "markdown_cells",
-    r"""SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')),
-               '([!-/:-@\[-`{-~])', '\\\1', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]')""",
+    "SELECT doc_id, md5(regexp_replace(trim(regexp_replace("
+    + _visible_sql("text")
+    + r""", '[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')),
+               '([!-/:-@\[-`{-~])', '\\\1', 'g')) AS digest FROM documents""",
 )
 def q_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = A.table(spark, sf_dir, "documents").filter(
-        ~F.col("text").rlike("[​-‏‪-‮⁠-⁤⁦-⁩﻿]")
+    return A.table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(markdown.md_cell(F.col("text"))).alias("digest")
     )
-    return plain.select("doc_id", F.md5(markdown.md_cell(F.col("text"))).alias("digest"))
 
 
 @query("markdown_blocks")
