@@ -101,13 +101,6 @@ def case_severity(member_max: Column, distinct_rules: Column) -> Column:
     return F.least(F.lit(5), member_max + bump).cast("int")
 
 
-def entity_class(value: Column) -> Column:
-    """``int``, ``ext`` or ``domain``."""
-    return F.when(ip_hex(value).isNull(), F.lit("domain")).otherwise(
-        F.when(is_internal(value), F.lit("int")).otherwise(F.lit("ext"))
-    )
-
-
 def is_auth_failure(
     signature: Column, category: Column, patterns: Sequence[str] = AUTH_PATTERNS
 ) -> Column:

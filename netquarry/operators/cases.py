@@ -186,15 +186,26 @@ def assign_cases(
 
 
 def assign_ordinals(
-    rows: DataFrame, order_us: str, order: Sequence[str], last: int = 0, piece_seconds: int = 86400
+    rows: DataFrame, order_us: str, order: Sequence[str], last: int = 0
 ) -> DataFrame:
-    """``ordinal`` = ``last`` + place in the order. Numbered by pieces of time, so no task holds
-    more than a piece."""
-    keyed = rows.withColumn("_one", F.lit(1))
+    """``ordinal`` = ``last`` + place in the order. Rows are range-partitioned by the order and
+    numbered inside their partition; the sizes of the partitions before give the rest. However
+    many rows share an instant, they are dealt by the other order columns."""
+    keys = [order_us, *order]
+    place = F.monotonically_increasing_id()
+    numbered = materialize(
+        rows.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_part", F.shiftright(place, 33))
+        .withColumn("_local", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
-        ranked(keyed, ["_one"], [order_us, *order], order_us, piece_seconds)
-        .withColumn("ordinal", F.col("_rank") + last + 1)
-        .drop("_one", "_rank", "_size")
+        numbered.join(before, "_part")
+        .withColumn("ordinal", F.col("_before") + F.col("_local") + last + 1)
+        .drop("_part", "_local", "_before")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
-from typing import Any
+from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +41,30 @@ KEYS = ["_b", "_entity"]
 PIECES_PER_WINDOW = 30
 
 
+class Checked:
+    """Refuses thresholds that would fire on nothing or divide by zero."""
+
+    positive: ClassVar[tuple[str, ...]] = ()
+
+    def __post_init__(self) -> None:
+        for name in self.positive:
+            value = getattr(self, name)
+            if value is not None and value <= 0:
+                raise ValueError(f"{type(self).__name__}.{name} must be above zero, not {value}")
+
+
+# fixed values: the defaults of the parameters below
 @dataclass(frozen=True)
-class PortScanParams:
+class PortScanParams(Checked):
+    positive = ("distinct_ports", "distinct_hosts", "min_flows")
     distinct_ports: int = 20
     distinct_hosts: int = 15
     min_flows: int = 20
 
 
 @dataclass(frozen=True)
-class AuthBurstParams:
+class AuthBurstParams(Checked):
+    positive = ("failures", "burst_seconds", "burst")
     failures: int = 10
     burst_seconds: int = 120
     burst: int | None = None
@@ -58,7 +73,11 @@ class AuthBurstParams:
 
 
 @dataclass(frozen=True)
-class DnsParams:
+class DnsParams(Checked):
+    positive = (
+        "unique_subdomains", "entropy_threshold", "long_label_chars", "long_queries",
+        "nxdomain_failures", "nxdomain_ratio",
+    )
     unique_subdomains: int = 50
     entropy_threshold: float = 3.5
     long_label_chars: int = 40
@@ -69,7 +88,8 @@ class DnsParams:
 
 
 @dataclass(frozen=True)
-class BeaconParams:
+class BeaconParams(Checked):
+    positive = ("min_connections", "min_interval_seconds", "max_jitter")
     min_connections: int = 10
     min_interval_seconds: float = 5.0
     max_jitter: float = 0.15
@@ -80,7 +100,8 @@ class BeaconParams:
 
 
 @dataclass(frozen=True)
-class VolumeParams:
+class VolumeParams(Checked):
+    positive = ("min_bytes", "min_samples", "full_confidence_samples")
     stddev_multiplier: float = 3.0
     p95_multiplier: float = 2.0
     min_bytes: int = 50 * MIB

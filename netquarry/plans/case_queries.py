@@ -411,7 +411,7 @@ def q_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("incident_id"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
     )
-    return C.assign_ordinals(rows, "us", ["incident_id"], 100, 30 * A.DAY).drop("us")
+    return C.assign_ordinals(rows, "us", ["incident_id"], 100).drop("us")
 
 
 # Requests come from orders in date order; the recursion is the state machine.

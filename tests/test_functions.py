@@ -213,3 +213,17 @@ def test_markdown(spark):
         "`*bold* [x](y)`", "`tab here`"]
     assert column(spark, ["a\n```\nb"], markdown.md_fence(F.col("v"), "json")) == ["````json\na\n```\nb\n````"]
     assert column(spark, ["    code\n\n  b", "\n \n"], markdown.md_prose(F.col("v"))) == ["code\n\nb", "_(empty)_"]
+
+
+def test_thresholds_must_be_positive():
+    import pytest
+
+    from netquarry.operators.rules import AuthBurstParams, BeaconParams, PortScanParams
+
+    for make in (
+        lambda: PortScanParams(distinct_ports=0),
+        lambda: AuthBurstParams(burst=-1),
+        lambda: BeaconParams(max_jitter=0),
+    ):
+        with pytest.raises(ValueError):
+            make()
