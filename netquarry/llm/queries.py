@@ -12,6 +12,7 @@ from netquarry.llm import (
     langid,
     line_dedup,
     nn_descent,
+    oracles,
     packing,
     repetition,
     secret_ledger,
@@ -57,12 +58,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.occurrences(documents(spark, sf_dir)).drop("row_key")
 
 
-@query("op5_repetition")
+@query("op5_repetition", oracles.REPETITION)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
-@query("op6_nn_descent")
+@query("op6_nn_descent", oracles.VECTORS)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,7 +78,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-@query("op9_secret_ledger")
+@query("op9_secret_ledger", oracles.SECRETS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secrets(documents(spark, sf_dir))
 
