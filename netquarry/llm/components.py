@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.staging import checkpointed
+from netquarry.llm.staging import stage
 
 ROUNDS = 60
 
@@ -22,7 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = edges.filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    edges = checkpointed(edges.distinct())
+    edges = stage(edges.distinct(), "edges")
     state = fingerprint(edges)
     for _ in range(ROUNDS):
         if state[0] == 0:
@@ -34,7 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v")
-            .distinct()
         )
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -51,7 +50,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        edges = checkpointed(small)
+        edges = stage(small, "edges")
         after = fingerprint(edges)
         if after == state:
             break
