@@ -240,6 +240,6 @@ def test_line_groups(spark):
 
 def test_long_lines_use_wide_counters(spark):
     text = "apple a berry c citron " * 10000
-    docs = spark.createDataFrame([(1, text), (2, "apple a berry c citron " * 2)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "apple a berry c citron " * 10)], "doc_id long, text string")
     rows = {r.doc_id: r.fp for r in line_dedup.fingerprinted(docs).collect()}
     assert rows[1] == rows[2]
