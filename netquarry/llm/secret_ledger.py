@@ -162,7 +162,9 @@ def scan(
     work = f"{ledger}/work/{stage_path(spark, 'scan').rsplit('-', 1)[-1]}"
     todo.write.parquet(work)  # the anti-join reads what is appended below
     todo = spark.read.schema("blob binary, path long, wanted array<string>").parquet(work)
-    texts = rows.join(todo, ["blob", "path"]).select("blob", "text", "wanted")
+    # repeated rows, and rows without an id, share blob and path; their texts are the same
+    copies = rows.join(todo, ["blob", "path"]).dropDuplicates(["blob", "path"])
+    texts = copies.select("blob", "text", "wanted")
     matches(texts, rules).write.mode("append").parquet(f"{ledger}/findings")
     done = todo.select("blob", F.col("wanted").alias("rules"))
     done.write.mode("append").parquet(f"{ledger}/seen")
