@@ -243,3 +243,11 @@ def test_long_lines_use_wide_counters(spark):
     docs = spark.createDataFrame([(1, text), (2, "apple a berry c citron " * 10)], "doc_id long, text string")
     rows = {r.doc_id: r.fp for r in line_dedup.fingerprinted(docs).collect()}
     assert rows[1] == rows[2]
+
+
+def test_no_word_of_a_line_is_left_out_of_its_hash(spark):
+    long = " ".join(f"extraordinary{i}" for i in range(3))
+    texts = [long + " " + " ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = (r.fp for r in line_dedup.fingerprinted(docs).collect())
+    assert ((a ^ b) & (2**64 - 1)).bit_count() > 10
