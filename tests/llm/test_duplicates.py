@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from netquarry.llm import line_dedup, nn_descent, simhash_gray
 from netquarry.llm.components import components
@@ -245,6 +246,50 @@ def test_long_lines_use_wide_counters(spark):
     assert rows[1] == rows[2]
 
 
+def test_line_recall_against_edit_similarity_alone(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 12)))
+    kinds, lines = [], []
+    for n in (1, 6, 8, 10, 20, 30, 40):
+        for kind in ("typo", "word", "typos"):
+            for _ in range(25):
+                words = [word() for _ in range(n)]
+                if n == 1:  # one token
+                    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(30, 300)))]
+                line = " ".join(words)
+                if kind == "word" and n > 1:
+                    words[rng.randrange(n)] = word()
+                    other = " ".join(words)
+                else:
+                    other = list(line)
+                    for _ in range(1 if kind == "typo" else max(2, len(line) // 40)):
+                        other[rng.randrange(len(other))] = rng.choice(letters)
+                    other = "".join(other)
+                if line != other and distance(line, other) <= len(line) // 5:
+                    kinds.append((n, kind))
+                    lines += [line, other]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r.class_doc for r in line_dedup.occurrences(docs).collect()}
+    found = defaultdict(list)
+    for i, kind in enumerate(kinds):
+        assert first[2 * i] == 2 * i and first[2 * i + 1] in (2 * i, 2 * i + 1)
+        found[kind].append(first[2 * i + 1] == 2 * i)
+    shares = {k: sum(v) / len(v) for k, v in found.items()}
+    print("recall", sum(map(sum, found.values())), len(kinds), shares)
+    # several typos in a long line are the hardest: most of its word pairs change (see README)
+    assert sum(map(sum, found.values())) >= 0.95 * len(kinds), shares
+    assert min(v for (_, kind), v in shares.items() if kind != "typos") >= 0.8, shares
+
+
+def test_allowed_edits_are_whole_fifths(spark):
+    docs = spark.createDataFrame([(1, "abcde" * 7), (2, "abcde" * 6 + "abcxx")], "doc_id long, text string")
+    sizes = docs.select(line_dedup.edits(F.length("text")).alias("n")).collect()
+    assert [r.n for r in sizes] == [7, 7]
+    assert {r.class_doc for r in line_dedup.occurrences(docs).collect()} == {1}
+
+
 def test_no_word_of_a_line_is_left_out_of_its_hash(spark):
     long = " ".join(f"extraordinary{i}" for i in range(3))
     texts = [long + " " + " ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
