@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -523,16 +524,20 @@ def _prune(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ sweep
 
 
-def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [A.flows, A.auth_alerts, A.dns_events]
+#: The feeds of the sweep; those that the SQL of ``sweep_scored`` knows of.
+FEEDS = (A.flows, A.auth_alerts, A.dns_events, A.beacon_flows)
+SCORED_FEEDS = FEEDS[:3]
+
+
+def _everything(spark: SparkSession, sf_dir: str, parts=FEEDS) -> DataFrame:
     frames = [
         make(spark, sf_dir).withColumn("id", F.concat(F.lit(f"{i}-"), F.col("id")))
         for i, make in enumerate(parts)
     ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return reduce(DataFrame.unionByName, frames)
 
 
-def _sweep(spark: SparkSession, sf_dir: str, rules=None):
+def _sweep(spark: SparkSession, sf_dir: str, rules=None, parts=FEEDS):
     nets = A.networks(spark, sf_dir)
     stored = nets.filter(F.col("cidr").endswith("/32")).select(
         "asset_id",
@@ -545,7 +550,7 @@ def _sweep(spark: SparkSession, sf_dir: str, rules=None):
     )
     start = datetime.fromtimestamp(A.BASE, tz=UTC)
     end = datetime.fromtimestamp(A.BASE + 7200, tz=UTC)
-    return sweep(_everything(spark, sf_dir), start, end, nets, stored, rules=rules)
+    return sweep(_everything(spark, sf_dir, parts), start, end, nets, stored, rules=rules)
 
 
 @query("sweep_alerts")
@@ -591,5 +596,5 @@ def q_sweep_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netquarry.operators.rules import RULES
 
     chosen = [RULES[r] for r in ("D-001", "D-002", "D-005")]
-    alerts, _, _, _ = _sweep(spark, sf_dir, chosen)
+    alerts, _, _, _ = _sweep(spark, sf_dir, chosen, SCORED_FEEDS)
     return alerts.select("dedup_key", "event_count", "severity")

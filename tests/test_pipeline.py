@@ -149,3 +149,10 @@ def test_checksums(spark, tmp_path):
                                      "id string, path string, sha256 string")
     got = {r.id: (r.ok, r.sha256 is not None) for r in verify_datasets(spark, registry, str(tmp_path)).collect()}
     assert got == {"a": (True, True), "b": (False, True), "c": (False, False)}
+
+
+def test_sweep_alerts_know_the_beacon_feed(spark):
+    from netquarry.plans.case_queries import q_sweep
+
+    alerts = q_sweep(spark, "/root/testdata/sf0.01").select("rule_id").distinct().collect()
+    assert "D-004" in {r.rule_id for r in alerts}
