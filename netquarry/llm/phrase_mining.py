@@ -6,8 +6,8 @@ and larger; the equal part goes on at the next depth, and its size is the count
 spelled so far. A part that holds fewer suffixes than the least count is abandoned at once.
 
 So that a partition is whole in one task, suffixes are first routed by their leading words: by the
-first one, or by the first three where the first is so frequent that its suffixes would not fit a
-task; the pairs of such a word are then added up over the routes. Before they travel, the suffixes
+first one; by two where the first is so frequent that its suffixes would not fit a task; by three
+where the first two are, and such a pair is then added up over the routes. Before they travel, the suffixes
 of a few million words are put in order in their own task, and equal ones become one with a count,
 so a passage that many documents share costs one suffix a batch. They travel as compressed columns
 of word numbers beside the words.
@@ -42,10 +42,13 @@ BLANKS = " \t"
 #: Words in a phrase, least count, rows a language.
 LONGEST, LEAST, MOST = 5, 100, 2000
 #: Characters put in order at once before they travel, and suffixes meant for one route.
-BATCH_CHARS, ROUTE_SUFFIXES = 12_000_000, 1_000_000
-#: Words that may be too frequent for one route: with this many or fewer routes' worth of words
-#: the list of them cannot be longer than this (8 bytes each).
-HEAVY_MOST = 1 << 22
+BATCH_CHARS, ROUTE_SUFFIXES = 12_000_000, 2_000_000
+#: The lists of words and pairs that are too frequent for one route cannot be longer than this
+#: (8 bytes each). A batch reports its pairs with at least 1 / PAIR_SHARE of its words, so a pair
+#: that no list has holds less than a route's limit and that share of all words.
+HEAVY_MOST, PAIR_SHARE = 1 << 22, 65_536
+#: Routes share shuffle partitions beyond this many; a task then takes them one after another.
+MOST_PARTS = 1 << 17
 
 TABLE = bytes(
     10 if chr(b) in ENDS else 32 if chr(b) in BLANKS else b + 32 if 65 <= b <= 90 else b
@@ -62,6 +65,18 @@ COUNTED = pa.schema(
 COUNTED_DDL = "lang string, phrase string, k int, f long"
 
 
+def counted(lang: str, phrases: list[str], k: int, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang] * len(phrases), pa.string()),
+            pa.array(phrases, pa.string()),
+            pa.array(np.full(len(phrases), k, dtype=np.int32)),
+            pa.array(f.astype(np.int64)),
+        ],
+        schema=COUNTED,
+    )
+
+
 @dataclass(frozen=True)
 class Words:
     """The words of a batch: numbers from 1, in order, and 0 at the end of each piece."""
@@ -133,28 +148,32 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """lang, phrase (one word), k = 1, f."""
+    """lang, phrase, k, f: every word (k = 1), and the pairs frequent in some batch (k = 2), each
+    with its count in those batches."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in batches_of(rows, batch_chars):
             words = words_of(texts)
             f = np.bincount(words.numbers, minlength=len(words.names) + 1)[1:]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(f), pa.string()),
-                    pa.array([w.decode() for w in words.names], pa.string()),
-                    pa.array(np.ones(len(f), dtype=np.int32)),
-                    pa.array(f.astype(np.int64)),
-                ],
-                schema=COUNTED,
-            )
+            names = [w.decode() for w in words.names]
+            yield counted(lang, names, 1, f)
+            ahead, after = words.numbers[:-1].astype(np.int64), words.numbers[1:].astype(np.int64)
+            pairs = np.sort((ahead << 32 | after)[(ahead > 0) & (after > 0)])
+            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]) if len(pairs) else [])
+            f = np.diff(np.append(first, len(pairs)))
+            often = f >= max(2, len(words.numbers) // PAIR_SHARE)
+            spelled = [
+                f"{names[(p >> 32) - 1]} {names[(p & 0xFFFFFFFF) - 1]}"
+                for p in pairs[first[often]].tolist()
+            ]
+            yield counted(lang, spelled, 2, f[often])
 
     found = texts_of(docs).mapInArrow(count, COUNTED_DDL)
     return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def key_of(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\x00" + word) >> 1
+    return xxhash.xxh64_intdigest(lang.encode() + b"\x00" + word)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -163,6 +182,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first) + second)
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Keys of the words, and of the pairs, whose suffixes go to several routes. All tasks route by
+    the same lists; a word or pair whose key collides is routed like a frequent one."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+
+    @staticmethod
+    def of(rows: list) -> Frequent:
+        words = {key_of(r.lang, r.phrase.encode()) for r in rows if r.k == 1}
+        pairs = []
+        for r in rows:
+            if r.k == 2:
+                a, b = (
+                    np.array([key_of(r.lang, w.encode())], np.uint64) for w in r.phrase.split(" ")
+                )
+                pairs.append(pair_keys(a, b)[0])
+        return Frequent(np.array(sorted(words), np.uint64), np.array(sorted(pairs), np.uint64))
+
+    def spread_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which suffixes are routed by three words, given the keys of the first two."""
+        far = np.isin(first, self.words)
+        far[far] = np.isin(pair_keys(first[far], second[far]), self.pairs)
+        return far
+
+
 @dataclass(frozen=True)
 class Suffixes:
     """Where suffixes of two or more words start, how many words each has, and the words."""
@@ -235,7 +285,7 @@ def renumbered(part: np.ndarray, words: int, scratch: np.ndarray) -> tuple[np.nd
 
 
 def packed_suffixes(
-    docs: DataFrame, routes: int, heavy: np.ndarray, batch_chars: int = BATCH_CHARS
+    docs: DataFrame, routes: int, frequent: Frequent, batch_chars: int = BATCH_CHARS
 ) -> DataFrame:
     """route, lang, n, words, columns: compressed runs of suffixes with counts."""
     codec = "zstd"
@@ -246,18 +296,21 @@ def packed_suffixes(
             if not words.names:
                 continue
             keys = np.array([0] + [key_of(lang, w) for w in words.names], dtype=np.uint64)
-            often = np.isin(keys, heavy)
             found = suffixes(words.numbers)
             if not len(found.starts):
                 continue
-            lead = found.column(0)
-            route = mixed(keys[lead])
-            far = np.flatnonzero(often[lead])
-            deep = route[far]
-            for k in (1, 2):
-                deep = mixed(deep + keys[found.column(k)[far]])
-            route[far] = deep
-            route, rows_, counts = combined(route % np.uint64(routes), found)
+            first, second = keys[found.column(0)], keys[found.column(1)]
+            route = mixed(first)
+            far = np.flatnonzero(np.isin(first, frequent.words))
+            route[far] = pair_keys(first[far], second[far])
+            far = far[frequent.spread_pairs(first[far], second[far])]
+            route[far] = mixed(route[far] + keys[found.column(2)[far]])
+            spread = np.zeros(len(route), dtype=np.uint64)
+            spread[far] = 1
+            route = route % np.uint64(routes) << np.uint64(1) | spread
+            route, rows_, counts = combined(route, found)
+            counts = counts << 1 | (route & np.uint64(1)).astype(np.int64)
+            route >>= np.uint64(1)
             starts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
             scratch = np.zeros(len(words.names) + 1, dtype=np.int32)
             out: list[tuple] = []
@@ -277,11 +330,13 @@ def packed_suffixes(
     return texts_of(docs).mapInArrow(pack, PACKED_DDL)
 
 
-def unpacked(n: int, words: bytes, columns: bytes) -> tuple[list[bytes], np.ndarray]:
+def unpacked(n: int, words: bytes, columns: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(words, columns of a block; the last holds twice the count, plus one if spread)."""
     size = int.from_bytes(words[:4], "little")
-    names = pa.decompress(words[4:], size, "zstd", asbytes=True).split(b"\n")
+    names = pa.decompress(words[4:], size, "zstd", asbytes=True)
+    names = pc.split_pattern(pa.array([names], pa.large_binary()).cast(pa.large_string()), "\n")
     body = pa.decompress(columns, 4 * (LONGEST + 1) * n, "zstd", asbytes=True)
-    return names, np.frombuffer(body, dtype="<u4").reshape(LONGEST + 1, n)
+    return names.flatten(), np.frombuffer(body, dtype="<u4").reshape(LONGEST + 1, n)
 
 
 def quicksort_counts(
@@ -345,42 +400,33 @@ def quicksort_counts(
 
 
 def phrases_of_route(
-    parts: list[tuple[int, bytes, bytes]], lang: str, heavy: np.ndarray, least: int
+    parts: list[tuple[int, bytes, bytes]], lang: str, least: int
 ) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of one route and language."""
-    numbers: dict[bytes, int] = {}
-    blocks = []
-    for n, words, columns in parts:
-        names, body = unpacked(n, words, columns)
-        to = np.array(
-            [0] + [numbers.setdefault(name, len(numbers) + 1) for name in names], dtype=np.int32
-        )
+    read = [unpacked(*part) for part in parts]
+    coded = pa.concat_arrays([names for names, _ in read]).dictionary_encode()
+    names = [b"", *(name.encode() for name in coded.dictionary.to_pylist())]
+    numbers = coded.indices.to_numpy() + 1
+    blocks, at = [], 0
+    for own, body in read:
+        to = np.append(0, numbers[at : at + len(own)]).astype(np.int32)
+        at += len(own)
         blocks.append(np.vstack([to[body[:LONGEST]], body[LONGEST:].astype(np.int32)]))
+    del read, coded, numbers
     table = np.hstack(blocks)
-    columns, weights = table[:LONGEST], table[LONGEST].astype(np.int64)
-    names = [b"", *numbers]
-    keys = np.array([0] + [key_of(lang, w) for w in names[1:]], dtype=np.uint64)
-    often = np.isin(keys, heavy)
+    columns, weights = table[:LONGEST], table[LONGEST].astype(np.int64) >> 1
+    spread = (table[LONGEST] & 1).astype(bool)
 
     def rows(k: int, at: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        spelled = [b" ".join(names[w] for w in columns[:k, p]).decode() for p in at]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(at), pa.string()),
-                pa.array(spelled, pa.string()),
-                pa.array(np.full(len(at), k, dtype=np.int32)),
-                pa.array(f),
-            ],
-            schema=COUNTED,
-        )
+        spelled = [b" ".join([names[w] for w in columns[:k, p]]).decode() for p in at]
+        return counted(lang, spelled, k, f)
 
     for k, at, f in quicksort_counts(columns, weights, least):
-        if k == 2:  # those of frequent first words are counted below, over all their suffixes
-            rest = ~often[columns[0, at]]
-            at, f = at[rest], f[rest]
+        if k == 2:  # the pairs that other routes have too are counted below, whatever their size
+            at, f = at[~spread[at]], f[~spread[at]]
         if len(at):
             yield rows(k, at, f)
-    far = np.flatnonzero(often[columns[0]])
+    far = np.flatnonzero(spread)
     if len(far):
         pairs = columns[0, far].astype(np.int64) << 32 | columns[1, far]
         _, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
@@ -397,19 +443,16 @@ def phrase_counts(
 ) -> DataFrame:
     """lang, phrase, k, f of all phrases of 2 to 5 words with ``f >= least``."""
     spark = docs.sparkSession
-    total = words.agg(F.sum("f")).first()[0] or 0
-    # no more than HEAVY_MOST words can have this share of all words
+    total = words.filter("k = 1").agg(F.sum("f")).first()[0] or 0
+    # no more than HEAVY_MOST words, or pairs, can have this share of all words
     bound = max(route_suffixes // 4, total // HEAVY_MOST) + 1
-    frequent = words.filter(F.col("f") >= bound).select("lang", "phrase").collect()
-    heavy = np.array(
-        sorted(key_of(r.lang, r.phrase.encode()) for r in frequent), dtype=np.uint64
-    )
+    frequent = Frequent.of(words.filter(F.col("f") >= bound).select("lang", "phrase", "k").collect())
     dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     routes = max(dealt, -(-total // route_suffixes))
-    packed = packed_suffixes(docs, routes, heavy, batch_chars)
-    placed = packed.repartition(min(routes, 1 << 17), "route").sortWithinPartitions(
-        "route", "lang"
-    )
+    packed = packed_suffixes(docs, routes, frequent, batch_chars)
+    parts = min(routes, MOST_PARTS)
+    placed = packed.repartitionById(parts, (F.col("route") % parts).cast("int"))
+    placed = placed.sortWithinPartitions("route", "lang")
 
     def mine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -417,12 +460,12 @@ def phrase_counts(
             columns = [column.to_pylist() for column in batch.columns]
             for route, lang, n, names, body in zip(*columns, strict=True):
                 if current is not None and current != (route, lang):
-                    yield from phrases_of_route(parts, current[1], heavy, least)
+                    yield from phrases_of_route(parts, current[1], least)
                     parts = []
                 current = (route, lang)
                 parts.append((n, names, body))
         if parts:
-            yield from phrases_of_route(parts, current[1], heavy, least)
+            yield from phrases_of_route(parts, current[1], least)
 
     found = placed.mapInArrow(mine, COUNTED_DDL)
     return (
@@ -432,10 +475,6 @@ def phrase_counts(
     )
 
 
-def joined_words(words, start: int, size) -> F.Column:
-    return F.array_join(F.slice(words, start, size), " ")
-
-
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, phrase, k, a, l, r, n, score: the lowest score over the cuts of each phrase."""
     words = F.split("phrase", " ")
@@ -494,9 +533,10 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``most`` phrases."""
     words = stage(word_counts(docs, batch_chars), "phrase-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    single = words.filter("k = 1")
+    totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
     found = phrase_counts(docs, words, least, route_suffixes, batch_chars)
-    counts = stage(words.filter(F.col("f") >= least).unionByName(found), "phrase-counts")
+    counts = stage(single.filter(F.col("f") >= least).unionByName(found), "phrase-counts")
     kept = (
         scored(counts, totals)
         .join(covered(counts), ["lang", "phrase"], "left")
