@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 MICRO = 1_000_000
 
 
-def with_piece(df: DataFrame, at_us: str, seconds: int, name: str = "_piece") -> DataFrame:
+def with_piece(
+    df: DataFrame, at_us: str, seconds: int | Column, name: str = "_piece"
+) -> DataFrame:
+    """``seconds`` may differ from group to group."""
     return df.withColumn(name, F.floor(F.col(at_us) / F.lit(seconds * MICRO)).cast("bigint"))
 
 
@@ -40,7 +43,11 @@ def carry_in(
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], at_us: str, piece_seconds: int
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    at_us: str,
+    piece_seconds: int | Column,
 ) -> DataFrame:
     """``_rank`` (0-based) and ``_size`` of every row in its group ordered by ``order``, whose
     first column must be ``at_us``."""
@@ -63,15 +70,22 @@ def ranked(
     )
 
 
-def densest_span(df: DataFrame, keys: Sequence[str], at_us: str, seconds: int) -> DataFrame:
+def _counted(weight: str | None) -> Column:
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def densest_span(
+    df: DataFrame, keys: Sequence[str], at_us: str, seconds: int, weight: str | None = None
+) -> DataFrame:
     """``(keys, max_burst)``: the most rows any span of ``seconds``, both ends included, holds.
+    With ``weight`` a row counts that many times.
 
     Rows of one instant are counted together first. Pieces are as long as the span, so the span
     ending at a row reaches into the piece before and no further: each instant is also sent,
     marked, to the piece after its own.
     """
     span_us = seconds * MICRO
-    counts = with_piece(df.groupBy(*keys, at_us).agg(F.count("*").alias("_n")), at_us, seconds)
+    counts = with_piece(df.groupBy(*keys, at_us).agg(_counted(weight).alias("_n")), at_us, seconds)
     both = F.explode(
         F.array(
             F.struct(F.col("_piece").alias("p"), F.lit(True).alias("own")),
@@ -95,22 +109,28 @@ def densest_span(df: DataFrame, keys: Sequence[str], at_us: str, seconds: int) -
 
 
 def interval_stats(
-    df: DataFrame, keys: Sequence[str], at_us: str, piece_seconds: int
+    df: DataFrame,
+    keys: Sequence[str],
+    at_us: str,
+    piece_seconds: int,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(keys, connections, first_us, last_us, mean_interval, stddev_interval, jitter)``.
 
     The mean needs only the ends. The spread needs the squares of adjacent differences: inside
     a piece by ``lag``, across pieces from each piece's ends. Sums are exact integers, so the
-    result does not depend on order of arithmetic. One row alone has no interval (NULLs).
+    result does not depend on order of arithmetic. One row alone has no interval (NULLs). With
+    ``weight`` a row stands for that many at its instant, which are no time apart.
     """
-    cut = with_piece(df.select(*keys, at_us), at_us, piece_seconds)
+    wanted = [*keys, at_us] if weight is None else [*keys, at_us, weight]
+    cut = with_piece(df.select(*wanted), at_us, piece_seconds)
     local = Window.partitionBy(*keys, "_piece").orderBy(at_us)
     step = (F.col(at_us) - F.lag(at_us).over(local)).cast("decimal(18,0)")
     per_piece = (
         cut.withColumn("_d", step)
         .groupBy(*keys, "_piece")
         .agg(
-            F.count("*").alias("_n"),
+            _counted(weight).alias("_n"),
             F.min(at_us).alias("_lo"),
             F.max(at_us).alias("_hi"),
             F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0)).alias("_sq"),
@@ -169,7 +189,7 @@ def sample_contributors(
     keys: Sequence[str],
     at_us: str,
     row_id: str,
-    piece_seconds: int,
+    piece_seconds: int | Column,
     k: int = 20,
     peak: str | None = None,
 ) -> DataFrame:

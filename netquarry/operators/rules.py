@@ -1,14 +1,21 @@
-"""The five detection rules and their registry.
+"""The five detection rules, their shared scan, and their registry.
 
-Each rule takes events and returns one row per firing ``(window, entity)``. Every rule first
-reduces events to partial tallies on a key finer than the entity (host and port, name, …), so
-the rows of one busy source are combined in their own tasks before they meet.
+A rule says which events serve it and on which fine keys they are tallied (host and port, name,
+instant, …), and folds stored tallies into firing ``(window, entity)`` groups. All rules of a run
+share two reads of the events:
+
+1. one expansion tags each event with the rules it serves, and one exchange tallies them all, so the
+   rows of one busy source are combined in their own tasks before they meet;
+2. the groups that fired, few beside the events, pick their contributors for samples.
+
+Lists, bursts and intervals come from the stored tallies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +38,7 @@ from netquarry.operators.pieces import (
     sample_contributors,
     smallest_k,
 )
-from netquarry.session import materialize
+from netquarry.session import materialize, stored
 
 # fixed values
 SATURATION = 3.0
@@ -109,6 +116,34 @@ class VolumeParams(Checked):
     full_confidence_samples: int = 168
 
 
+@dataclass(frozen=True)
+class Feed:
+    """Which events serve a rule, whom they count for, and what is tallied."""
+
+    kept: Column
+    entity: Column
+    #: up to three keys of the finest tallies, and whether each instant is a key too
+    keys: tuple[Column, ...]
+    instants: bool = False
+    #: up to two sums
+    amounts: tuple[Column, ...] = ()
+    #: contributors are told apart by this too (as well as by window and entity)
+    part: Column | None = None
+    peak: Column | None = None
+    note: Column | None = None
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``feed(params)`` names the events, ``fire`` folds tallies into firing groups, ``look`` adds
+    what only the contributors of firing groups tell, ``evidence`` names the fields."""
+
+    feed: Callable[[Any], Feed]
+    fire: Callable[..., DataFrame]
+    evidence: Callable[[Any], list[Column]]
+    look: Callable[..., DataFrame] | None = None
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -120,6 +155,8 @@ class Rule:
     version: int = 1
     needs_baselines: bool = False
     mitre_hint: str = ""
+    #: how the rule takes part in a shared scan; a rule without one is run by ``detect`` alone
+    plan: Plan | None = None
 
     def spec(self) -> dict[str, Any]:
         return {
@@ -149,15 +186,6 @@ class Rule:
         return self.detect(events, self.params, rule=self, detail=detail, scope=scope)
 
 
-def _keyed(events: DataFrame, entity: Column, seconds: int) -> DataFrame:
-    return (
-        events.withColumn("_entity", entity)
-        .filter(F.col("_entity").isNotNull())
-        .withColumn("_b", bucket_seconds(F.col("event_time"), seconds))
-        .withColumn("_us", F.unix_micros("event_time"))
-    )
-
-
 def _signal(ratio: Column) -> Column:
     return F.bround(F.least(F.lit(1.0), ratio / SATURATION), 4)
 
@@ -171,45 +199,178 @@ def _strings(values: Column) -> Column:
 
 
 def _firing(rows: DataFrame, fired: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The contributors of the groups that fired. ``fired`` has been stored and is small beside
-    the events, so this is a filter on the scan rather than a second aggregation."""
+    """The rows of the groups that fired, which are stored and few."""
     return rows.join(fired.select(*keys), list(keys), "left_semi")
 
 
+def _text(value: Column | None) -> Column:
+    return F.lit(None).cast("string") if value is None else value.cast("string")
+
+
+def _number(value: Column | None) -> Column:
+    return F.lit(None).cast("bigint") if value is None else value.cast("bigint")
+
+
+def _tag(rule: Rule) -> tuple[Column, Column]:
+    """Whether an event serves a rule, and its fields for that rule."""
+    feed = rule.plan.feed(rule.params)
+    key = dict(enumerate(feed.keys))
+    amount = dict(enumerate(feed.amounts))
+    fields = F.struct(
+        F.lit(rule.rule_id).alias("rule_id"),
+        feed.entity.cast("string").alias("_entity"),
+        bucket_seconds(F.col("event_time"), rule.window_seconds).cast("bigint").alias("_b"),
+        *[_text(key.get(i)).alias(f"k{i + 1}") for i in range(3)],
+        _number(F.unix_micros("event_time") if feed.instants else None).alias("_at"),
+        *[_number(amount.get(i)).alias(f"s{i + 1}") for i in range(2)],
+        F.coalesce(_text(feed.part), F.lit("")).alias("_part"),
+        _number(feed.peak).alias("_weight"),
+        _text(feed.note).alias("_note"),
+    )
+    return feed.kept & feed.entity.isNotNull(), fields
+
+
+def tagged(
+    events: DataFrame, rules: Sequence[Rule], scope: Sequence[str] = (), every: bool = False
+) -> DataFrame:
+    """One row for each event and rule that it serves, in one layout. ``every`` adds a row with
+    the rule ``*`` for each event, so that the tallies count them all."""
+    tags = [_tag(rule) for rule in rules]
+    at = F.unix_micros("event_time").alias("_us")
+    if len(tags) == 1 and not every:
+        kept, fields = tags[0]
+        rows = events.filter(kept).select(*scope, "id", at, fields.alias("_t"))
+        return rows.select(*scope, "id", "_us", "_t.*")
+    served = [F.when(kept, fields) for kept, fields in tags]
+    if every:
+        shape = tags[0][1]
+        nothing = F.struct(
+            F.lit("*").alias("rule_id"),
+            *[
+                F.lit(None).cast(kind).alias(name)
+                for name, kind in events.select(shape.alias("t")).select("t.*").dtypes
+                if name != "rule_id"
+            ],
+        )
+        served.append(nothing)
+    expanded = events.select(
+        *scope, "id", at, F.explode(F.array_compact(F.array(*served))).alias("_t")
+    )
+    return expanded.select(*scope, "id", "_us", "_t.*")
+
+
+def tallied(tags: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The finest tallies of all rules. Sums, counts and ends only: they combine map-side."""
+    return tags.groupBy("rule_id", *scope, *KEYS, "k1", "k2", "k3", "_at").agg(
+        F.count("*").alias("n"),
+        F.sum("s1").alias("s1"),
+        F.sum("s2").alias("s2"),
+        F.min("_us").alias("lo"),
+        F.max("_us").alias("hi"),
+    )
+
+
+def run_rules(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    baselines: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    detail: bool = True,
+    scope: Sequence[str] = (),
+    every: bool = False,
+    failed: Callable[[Rule, Exception], None] | None = None,
+) -> tuple[dict[str, DataFrame], int | None]:
+    """Firing groups by rule, from two reads of ``events``; with ``every`` also how many events
+    there were.
+
+    ``baselines`` is keyed by address, or makes such a table from the rule's tallies. A rule whose
+    groups cannot be formed is handed to ``failed`` while the others go on."""
+    keys = [*scope, *KEYS]
+    tags = tagged(events, rules, scope, every)
+    tallies = stored(tallied(tags, scope), "tallies", by=["rule_id"])
+    total = None
+    if every:
+        total = tallies.filter(F.col("rule_id") == "*").agg(F.sum("n")).first()[0] or 0
+
+    own: dict[str, DataFrame] = {}
+    fired: dict[str, DataFrame] = {}
+    for rule in rules:
+        try:
+            own[rule.rule_id] = tallies.filter(F.col("rule_id") == rule.rule_id).drop("rule_id")
+            history = baselines
+            if rule.needs_baselines and callable(baselines):
+                history = baselines(own[rule.rule_id])
+            extra = [history] if rule.needs_baselines else []
+            groups = rule.plan.fire(own[rule.rule_id], *extra, rule.params, keys)
+            if "_part" not in groups.columns:
+                groups = groups.withColumn("_part", F.lit(""))
+            fired[rule.rule_id] = materialize(groups)
+        except Exception as error:
+            if failed is None:
+                raise
+            failed(rule, error)
+    going = [rule for rule in rules if rule.rule_id in fired]
+    if not going:
+        return {}, total
+
+    asking = [rule for rule in going if detail or rule.plan.look is not None]
+    rows = samples = None
+    if asking:
+        asked = reduce(
+            DataFrame.unionByName,
+            [
+                fired[r.rule_id].select(F.lit(r.rule_id).alias("rule_id"), *keys, "_part")
+                for r in asking
+            ],
+        )
+        rows = tags.join(asked, ["rule_id", *keys, "_part"], "left_semi")
+        rows = stored(rows, "contributors", by=["rule_id"])
+    if detail:
+        seconds = reduce(
+            lambda rest, r: F.when(
+                F.col("rule_id") == r.rule_id, max(1, r.window_seconds // PIECES_PER_WINDOW)
+            ).otherwise(rest),
+            going,
+            F.lit(1),
+        )
+        samples = materialize(
+            sample_contributors(
+                rows.select("rule_id", *keys, "_us", "id", "_weight"),
+                ["rule_id", *keys],
+                "_us",
+                "id",
+                seconds,
+                peak="_weight",
+            )
+        )
+    found = {}
+    for rule in going:
+        groups = fired[rule.rule_id]
+        if rule.plan.look is not None:
+            theirs = rows.filter(F.col("rule_id") == rule.rule_id)
+            groups = rule.plan.look(groups, own[rule.rule_id], theirs, rule.params, keys)
+        picked = None
+        if samples is not None:
+            picked = samples.filter(F.col("rule_id") == rule.rule_id).drop("rule_id")
+        found[rule.rule_id] = _finish(rule, groups, picked, scope)
+    return found, total
+
+
 def _finish(
-    rule: Rule,
-    fired: DataFrame,
-    rows: DataFrame,
-    evidence: Sequence[Column],
-    detail: bool,
-    scope: Sequence[str],
-    peak: str | None = None,
+    rule: Rule, fired: DataFrame, samples: DataFrame | None, scope: Sequence[str]
 ) -> DataFrame:
     """The common output shape. ``fired`` carries ``_b, _entity, first_us, last_us, signal,
-    confidence, event_count`` and what the evidence names; ``rows`` the contributors."""
-    keys = [*scope, *KEYS]
+    confidence, event_count`` and what the evidence names."""
     start = F.timestamp_seconds(F.col("_b"))
     end = F.timestamp_seconds(F.col("_b") + rule.window_seconds)
     full = F.struct(
-        *evidence, iso_utc(start).alias("window_start"), iso_utc(end).alias("window_end")
-    )
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<event_id: STRING, role: STRING>>)")
-    if detail:
-        # only groups that fired are ranked
-        fired = materialize(fired)
-        columns = [*keys, "_us", "id"] + ([peak] if peak else [])
-        samples = sample_contributors(
-            _firing(rows, fired, keys).select(*columns),
-            keys,
-            "_us",
-            "id",
-            max(1, rule.window_seconds // PIECES_PER_WINDOW),
-            peak=peak,
-        )
-        fired = fired.join(samples, keys, "left")
-        shown = F.coalesce(F.col("samples"), empty)
-    else:
-        shown = empty
+        *rule.plan.evidence(rule.params),
+        iso_utc(start).alias("window_start"),
+        iso_utc(end).alias("window_end"),
+    )
+    shown = F.expr("CAST(array() AS ARRAY<STRUCT<event_id: STRING, role: STRING>>)")
+    if samples is not None:
+        fired = fired.join(samples, [*scope, *KEYS], "left")
+        shown = F.coalesce(F.col("samples"), shown)
     return fired.select(
         *scope,
         F.lit(rule.rule_id).alias("rule_id"),
@@ -227,6 +388,21 @@ def _finish(
     )
 
 
+def _alone(
+    rule_id: str,
+    events: DataFrame,
+    params: Any,
+    rule: Rule | None,
+    detail: bool,
+    scope: Sequence[str],
+    baselines: DataFrame | None = None,
+) -> DataFrame:
+    """One rule as a run of its own."""
+    chosen = replace(rule or RULES[rule_id], params=params, plan=RULES[rule_id].plan)
+    found, _ = run_rules(events, [chosen], baselines, detail, scope)
+    return found[chosen.rule_id]
+
+
 # ------------------------------------------------------------------ D-001
 
 
@@ -239,38 +415,37 @@ def detect_port_scan(
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """One source touching many distinct ports or hosts in a window."""
-    keys = [*scope, *KEYS]
-    rule = rule or RULES["D-001"]
-    rows = _keyed(
-        events.filter(
-            (F.col("event_type") == "flow")
-            & F.col("dest_ip").isNotNull()
-            & F.col("dest_port").isNotNull()
-        ),
-        F.col("src_ip"),
-        rule.window_seconds,
-    )
+    return _alone("D-001", events, params, rule, detail, scope)
+
+
+def _scan_feed(params: PortScanParams) -> Feed:
     silent = F.coalesce(F.col("pkts_toclient"), F.lit(0)) == 0
-    targets = rows.groupBy(*keys, "dest_ip", "dest_port").agg(
-        F.count("*").alias("n"),
-        F.count_if(silent).alias("silent"),
-        F.min("_us").alias("lo"),
-        F.max("_us").alias("hi"),
+    return Feed(
+        kept=(F.col("event_type") == "flow")
+        & F.col("dest_ip").isNotNull()
+        & F.col("dest_port").isNotNull(),
+        entity=F.col("src_ip"),
+        keys=(F.col("dest_ip"), F.col("dest_port")),
+        amounts=(silent.cast("int"),),
     )
-    tallies = targets.groupBy(*keys).agg(
+
+
+def _scan_fire(tallies: DataFrame, params: PortScanParams, keys: Sequence[str]) -> DataFrame:
+    targets = tallies.withColumn("k2", F.col("k2").cast("int"))
+    counted = targets.groupBy(*keys).agg(
         F.sum("n").alias("event_count"),
-        F.sum("silent").alias("unanswered"),
+        F.sum("s1").alias("unanswered"),
         F.count("*").alias("targets"),
-        F.count_distinct("dest_port").alias("ports"),
-        F.count_distinct("dest_ip").alias("hosts"),
+        F.count_distinct("k2").alias("ports"),
+        F.count_distinct("k1").alias("hosts"),
         F.min("lo").alias("first_us"),
         F.max("hi").alias("last_us"),
     )
     ratio = F.greatest(
         F.col("ports") / params.distinct_ports, F.col("hosts") / params.distinct_hosts
     )
-    fired = (
-        tallies.filter(
+    fired = materialize(
+        counted.filter(
             (F.col("event_count") >= params.min_flows)
             & (
                 (F.col("ports") >= params.distinct_ports)
@@ -280,12 +455,14 @@ def detect_port_scan(
         .withColumn("signal", _signal(ratio))
         .withColumn("confidence", _share(F.col("unanswered"), F.col("event_count")))
     )
-    fired = materialize(fired)
-    touched = _firing(rows, fired, keys)
-    fired = fired.join(
-        smallest_k(touched, keys, "dest_port", 20, "sample_ports"), keys, "left"
-    ).join(smallest_k(touched, keys, "dest_ip", 10, "sample_hosts"), keys, "left")
-    evidence = [
+    touched = _firing(targets, fired, keys)
+    return fired.join(smallest_k(touched, keys, "k2", 20, "sample_ports"), keys, "left").join(
+        smallest_k(touched, keys, "k1", 10, "sample_hosts"), keys, "left"
+    )
+
+
+def _scan_evidence(params: PortScanParams) -> list[Column]:
+    return [
         F.col("ports").alias("distinct_dest_ports"),
         F.col("hosts").alias("distinct_dest_hosts"),
         F.col("targets").alias("distinct_targets"),
@@ -296,7 +473,6 @@ def detect_port_scan(
         F.col("sample_ports").alias("sample_dest_ports"),
         F.col("sample_hosts").alias("sample_dest_hosts"),
     ]
-    return _finish(rule, fired, rows, evidence, detail, scope)
 
 
 # ------------------------------------------------------------------ D-002
@@ -311,19 +487,10 @@ def detect_auth_burst(
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """Authentication-failure signatures bursting inside a short span."""
-    keys = [*scope, *KEYS]
-    rule = rule or RULES["D-002"]
-    need = params.failures if params.burst is None else params.burst
-    rows = _keyed(
-        events.filter(
-            (F.col("event_type") == "alert")
-            & is_auth_failure(
-                F.col("sig_signature"), F.col("sig_category"), params.signature_patterns
-            )
-        ),
-        F.col("src_ip"),
-        rule.window_seconds,
-    )
+    return _alone("D-002", events, params, rule, detail, scope)
+
+
+def _burst_feed(params: AuthBurstParams) -> Feed:
     target = F.when(
         F.col("dest_ip").isNotNull(),
         F.concat(
@@ -331,21 +498,33 @@ def detect_auth_burst(
             F.coalesce(F.concat(F.lit(":"), F.col("dest_port").cast("string")), F.lit("")),
         ),
     )
-    category = F.substring(F.when(F.col("sig_category") != "", F.col("sig_category")), 1, 64)
-    parts = rows.groupBy(
-        *keys,
-        target.alias("target"),
-        F.col("sig_signature_id").alias("signature_id"),
-        category.alias("category"),
-    ).agg(F.count("*").alias("n"), F.min("_us").alias("lo"), F.max("_us").alias("hi"))
-    tallies = parts.groupBy(*keys).agg(
+    return Feed(
+        kept=(F.col("event_type") == "alert")
+        & is_auth_failure(
+            F.col("sig_signature"), F.col("sig_category"), params.signature_patterns
+        ),
+        entity=F.col("src_ip"),
+        keys=(
+            target,
+            F.col("sig_signature_id"),
+            F.when(F.col("sig_category") != "", F.col("sig_category")),
+        ),
+        instants=True,
+    )
+
+
+def _burst_fire(tallies: DataFrame, params: AuthBurstParams, keys: Sequence[str]) -> DataFrame:
+    need = params.failures if params.burst is None else params.burst
+    parts = tallies.withColumn("k2", F.col("k2").cast("bigint"))
+    counted = parts.groupBy(*keys).agg(
         F.sum("n").alias("event_count"),
-        F.count_distinct("target").alias("targets"),
+        F.count_distinct("k1").alias("targets"),
         F.min("lo").alias("first_us"),
         F.max("hi").alias("last_us"),
     )
-    enough = materialize(tallies.filter(F.col("event_count") >= params.failures))
-    spans = densest_span(_firing(rows, enough, keys), keys, "_us", params.burst_seconds)
+    enough = materialize(counted.filter(F.col("event_count") >= params.failures))
+    touched = _firing(parts, enough, keys)
+    spans = densest_span(touched, keys, "_at", params.burst_seconds, weight="n")
     fired = (
         enough.join(spans, keys)
         .filter(F.col("max_burst") >= need)
@@ -353,20 +532,19 @@ def detect_auth_burst(
         .withColumn("confidence", _share(F.col("max_burst"), F.col("event_count")))
     )
     fired = materialize(fired)
-    touched = _firing(
-        rows.withColumns(
-            {"target": target, "signature_id": F.col("sig_signature_id"), "category": category}
-        ),
-        fired,
-        keys,
-    )
+    touched = _firing(parts, fired, keys)
     for value, k, name in (
-        ("target", 10, "sample_targets"),
-        ("signature_id", 10, "signature_ids"),
-        ("category", 5, "sample_categories"),
+        ("k1", 10, "sample_targets"),
+        ("k2", 10, "signature_ids"),
+        ("k3", 5, "sample_categories"),
     ):
         fired = fired.join(smallest_k(touched, keys, value, k, name), keys, "left")
-    evidence = [
+    return fired
+
+
+def _burst_evidence(params: AuthBurstParams) -> list[Column]:
+    need = params.failures if params.burst is None else params.burst
+    return [
         F.col("event_count").alias("failures"),
         F.col("max_burst"),
         F.lit(params.burst_seconds).alias("burst_seconds"),
@@ -378,7 +556,6 @@ def detect_auth_burst(
         ).alias("signature_ids"),
         _strings(F.col("sample_categories")).alias("sample_categories"),
     ]
-    return _finish(rule, fired, rows, evidence, detail, scope)
 
 
 # ------------------------------------------------------------------ D-003
@@ -392,58 +569,64 @@ def detect_dns_anomaly(
     detail: bool = True,
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Random names under one domain, NXDOMAIN storms, over-long labels, per client. Three
-    levels of grouping, each on a prefix of the keys before: name, domain, client."""
-    keys = [*scope, *KEYS]
-    rule = rule or RULES["D-003"]
+    """Random names under one domain, NXDOMAIN storms, over-long labels, per client."""
+    return _alone("D-003", events, params, rule, detail, scope)
+
+
+def _dns_feed(params: DnsParams) -> Feed:
     answer = F.col("dns_rcode").isNotNull()
-    rows = _keyed(
-        events.filter(F.col("event_type") == "dns"),
-        F.when(answer, F.col("dest_ip")).otherwise(F.col("src_ip")),
-        rule.window_seconds,
-    )
     asked = (~answer) & (F.coalesce(F.col("dns_query"), F.lit("")) != "")
-    names = rows.groupBy(
-        *keys, F.when(asked, canonical_name(F.col("dns_query"))).alias("name")
-    ).agg(
-        F.count("*").alias("n"),
-        F.count_if(answer).alias("answers"),
-        F.count_if(F.upper("dns_rcode") == "NXDOMAIN").alias("nx"),
-        F.min("_us").alias("lo"),
-        F.max("_us").alias("hi"),
-        F.min(F.struct("_us", "id")).alias("seen"),
-    )
-    domain = F.when(F.col("name").isNotNull(), base_domain(F.col("name")))
-    long_name = has_long_label(F.col("name"), params.long_label_chars) & ~is_allowed(
-        F.col("name"), params.allowed_suffixes
-    )
-    domains = names.groupBy(*keys, domain.alias("domain")).agg(
-        F.count("name").alias("names"),
-        F.count_if(looks_random(F.col("name"), params.entropy_threshold)).alias("random"),
-        F.count_if(F.coalesce(long_name, F.lit(False))).alias("long"),
-        F.min("seen").alias("seen"),
-        *[F.sum(c).alias(c) for c in ("n", "answers", "nx")],
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
-    judged = F.col("domain").isNotNull() & ~is_allowed(F.col("domain"), params.allowed_suffixes)
+    return Feed(
+        kept=F.col("event_type") == "dns",
+        entity=F.when(answer, F.col("dest_ip")).otherwise(F.col("src_ip")),
+        keys=(F.when(asked, canonical_name(F.col("dns_query"))),),
+        amounts=(
+            answer.cast("int"),
+            F.coalesce(F.upper("dns_rcode") == "NXDOMAIN", F.lit(False)).cast("int"),
+        ),
+    )
+
+
+def _domains(names: DataFrame, params: DnsParams, keys: Sequence[str]) -> DataFrame:
+    """Tallies of each client's domains, with ``judged``: whether the domain counts."""
+    name = F.col("k1")
+    domain = F.when(name.isNotNull(), base_domain(name))
+    long_name = has_long_label(name, params.long_label_chars) & ~is_allowed(
+        name, params.allowed_suffixes
+    )
+    return (
+        names.groupBy(*keys, domain.alias("domain"))
+        .agg(
+            F.count("k1").alias("names"),
+            F.count_if(looks_random(name, params.entropy_threshold)).alias("random"),
+            F.count_if(F.coalesce(long_name, F.lit(False))).alias("long"),
+            F.sum("n").alias("n"),
+            F.sum("s1").alias("answers"),
+            F.sum("s2").alias("nx"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+        )
+        .withColumn(
+            "judged",
+            F.col("domain").isNotNull() & ~is_allowed(F.col("domain"), params.allowed_suffixes),
+        )
+    )
+
+
+def _dns_fire(tallies: DataFrame, params: DnsParams, keys: Sequence[str]) -> DataFrame:
+    """Three levels of grouping, each on a prefix of the keys before: name, domain, client."""
     tunnelled = (
-        judged
+        F.col("judged")
         & (F.col("names") >= params.unique_subdomains)
         & (F.col("random") * 2 >= F.col("names"))
     )
-    top = F.min_by(
-        F.when(judged, F.struct("domain", "names", "random")),
-        F.when(judged, F.struct((-F.col("names")).alias("a"), F.col("seen").alias("b"))),
-    )
-    clients = domains.groupBy(*keys).agg(
+    clients = _domains(tallies, params, keys).groupBy(*keys).agg(
         F.sum("n").alias("event_count"),
         F.sum("answers").alias("answers"),
         F.sum("nx").alias("nx"),
         F.sum("names").alias("distinct_names"),
         F.sum("long").alias("long_names"),
         F.max(F.when(tunnelled, F.col("names"))).alias("tunnel_names"),
-        top.alias("top"),
         F.min("lo").alias("first_us"),
         F.max("hi").alias("last_us"),
     )
@@ -463,7 +646,7 @@ def detect_dns_anomaly(
             F.when(tunnel.isNotNull(), F.lit("tunnel")),
         )
     )
-    fired = (
+    return (
         clients.withColumn("signals", signals)
         .filter(F.size("signals") > 0)
         .withColumn("signal", _signal(F.greatest(tunnel, storm, labels)))
@@ -474,7 +657,28 @@ def detect_dns_anomaly(
             ),
         )
     )
-    evidence = [
+
+
+def _dns_look(
+    fired: DataFrame, tallies: DataFrame, rows: DataFrame, params: DnsParams, keys: Sequence[str]
+) -> DataFrame:
+    """The domain with most names; of equals the one whose first query comes first."""
+    domains = _domains(_firing(tallies, fired, keys), params, keys).filter("judged")
+    seen = (
+        rows.filter(F.col("k1").isNotNull())
+        .groupBy(*keys, base_domain(F.col("k1")).alias("domain"))
+        .agg(F.min(F.struct("_us", "id")).alias("seen"))
+    )
+    top = F.min_by(
+        F.struct("domain", "names", "random"),
+        F.struct((-F.col("names")).alias("a"), F.col("seen").alias("b")),
+    )
+    best = domains.join(seen, [*keys, "domain"]).groupBy(*keys).agg(top.alias("top"))
+    return fired.join(best, keys, "left")
+
+
+def _dns_evidence(params: DnsParams) -> list[Column]:
+    return [
         F.col("signals"),
         F.col("distinct_names"),
         (F.col("event_count") - F.col("answers")).alias("query_records"),
@@ -483,7 +687,7 @@ def detect_dns_anomaly(
         F.coalesce(
             F.bround(F.try_divide(F.col("nx"), F.col("answers")), 4), F.lit(0.0)
         ).alias("nxdomain_ratio"),
-        F.coalesce(F.substring(F.col("top.domain"), 1, 128), F.lit("")).alias("top_domain"),
+        F.coalesce(F.col("top.domain"), F.lit("")).alias("top_domain"),
         F.coalesce(F.col("top.names"), F.lit(0)).alias("top_domain_names"),
         F.coalesce(F.col("top.random"), F.lit(0)).alias("top_domain_suspicious"),
         F.col("long_names"),
@@ -491,7 +695,6 @@ def detect_dns_anomaly(
         F.lit(params.nxdomain_failures).alias("threshold_nxdomain"),
         F.lit(params.long_queries).alias("threshold_long_queries"),
     ]
-    return _finish(rule, fired, rows, evidence, detail, scope)
 
 
 # ------------------------------------------------------------------ D-004
@@ -506,74 +709,96 @@ def detect_beaconing(
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """Regular, low-jitter outbound connections to one destination."""
-    keys = [*scope, *KEYS]
-    rule = rule or RULES["D-004"]
+    return _alone("D-004", events, params, rule, detail, scope)
+
+
+def _beacon_feed(params: BeaconParams) -> Feed:
     dest = F.col("dest_ip")
+    protos = [p.strip().lower() for p in params.allowed_app_protos]
     kept = (
         (F.col("event_type") == "flow")
         & dest.isNotNull()
         & F.col("dest_port").isNotNull()
         & ~F.col("dest_port").isin(*params.allowed_ports)
+        & ~F.coalesce(F.lower("app_proto"), F.lit("")).isin(*protos)
     )
-    protos = [p.strip().lower() for p in params.allowed_app_protos]
-    kept = kept & ~F.coalesce(F.lower("app_proto"), F.lit("")).isin(*protos)
     if not params.include_internal:
         kept = kept & ~is_internal(dest)
     for cidr in params.allowed_destinations:
         kept = kept & ~ip_in(dest, cidr)
-    rows = _keyed(events.filter(kept), F.col("src_ip"), rule.window_seconds).withColumn(
-        "_dest", F.concat_ws(":", "dest_ip", F.col("dest_port").cast("string"))
-    )
-    fine = [*keys, "_dest"]
-    piece = max(1, rule.window_seconds // PIECES_PER_WINDOW)
-    stats = interval_stats(rows, fine, "_us", piece)
-    beacons = materialize(stats.filter(
-        (F.col("connections") >= params.min_connections)
-        & (F.col("mean_interval") >= params.min_interval_seconds)
-        & (F.col("jitter") <= params.max_jitter)
-    ).withColumn("jitter", F.bround("jitter", 4)))
-    rank = F.struct("jitter", (-F.col("connections")).alias("c"), "_dest")
+    place = F.concat_ws(":", "dest_ip", F.col("dest_port").cast("string"))
+    return Feed(
+        kept=kept,
+        entity=F.col("src_ip"),
+        keys=(place,),
+        instants=True,
+        amounts=(F.coalesce("bytes_toserver", F.lit(0)),),
+        part=place,
+        note=F.col("app_proto"),
+    )
+
+
+def _beacon_fire(tallies: DataFrame, params: BeaconParams, keys: Sequence[str]) -> DataFrame:
+    window = RULES["D-004"].window_seconds
+    fine = [*keys, "k1"]
+    stats = interval_stats(tallies, fine, "_at", max(1, window // PIECES_PER_WINDOW), weight="n")
+    beacons = materialize(
+        stats.filter(
+            (F.col("connections") >= params.min_connections)
+            & (F.col("mean_interval") >= params.min_interval_seconds)
+            & (F.col("jitter") <= params.max_jitter)
+        ).withColumn("jitter", F.bround("jitter", 4))
+    )
+    rank = F.struct("jitter", (-F.col("connections")).alias("c"), F.col("k1").alias("_dest"))
     sources = (
         beacons.groupBy(*keys)
         .agg(
-            F.min_by(F.struct("_dest", "connections", "mean_interval", "jitter"), rank).alias(
-                "best"
-            ),
+            F.min_by(F.struct("k1", "connections", "mean_interval", "jitter"), rank).alias("best"),
             F.sum("connections").alias("event_count"),
             F.min("first_us").alias("first_us"),
             F.max("last_us").alias("last_us"),
         )
         .select(*keys, "best.*", "event_count", "first_us", "last_us")
     )
-    best_rows = rows.join(sources.select(*fine), fine, "left_semi")
-    extras = best_rows.groupBy(*keys).agg(
-        F.sum(F.coalesce("bytes_toserver", F.lit(0))).alias("bytes_out"),
-        F.min_by(F.struct("app_proto"), F.struct("_us", "id")).alias("head"),
+    sent = (
+        tallies.join(sources.select(*fine), fine, "left_semi")
+        .groupBy(*keys)
+        .agg(F.sum("s1").alias("bytes_out"))
     )
-    ordered = beacons.select(*keys, rank.alias("_place"))
-    leaders = smallest_k(ordered, keys, "_place", 3, "_leaders")
+    leaders = smallest_k(beacons.select(*keys, rank.alias("_place")), keys, "_place", 3, "_leaders")
     confidence = F.least(
         F.lit(1.0),
         F.greatest(F.lit(0.5), F.lit(1.0) - F.col("jitter") / params.max_jitter * 0.5),
     )
-    fired = (
-        sources.join(extras, keys)
+    return (
+        sources.join(sent, keys)
         .join(leaders, keys)
+        .withColumnRenamed("k1", "_part")
         .withColumn("signal", _signal(F.col("connections") / params.min_connections))
         .withColumn("confidence", F.bround(confidence, 4))
     )
-    evidence = [
-        F.col("_dest").alias("destination"),
+
+
+def _beacon_look(
+    fired: DataFrame, tallies: DataFrame, rows: DataFrame, params: BeaconParams, keys: Sequence[str]
+) -> DataFrame:
+    """The protocol of the first connection."""
+    first = F.min_by(F.struct("_note"), F.struct("_us", "id"))
+    return fired.join(rows.groupBy(*keys).agg(first.alias("head")), keys, "left")
+
+
+def _beacon_evidence(params: BeaconParams) -> list[Column]:
+    return [
+        F.col("_part").alias("destination"),
         F.col("connections"),
         F.bround("mean_interval", 2).alias("mean_interval_seconds"),
         F.col("jitter"),
         F.col("bytes_out"),
-        F.coalesce(F.col("head.app_proto"), F.lit("")).alias("app_proto"),
+        F.coalesce(F.col("head._note"), F.lit("")).alias("app_proto"),
         F.transform("_leaders", lambda x: x["_dest"]).alias("beaconing_destinations"),
         F.lit(params.min_connections).alias("threshold_connections"),
         F.lit(params.max_jitter).alias("max_jitter"),
     ]
-    return _finish(rule, fired, best_rows, evidence, detail, scope)
 
 
 # ------------------------------------------------------------------ D-005
@@ -590,40 +815,39 @@ def detect_volume_anomaly(
 ) -> DataFrame:
     """Hourly outbound bytes above the source's own baseline. ``baselines`` is keyed by
     address, one row each; sources without enough history are left alone."""
-    keys = [*scope, *KEYS]
-    rule = rule or RULES["D-005"]
-    known = (
-        baselines.filter(
-            (F.col("metric") == METRIC) & (F.col("sample_count") >= params.min_samples)
-        )
-        .select(
-            *scope,
-            F.col("address").alias("_entity"),
-            "window_days",
-            "mean",
-            "stddev",
-            "p95",
-            "sample_count",
-        )
-    )
-    rows = _keyed(
-        events.filter(
-            (F.col("event_type") == "flow")
-            & F.col("dest_ip").isNotNull()
-            & (F.col("bytes_toserver") > 0)
-            & ~is_internal(F.col("dest_ip"))
-        ),
-        F.col("src_ip"),
-        rule.window_seconds,
-    )
-    parts = rows.groupBy(*keys, "dest_ip").agg(
-        F.sum("bytes_toserver").alias("bytes"),
-        F.count("*").alias("n"),
-        F.min("_us").alias("lo"),
-        F.max("_us").alias("hi"),
+    return _alone("D-005", events, params, rule, detail, scope, baselines)
+
+
+def _volume_feed(params: VolumeParams) -> Feed:
+    return Feed(
+        kept=(F.col("event_type") == "flow")
+        & F.col("dest_ip").isNotNull()
+        & (F.col("bytes_toserver") > 0)
+        & ~is_internal(F.col("dest_ip")),
+        entity=F.col("src_ip"),
+        keys=(F.col("dest_ip"),),
+        amounts=(F.col("bytes_toserver"),),
+        peak=F.col("bytes_toserver"),
     )
-    tallies = parts.groupBy(*keys).agg(
-        F.sum("bytes").alias("bytes_out"),
+
+
+def _volume_fire(
+    tallies: DataFrame, baselines: DataFrame, params: VolumeParams, keys: Sequence[str]
+) -> DataFrame:
+    scope = [k for k in keys if k not in KEYS]
+    known = baselines.filter(
+        (F.col("metric") == METRIC) & (F.col("sample_count") >= params.min_samples)
+    ).select(
+        *scope,
+        F.col("address").alias("_entity"),
+        "window_days",
+        "mean",
+        "stddev",
+        "p95",
+        "sample_count",
+    )
+    counted = tallies.groupBy(*keys).agg(
+        F.sum("s1").alias("bytes_out"),
         F.sum("n").alias("event_count"),
         F.count("*").alias("destinations"),
         F.min("lo").alias("first_us"),
@@ -637,7 +861,7 @@ def detect_volume_anomaly(
         )
     ).cast("bigint")
     fired = (
-        tallies.join(known, [*scope, "_entity"])
+        counted.join(known, [*scope, "_entity"])
         .withColumn("limit_bytes", limit)
         .filter(F.col("bytes_out") >= F.col("limit_bytes"))
         .withColumn("ratio", F.col("bytes_out") / F.col("limit_bytes"))
@@ -655,9 +879,12 @@ def detect_volume_anomaly(
         )
     )
     fired = materialize(fired)
-    touched = _firing(rows, fired, keys)
-    fired = fired.join(smallest_k(touched, keys, "dest_ip", 10, "sample_dests"), keys, "left")
-    evidence = [
+    touched = _firing(tallies, fired, keys)
+    return fired.join(smallest_k(touched, keys, "k1", 10, "sample_dests"), keys, "left")
+
+
+def _volume_evidence(params: VolumeParams) -> list[Column]:
+    return [
         F.col("bytes_out"),
         F.col("limit_bytes").alias("threshold_bytes"),
         F.bround("ratio", 3).alias("ratio"),
@@ -670,25 +897,31 @@ def detect_volume_anomaly(
         F.col("destinations").alias("distinct_destinations"),
         _strings(F.col("sample_dests")).alias("sample_destinations"),
     ]
-    return _finish(rule, fired, rows, evidence, detail, scope, peak="bytes_toserver")
 
 
 RULES: dict[str, Rule] = {
     r.rule_id: r
     for r in (
-        Rule("D-001", "Port scan", 3, 600, detect_port_scan, PortScanParams(), mitre_hint="T1046"),
+        Rule(
+            "D-001", "Port scan", 3, 600, detect_port_scan, PortScanParams(), mitre_hint="T1046",
+            plan=Plan(_scan_feed, _scan_fire, _scan_evidence),
+        ),
         Rule(
             "D-002", "Auth-failure burst", 3, 600, detect_auth_burst, AuthBurstParams(),
-            mitre_hint="T1110",
+            mitre_hint="T1110", plan=Plan(_burst_feed, _burst_fire, _burst_evidence),
+        ),
+        Rule(
+            "D-003", "DNS anomaly", 3, 600, detect_dns_anomaly, DnsParams(), mitre_hint="T1071.004",
+            plan=Plan(_dns_feed, _dns_fire, _dns_evidence, _dns_look),
         ),
-        Rule("D-003", "DNS anomaly", 3, 600, detect_dns_anomaly, DnsParams(), mitre_hint="T1071.004"),
         Rule(
             "D-004", "Periodic beaconing", 4, 3600, detect_beaconing, BeaconParams(),
-            mitre_hint="T1071",
+            mitre_hint="T1071", plan=Plan(_beacon_feed, _beacon_fire, _beacon_evidence, _beacon_look),
         ),
         Rule(
             "D-005", "Outbound volume anomaly", 3, 3600, detect_volume_anomaly, VolumeParams(),
             needs_baselines=True, mitre_hint="T1041",
+            plan=Plan(_volume_feed, _volume_fire, _volume_evidence),
         ),
     )
-}
+}

@@ -7,6 +7,8 @@ every row of its table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,15 @@ def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def every_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows, authentication alerts, DNS and beacon flows in one table, with ids of their own."""
+    frames = [
+        make(spark, sf_dir).withColumn("id", F.concat(F.lit(f"{i}-"), F.col("id")))
+        for i, make in enumerate((flows, auth_alerts, dns_events, beacon_flows))
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
 # ------------------------------------------------------------------ assets from supplier
 
 NETWORKS_SQL = f"""networks AS (

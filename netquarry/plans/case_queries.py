@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from netquarry.operators.correlate import (
 )
 from netquarry.operators.sweep import sweep
 from netquarry.plans import adapters as A
+from netquarry.plans.detect_queries import FIRING_SQL, samples_sql
 from netquarry.plans.registry import query
 
 # a month's gap and no cap that bites: plain islands
@@ -524,22 +524,9 @@ def _prune(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ sweep
 
 
-#: The feeds of the sweep; those that the SQL of ``sweep_scored`` knows of.
-FEEDS = (A.flows, A.auth_alerts, A.dns_events, A.beacon_flows)
-SCORED_FEEDS = FEEDS[:3]
-
-
-def _everything(spark: SparkSession, sf_dir: str, parts=FEEDS) -> DataFrame:
-    frames = [
-        make(spark, sf_dir).withColumn("id", F.concat(F.lit(f"{i}-"), F.col("id")))
-        for i, make in enumerate(parts)
-    ]
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _sweep(spark: SparkSession, sf_dir: str, rules=None, parts=FEEDS):
+def _sweep(spark: SparkSession, sf_dir: str):
     nets = A.networks(spark, sf_dir)
-    stored = nets.filter(F.col("cidr").endswith("/32")).select(
+    history = nets.filter(F.col("cidr").endswith("/32")).select(
         "asset_id",
         F.lit("outbound_bytes_per_hour").alias("metric"),
         F.lit(7).alias("window_days"),
@@ -550,51 +537,87 @@ def _sweep(spark: SparkSession, sf_dir: str, rules=None, parts=FEEDS):
     )
     start = datetime.fromtimestamp(A.BASE, tz=UTC)
     end = datetime.fromtimestamp(A.BASE + 7200, tz=UTC)
-    return sweep(_everything(spark, sf_dir, parts), start, end, nets, stored, rules=rules)
+    return sweep(A.every_feed(spark, sf_dir), start, end, nets, history)
+
+
+# All five rules over all four feeds, scored with the criticality of the resolved asset.
+_NUM = "+".join(f"(CAST(split_part(src, '.', {i + 1}) AS BIGINT) << {24 - 8 * i})" for i in range(4))
+_ALERTS_SQL = f"""
+WITH {FIRING_SQL.format(span=7200)}, {A.NETWORKS_SQL},
+own AS (SELECT src, bytes_out, t FROM links WHERE bytes_out > 0),
+seen AS (SELECT DISTINCT src, {_NUM} AS num FROM (
+           SELECT src FROM own UNION SELECT src FROM d1 UNION SELECT src FROM d2 UNION SELECT src FROM d3 UNION SELECT src FROM d4)),
+m AS (SELECT src AS address, asset_id, criticality,
+             row_number() OVER (PARTITION BY src ORDER BY masklen DESC, is_primary DESC, born, asset_id) AS r
+      FROM seen JOIN networks ON num BETWEEN lo AND hi WHERE is_active),
+d5 AS (SELECT 'D-005' AS rule_id, 3 AS base, src, t - t % 3600 AS b, count(*) AS n, CAST(sum(bytes_out) AS DOUBLE) / 1e10 AS ratio
+       FROM own JOIN m ON src = address AND r = 1 AND asset_id LIKE 'host-%'
+       GROUP BY src, t - t % 3600 HAVING sum(bytes_out) >= 1e10),
+f AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5),
+alerts AS (
+SELECT rule_id || ':src_ip=' || src || ':' || strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS dedup_key,
+       rule_id, src AS entity_value, b, n AS event_count, asset_id,
+       CAST(least(5, greatest(1, floor(base + 0.5 * (coalesce(criticality, 3) - 3)
+            + 2 * (round_even(least(1.0, ratio / 3.0), 4) - 0.5) + 0.5))) AS INTEGER) AS severity
+FROM f LEFT JOIN m ON src = address AND r = 1)"""
 
 
-@query("sweep_alerts")
+@query(
+    "sweep_alerts",
+    _ALERTS_SQL
+    + " SELECT dedup_key, rule_id, severity, entity_value, event_count, 'open' AS status FROM alerts",
+)
 def q_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts, _, _, _ = _sweep(spark, sf_dir)
     return alerts.select("dedup_key", "rule_id", "severity", "entity_value", "event_count", "status")
 
 
-@query("sweep_runs")
+@query(
+    "sweep_runs",
+    _ALERTS_SQL
+    + """, e AS (SELECT (SELECT count(*) FROM links) + (SELECT count(*) FROM auth) + (SELECT count(*) FROM events) AS n),
+    r AS (SELECT unnest(['D-001', 'D-002', 'D-003', 'D-004', 'D-005']) AS rule_id)
+    SELECT r.rule_id, 'success' AS status, e.n AS events_examined, count(a.dedup_key) AS alerts_created
+    FROM r CROSS JOIN e LEFT JOIN alerts a ON a.rule_id = r.rule_id GROUP BY ALL""",
+)
 def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, _, runs = _sweep(spark, sf_dir)
     return runs.select("rule_id", "status", "events_examined", "alerts_created")
 
 
-# Three rules whose firing is plain SQL, scored with the criticality of the resolved asset.
-_SCORED_SQL = f"""
-WITH {A.FLOWS_SQL}, {A.AUTH_SQL}, {A.NETWORKS_SQL},
-a AS (SELECT DISTINCT src AS address, src_num AS num FROM flows
-      UNION SELECT DISTINCT {A.dotted_sql(f"{A.SITE} + user_id % 40")}, {A.SITE} + user_id % 40 FROM events WHERE event_type = 'error'),
-m AS (SELECT address, asset_id, criticality,
-             row_number() OVER (PARTITION BY address ORDER BY masklen DESC, is_primary DESC, born, asset_id) AS r
-      FROM a JOIN networks ON num BETWEEN lo AND hi WHERE is_active),
-d1 AS (SELECT 'D-001' AS rule_id, src, t - t % 600 AS b, count(*) AS n,
-              greatest(count(DISTINCT dest_port) / 20.0, count(DISTINCT dest) / 15.0) AS ratio
-       FROM flows GROUP BY src, t - t % 600
-       HAVING count(*) >= 20 AND (count(DISTINCT dest_port) >= 20 OR count(DISTINCT dest) >= 15)),
-w AS (SELECT *, t - t % 600 AS b, count(*) OVER (PARTITION BY src, t - t % 600 ORDER BY t RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) AS burst
-      FROM auth),
-d2 AS (SELECT 'D-002' AS rule_id, src, b, count(*) AS n, max(burst) / 10.0 AS ratio FROM w GROUP BY src, b HAVING max(burst) >= 10),
-d5 AS (SELECT 'D-005' AS rule_id, src, t - t % 3600 AS b, count(*) AS n, CAST(sum(bytes_out) AS DOUBLE) / 1e10 AS ratio
-       FROM flows JOIN m ON src = address AND r = 1 AND asset_id LIKE 'host-%' WHERE bytes_out > 0
-       GROUP BY src, t - t % 3600 HAVING sum(bytes_out) >= 1e10),
-f AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d5)
-SELECT rule_id || ':src_ip=' || src || ':' || strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS dedup_key,
-       n AS event_count,
-       CAST(least(5, greatest(1, floor(3 + 0.5 * (coalesce(criticality, 3) - 3)
-            + 2 * (round_even(least(1.0, ratio / 3.0), 4) - 0.5) + 0.5))) AS INTEGER) AS severity
-FROM f LEFT JOIN m ON src = address AND r = 1"""
+@query("sweep_scored", _ALERTS_SQL + " SELECT dedup_key, event_count, severity FROM alerts")
+def q_sweep_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, _, _, _ = _sweep(spark, sf_dir)
+    return alerts.select("dedup_key", "event_count", "severity")
 
 
-@query("sweep_scored", _SCORED_SQL)
-def q_sweep_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from netquarry.operators.rules import RULES
+@query(
+    "sweep_links",
+    _ALERTS_SQL + " SELECT dedup_key, asset_id, 'source' AS role FROM alerts WHERE asset_id IS NOT NULL",
+)
+def q_sweep_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, _, links, _ = _sweep(spark, sf_dir)
+    return alerts.select("alert_id", "dedup_key").join(links, "alert_id").drop("alert_id")
 
-    chosen = [RULES[r] for r in ("D-001", "D-002", "D-005")]
-    alerts, _, _, _ = _sweep(spark, sf_dir, chosen, SCORED_FEEDS)
-    return alerts.select("dedup_key", "event_count", "severity")
+
+# The rows behind each alert, with their time and weight; D-004 shows its best destination only.
+_SAMPLES_SQL = (
+    _ALERTS_SQL
+    + f""",
+best AS (SELECT src, b, arg_min(place, struct_pack(j := round_even(jit, 4), c := -n, p := place)) AS place
+         FROM jit WHERE jit <= 0.15 GROUP BY src, b),
+behind AS (
+  SELECT 'D-001' AS rule_id, src, t - t % 600 AS b, id, t, 0 AS weight FROM links
+  UNION ALL SELECT 'D-002', src, t - t % 600, '1-' || id, t, 0 FROM auth
+  UNION ALL SELECT 'D-003', client, t - t % 600, '2-' || id, t, 0 FROM (WITH {A.DNS_SQL} SELECT * FROM dns)
+  UNION ALL SELECT 'D-004', g.src, g.b, id, t, 0 FROM gaps g JOIN best ON best.src = g.src AND best.b = g.b AND best.place = g.place
+  UNION ALL SELECT 'D-005', src, t - t % 3600, id, t, bytes_out FROM links WHERE bytes_out > 0),
+chosen AS (SELECT dedup_key, id, t, weight FROM alerts a JOIN behind h ON h.rule_id = a.rule_id AND h.src = a.entity_value AND h.b = a.b),"""
+    + samples_sql("chosen", "dedup_key", "weight")
+)
+
+
+@query("sweep_samples", _SAMPLES_SQL)
+def q_sweep_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, samples, _, _ = _sweep(spark, sf_dir)
+    return alerts.select("alert_id", "dedup_key").join(samples, "alert_id").drop("alert_id")

@@ -93,7 +93,7 @@ def q_port_scan_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return port_scan(spark, sf_dir, 10, 10)
 
 
-def _samples_sql(source: str, key: str, peak: str | None) -> str:
+def samples_sql(source: str, key: str, peak: str | None) -> str:
     """F8 in SQL: first, last, peak, then an even spread of the rest up to twenty rows."""
     pos = (
         f"row_number() OVER (PARTITION BY {key} ORDER BY {peak} DESC, t, id)" if peak else "NULL"
@@ -117,7 +117,7 @@ SELECT {key}, id AS event_id, role FROM z WHERE role IS NOT NULL"""
 @query(
     "sample_contributors",
     f"WITH {A.FLOWS_SQL}, f AS (SELECT *, t - t % 600 AS bucket, src AS entity_value FROM flows),"
-    + _samples_sql("f", "entity_value, bucket", None),
+    + samples_sql("f", "entity_value, bucket", None),
 )
 def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.flows(spark, sf_dir).select(
@@ -135,7 +135,7 @@ def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sample_contributors_peak",
     f"WITH {A.FLOWS_SQL}, f AS (SELECT *, t - t % 3600 AS bucket, src AS entity_value FROM flows),"
-    + _samples_sql("f", "entity_value, bucket", "bytes_out"),
+    + samples_sql("f", "entity_value, bucket", "bytes_out"),
 )
 def q_samples_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.flows(spark, sf_dir).select(
@@ -230,7 +230,7 @@ tot AS (SELECT client, b, min(t) AS lo, max(t) AS hi, count(*) AS n, count(*) FI
         FROM d GROUP BY client, b),
 sig AS (SELECT tot.*, coalesce(distinct_names, 0) AS distinct_names, coalesce(long_names, 0) AS long_names,
                top_domain, top_names, top_random, tunnel / 50.0 AS s1,
-               CASE WHEN answers >= 10 THEN answers / 10.0 END AS s2,
+               CASE WHEN answers >= {{nx}} THEN answers / {{nx}}.0 END AS s2,
                CASE WHEN coalesce(long_names, 0) >= {{count}} THEN long_names / {{count}}.0 END AS s3
         FROM tot LEFT JOIN per USING (client, b)),
 s AS (SELECT *, round_even(least(1.0, greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0)) / 3.0), 4) AS signal_strength,
@@ -260,12 +260,12 @@ def _dns(spark: SparkSession, sf_dir: str, params: DnsParams) -> DataFrame:
     )
 
 
-@query("detect_dns_anomaly", _DNS_DETECT_SQL.format(long=40, count=20))
+@query("detect_dns_anomaly", _DNS_DETECT_SQL.format(long=40, count=20, nx=10))
 def q_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dns(spark, sf_dir, DnsParams(nxdomain_failures=10))
 
 
-@query("detect_dns_long_labels", _DNS_DETECT_SQL.format(long=20, count=15))
+@query("detect_dns_long_labels", _DNS_DETECT_SQL.format(long=20, count=15, nx=10))
 def q_dns_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dns(
         spark, sf_dir, DnsParams(nxdomain_failures=10, long_label_chars=20, long_queries=15)
@@ -413,21 +413,43 @@ def q_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.judge_cases(_expectations(spark, sf_dir), _case_results(spark, sf_dir))
 
 
+#: Flows and beacon flows as one feed of connections, and the windows in which each rule fires.
+FIRING_SQL = f"""{A.FLOWS_SQL}, {A.BEACON_SQL}, {A.AUTH_SQL},
+links AS (SELECT '0-' || id AS id, t, src, dest, dest_port, bytes_out FROM flows
+          UNION ALL SELECT '3-' || id, t, src, dest, dest_port, bytes_out FROM beacons WHERE t < {A.BASE} + {{span}}),
+d1 AS (SELECT 'D-001' AS rule_id, 3 AS base, src, t - t % 600 AS b, count(*) AS n,
+              greatest(count(DISTINCT dest_port) / 20.0, count(DISTINCT dest) / 15.0) AS ratio
+       FROM links GROUP BY src, t - t % 600
+       HAVING count(*) >= 20 AND (count(DISTINCT dest_port) >= 20 OR count(DISTINCT dest) >= 15)),
+runs AS (SELECT *, t - t % 600 AS b, count(*) OVER (PARTITION BY src, t - t % 600 ORDER BY t RANGE BETWEEN 120 PRECEDING AND CURRENT ROW) AS burst
+      FROM auth),
+d2 AS (SELECT 'D-002' AS rule_id, 3 AS base, src, b, count(*) AS n, max(burst) / 10.0 AS ratio
+       FROM runs GROUP BY src, b HAVING max(burst) >= 10),
+d3 AS (SELECT 'D-003' AS rule_id, 3 AS base, entity_value AS src, bucket AS b, event_count AS n, signal_strength * 3 AS ratio
+       FROM ({_DNS_DETECT_SQL.format(long=40, count=20, nx=50)})),
+gaps AS (SELECT *, dest || ':' || dest_port AS place, t - t % 3600 AS b,
+                t - lag(t) OVER (PARTITION BY src, dest, dest_port, t - t % 3600 ORDER BY t) AS d FROM links),
+per AS (SELECT src, b, place, count(*) AS n, sum(d) AS total, sum(CAST(d AS HUGEINT) * d) AS sq
+        FROM gaps GROUP BY src, b, place HAVING count(*) >= 10 AND sum(d) >= 5 * (count(*) - 1)),
+jit AS (SELECT *, sqrt(CAST(((n - 1) * sq - CAST(total AS HUGEINT) * total) * 1000000000000 AS DOUBLE)) / (n - 1)
+                  / (CAST(total AS DOUBLE) * 1000000 / (n - 1)) AS jit FROM per),
+d4 AS (SELECT 'D-004' AS rule_id, 4 AS base, src, b, CAST(sum(n) AS BIGINT) AS n,
+              arg_min(n, struct_pack(j := round_even(jit, 4), c := -n, p := place)) / 10.0 AS ratio
+       FROM jit WHERE jit <= 0.15 GROUP BY src, b)"""
+
+
 @query(
     "benign_noise",
-    f"""WITH {A.FLOWS_SQL}, {A.BEACON_SQL.replace("beacons AS", "bf AS")},
-    c AS (SELECT src, t - t % 600 AS b FROM flows GROUP BY 1, 2
-          HAVING count(*) >= 20 AND (count(DISTINCT dest_port) >= 20 OR count(DISTINCT dest) >= 15))
-    SELECT 'D-001' AS rule_id, (SELECT count(*) FROM flows) AS events, (SELECT count(*) FROM c) AS alerts
-    UNION ALL SELECT 'D-002', (SELECT count(*) FROM flows), 0
-    UNION ALL SELECT 'D-003', (SELECT count(*) FROM flows), 0
-    UNION ALL SELECT 'D-005', (SELECT count(*) FROM flows), 0""",
+    f"""WITH {FIRING_SQL.format(span=10**8)},
+    e AS (SELECT (SELECT count(*) FROM links) + (SELECT count(*) FROM auth) + (SELECT count(*) FROM events) AS events)
+    SELECT 'D-001' AS rule_id, events, (SELECT count(*) FROM d1) AS alerts FROM e
+    UNION ALL SELECT 'D-002', events, (SELECT count(*) FROM d2) FROM e
+    UNION ALL SELECT 'D-003', events, (SELECT count(*) FROM d3) FROM e
+    UNION ALL SELECT 'D-004', events, (SELECT count(*) FROM d4) FROM e
+    UNION ALL SELECT 'D-005', events, 0 FROM e""",
 )
 def q_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from netquarry.operators.rules import RULES
-
-    rules = [RULES[r] for r in ("D-001", "D-002", "D-003", "D-005")]
-    return evaluation.benign_noise(A.flows(spark, sf_dir), rules)
+    return evaluation.benign_noise(A.every_feed(spark, sf_dir))
 
 
 @query(

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,10 +62,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Like :func:`materialize`, for wide results: Parquet in the same folder, so that later reads
-    keep column pruning and statistics."""
+    keep column pruning and statistics. A read that asks for one value of ``by`` opens only its
+    files."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
