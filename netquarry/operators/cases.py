@@ -370,7 +370,7 @@ def timeline_entries(
     )
     if superseded is not None:
         text = F.concat(
-            F.lit("Opened beside "), F.col("previous_case"), F.lit(", which was already closed")
+            F.lit("A case of its own: "), F.col("previous_case"), F.lit(" had ended before")
         )
         out = out.unionByName(entry(superseded, "window_start", "observation", text, none))
     if transitions is not None:

@@ -404,9 +404,9 @@ def _case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
          CASE WHEN positive THEN hits = 1 ELSE hits = 0 END AS matched,
          CASE WHEN positive THEN CASE WHEN hits = 1 THEN 'TP' ELSE 'FN' END
               ELSE CASE WHEN hits > 0 THEN 'FP' ELSE 'TN' END END AS verdict,
-         CASE WHEN positive AND hits = 0 THEN 'no alert'
-              WHEN positive AND hits > 1 THEN hits || ' alert(s) on the expected entity'
-              WHEN NOT positive AND hits > 0 THEN 'alerted ' || hits || ' time(s) on a negative case'
+         CASE WHEN positive AND hits = 0 THEN 'nothing fired'
+              WHEN positive AND hits > 1 THEN 'the expected entity fired in ' || hits || ' windows'
+              WHEN NOT positive AND hits > 0 THEN hits || ' firings where none was expected'
               ELSE '' END AS reason FROM v""",
 )
 def q_judge(spark: SparkSession, sf_dir: str) -> DataFrame:

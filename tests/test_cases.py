@@ -47,7 +47,7 @@ def test_opens_extends_and_stands_beside(spark):
     entries = out["timeline"].collect()
     assert sorted(e.entry_type for e in entries) == ["alert_fired"] * 5 + ["observation"]
     assert [e.summary for e in entries if e.entry_type == "observation"] == [
-        "Opened beside CASE-2026-0008, which was already closed"]
+        "A case of its own: CASE-2026-0008 had ended before"]
     assert out["links"].count() == 5 and out["alert_status"].filter("status = 'correlated'").count() == 5
 
 
