@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquarry.session import stored
+
 MICRO = 1_000_000
 
 
@@ -74,6 +76,34 @@ def _counted(weight: str | None) -> Column:
     return F.count("*") if weight is None else F.sum(weight)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``name``: the place (from 1) of every row in its group, whatever the order columns hold.
+
+    Rows are range-partitioned by group and order, so a large group is spread over many tasks; they
+    are numbered inside a partition, and the sizes of the group's earlier partitions give the
+    rest. Null keys form a group."""
+    at = F.monotonically_increasing_id()
+    rows = stored(
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_id", F.struct(*keys, F.shiftright(at, 33).alias("_part")))
+        .withColumn("_local", at.bitwiseAND(F.lit((1 << 33) - 1))),
+        "numbered",
+    )
+    shares = rows.groupBy("_id").agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
+    before = (
+        Window.partitionBy(*[f"_id.{k}" for k in keys])
+        .orderBy("_id._part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    return (
+        rows.join(shares.select("_id", shift.alias("_shift")), "_id")
+        .withColumn(name, F.col("_shift") + F.col("_local"))
+        .drop("_id", "_local", "_shift")
+    )
+
+
 def densest_span(
     df: DataFrame, keys: Sequence[str], at_us: str, seconds: int, weight: str | None = None
 ) -> DataFrame:

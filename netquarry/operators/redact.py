@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.secrets import (
@@ -14,6 +14,7 @@ from netquarry.functions.secrets import (
     replace_names,
     secret_names,
 )
+from netquarry.operators.pieces import numbered
 from netquarry.session import materialize
 
 # fixed value: the label of a case's subject
@@ -44,11 +45,8 @@ def token_numbers(
     own = F.coalesce(own, F.lit(False))
     others = first.filter(~own)
     kinds = others.withColumn("_kind", name_class(F.col(value)))
-    within = Window.partitionBy(case, "_kind").orderBy("_first", value)
-    tokens = kinds.select(
-        case,
-        value,
-        F.concat_ws("-", "_kind", F.row_number().over(within).cast("string")).alias("token"),
+    tokens = numbered(kinds, [case, "_kind"], ["_first", value], "_number").select(
+        case, value, F.concat_ws("-", "_kind", F.col("_number").cast("string")).alias("token")
     )
     if subject is None:
         return tokens
@@ -68,7 +66,7 @@ def pseudonymize(
     keep = [case, *order] + ([subject] if subject else [])
     # a name repeated in one text keeps its first place
     names = F.array_distinct(names_in_text(F.col(column)))
-    row_key = F.xxhash64(*df.columns)
+    row_key = F.struct(F.xxhash64(*df.columns), F.xxhash64(F.lit(case), *df.columns))
     found = materialize(
         df.select(*keep, row_key.alias("_row"), F.posexplode(names).alias("_pos", "_value"))
     )

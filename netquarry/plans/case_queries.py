@@ -205,6 +205,14 @@ def q_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir)[0].select("alert_id", "scenario_id")
 
 
+@query(
+    "label_unclaimed",
+    _LABEL_SQL + " SELECT alert_id, rule_id FROM al WHERE alert_id NOT IN (SELECT alert_id FROM lb)",
+)
+def q_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir)[1].select("alert_id", "rule_id")
+
+
 @query(
     "label_absent_rules",
     _LABEL_SQL
