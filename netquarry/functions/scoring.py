@@ -17,7 +17,6 @@ SEVERITY_FORMULA = (
 CASE_FORMULA = "min(5, max(member severities) + (1 if distinct rules >= 3 else 0))"
 DEFAULT_CRITICALITY = 3
 ESCALATION_RULES = 3
-TITLE_CHARS = 200
 AUTH_PATTERNS = (
     "brute",
     "login fail",
@@ -85,7 +84,9 @@ def case_number(prefix: str, opened_at: Column, ordinal: Column) -> Column:
     return F.concat_ws("-", F.lit(prefix), F.date_format(opened_at, "yyyy"), padded)
 
 
-def case_title(rules: Column, entity: Column, hostname: Column | None = None) -> Column:
+def case_title(
+    rules: Column, entity: Column, hostname: Column | None = None, max_chars: int | None = None
+) -> Column:
     """``rules`` is the sorted array of distinct rule ids."""
     subject = entity if hostname is None else F.coalesce(hostname, entity)
     count = F.size(rules)
@@ -93,7 +94,8 @@ def case_title(rules: Column, entity: Column, hostname: Column | None = None) ->
     long = F.concat(
         count.cast("string"), F.lit(" rules on "), subject, F.lit(": "), F.array_join(rules, ", ")
     )
-    return F.substring(F.when(count <= 2, short).otherwise(long), 1, TITLE_CHARS)
+    title = F.when(count <= 2, short).otherwise(long)
+    return title if max_chars is None else F.substring(title, 1, max_chars)
 
 
 def case_severity(member_max: Column, distinct_rules: Column) -> Column:

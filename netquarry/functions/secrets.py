@@ -60,7 +60,7 @@ def free_text(text: Column, limit: int | None = None) -> Column:
         short = clean if limit is None else F.substring(clean, 1, limit)
         return F.when((clean != "") & (F.size(secret_names(clean)) == 0), short)
 
-    return let(strip_python(clean_text(text, 2**31 - 1)), decide)
+    return let(strip_python(clean_text(text)), decide)
 
 
 def names_in_text(text: Column) -> Column:
@@ -90,15 +90,21 @@ def replace_names(text: Column, token: object) -> Column:
     )
 
 
-def bounded_detail(detail: Column, max_keys: int = 32) -> Column:
-    """A detail map without sensitive keys, at most ``max_keys`` of them, keys cut to 64 and
-    values to 512 characters. Of keys that become equal the first stays."""
+def bounded_detail(
+    detail: Column,
+    max_keys: int | None = None,
+    key_chars: int | None = None,
+    value_chars: int | None = None,
+) -> Column:
+    """A detail map without sensitive keys; where limits are given, at most ``max_keys`` of them
+    with keys and values cut to so many characters. Of keys that become equal the first stays."""
 
     def entries(kept: Column) -> Column:
         short = F.transform(
-            F.slice(kept, 1, max_keys),
+            kept if max_keys is None else F.slice(kept, 1, max_keys),
             lambda e: F.struct(
-                clean_text(e["key"], 64).alias("key"), clean_text(e["value"], 512).alias("value")
+                clean_text(e["key"], key_chars).alias("key"),
+                clean_text(e["value"], value_chars).alias("value"),
             ),
         )
 

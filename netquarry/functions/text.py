@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 # (tab and newline kept)
 CONTROL = r"[\x00-\x08\x0a-\x1f\x7f-\x9f]"
 CONTROL_KEEP_NEWLINE = r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"
-EXCERPT_CHARS = 256
 
 # the same characters written as JSON escapes; the look-behind keeps an escaped backslash
 _ESCAPED_CONTROL = (
@@ -88,16 +87,18 @@ def structure_excess(skel: Column, max_keys: int, max_items: int) -> Column:
     )
 
 
-def clean_text(text: Column, max_chars: int) -> Column:
-    return F.substring(F.regexp_replace(text, CONTROL, ""), 1, max_chars)
+def clean_text(text: Column, max_chars: int | None = None) -> Column:
+    clean = F.regexp_replace(text, CONTROL, "")
+    return clean if max_chars is None else F.substring(clean, 1, max_chars)
 
 
 def clean_keep_newline(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL_KEEP_NEWLINE, "")
 
 
-def excerpt(raw: Column) -> Column:
-    return clean_text(raw, EXCERPT_CHARS)
+def excerpt(raw: Column, max_chars: int | None = None) -> Column:
+    """A refused line, fit to be shown; whole unless a length is given."""
+    return clean_text(raw, max_chars)
 
 
 def clean_json_text(raw: Column) -> Column:

@@ -48,6 +48,7 @@ class PacketLimits:
     max_items: int | None = None
     max_timeline: int | None = None
     line_chars: int | None = None
+    word_chars: int | None = None
 
 
 def _head(items: Column, n: int | None) -> Column:
@@ -86,7 +87,8 @@ def _words(v: Column, limits: PacketLimits) -> Column:
         F.transform(
             _head(items, limits.max_items),
             lambda i: F.when(
-                F.schema_of_variant(i) == "STRING", free_text(F.try_variant_get(i, "$", "string"), 32)
+                F.schema_of_variant(i) == "STRING",
+                free_text(F.try_variant_get(i, "$", "string"), limits.word_chars),
             ),
         )
     )
@@ -98,7 +100,7 @@ def _refusal(key: Column, v: Column) -> Column:
     numeric = _is_number(kind) | kind.rlike(
         r"^ARRAY<(?:BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\([0-9, ]+\))>$"
     )
-    word = F.when(kind == "STRING", free_text(F.try_variant_get(v, "$", "string"), 32).isNotNull())
+    word = F.when(kind == "STRING", free_text(F.try_variant_get(v, "$", "string")).isNotNull())
     wordy = F.coalesce(word, kind.startswith("ARRAY"))
     return (
         F.when(_in(key, DROP_KEYS), F.lit("always withheld"))
@@ -136,7 +138,7 @@ def _rendered(key: Column, v: Column, tokens: Column, limits: PacketLimits) -> C
         )
         .otherwise(
             F.when(
-                kind == "STRING", _json(free_text(F.try_variant_get(v, "$", "string"), 32))
+                kind == "STRING", _json(free_text(F.try_variant_get(v, "$", "string"), limits.word_chars))
             ).otherwise(F.to_json(_words(v, limits)))
         )
     )
@@ -290,7 +292,7 @@ def evidence_packets(
             F.filter("_judged", lambda e: e["why"].isNotNull()),
             lambda e: F.concat(where, e["k"], F.lit(": "), e["why"]),
         ),
-        F.transform("_late", lambda e: F.concat(where, e["k"], F.lit(": evidence key cap"))),
+        F.transform("_late", lambda e: F.concat(where, e["k"], F.lit(": beyond the keys allowed"))),
     )
     per_case = (
         with_tokens(kept)
@@ -386,12 +388,12 @@ def evidence_packets(
         F.transform(
             F.sequence(F.col("_n"), count - 1),
             lambda i: F.concat(
-                F.lit("alerts["), i.cast("string"), F.lit(f"]: byte cap of {limits.max_bytes}")
+                F.lit("alerts["), i.cast("string"), F.lit(f"]: packet would pass {limits.max_bytes} bytes")
             ),
         ),
     ).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
     capped = F.when(
-        F.col("_over"), F.array(F.lit(f"alerts: alert cap of {limits.max_alerts}"))
+        F.col("_over"), F.array(F.lit(f"alerts: only {limits.max_alerts} allowed"))
     ).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
     packets = done.select(
         "incident_id",

@@ -198,7 +198,7 @@ def q_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select(
-        "page_id", F.md5(text.clean_text(F.col("html"), 2**31 - 1)).alias("digest")
+        "page_id", F.md5(text.clean_text(F.col("html"))).alias("digest")
     )
 
 

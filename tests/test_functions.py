@@ -227,3 +227,26 @@ def test_thresholds_must_be_positive():
     ):
         with pytest.raises(ValueError):
             make()
+
+
+def test_whole_text_unless_a_length_is_given(spark):
+    from netquarry.functions.secrets import bounded_detail
+    from netquarry.functions.text import excerpt
+
+    rules = F.array(*[F.lit(f"D-{i:03}") for i in range(90)])
+    detail = F.map_from_entries(
+        F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(
+            F.concat(F.repeat(F.lit("k"), F.lit(80)), i.cast("string")), F.repeat(F.lit("v"), F.lit(700)))))
+    row = spark.range(1).select(
+        F.length(scoring.case_title(rules, F.lit("x"))).alias("title"),
+        F.length(scoring.case_title(rules, F.lit("x"), max_chars=200)).alias("short_title"),
+        F.length(excerpt(F.repeat(F.lit("r"), F.lit(900)))).alias("raw"),
+        F.length(excerpt(F.repeat(F.lit("r"), F.lit(900)), 256)).alias("short_raw"),
+        F.size(bounded_detail(detail)).alias("keys"),
+        F.length(F.map_values(bounded_detail(detail))[0]).alias("value"),
+        F.size(bounded_detail(detail, 32)).alias("some_keys"),
+        F.size(bounded_detail(detail, key_chars=64, value_chars=512)).alias("equal_keys"),
+    ).first()
+    assert row.title > 400 and row.short_title == 200
+    assert (row.raw, row.short_raw) == (900, 256)
+    assert (row["keys"], row.value, row.some_keys, row.equal_keys) == (50, 700, 32, 1)

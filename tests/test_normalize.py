@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from netquarry.sources.lines import read_lines
-from netquarry.sources.normalize import normalize
+from netquarry.sources.normalize import Limits, normalize
 
 AS_OF = "2026-09-05 12:00:00"
 T = "2026-09-01T10:00:00.000000+0000"
@@ -96,7 +96,10 @@ def test_fields(spark):
     assert (ask.dns_query, ask.dns_rrtype, ask.dns_rcode) == ("A.test", "TXT", None)
     assert (reply.dns_query, reply.dns_rrtype, reply.dns_rcode) == ("q.test", "A", "NXDOMAIN")
     assert bare.dns_rcode == "SERVFAIL"
-    assert len(alert.sig_signature) == 512 and str(alert.event_time) == "2026-09-01 10:00:00"
+    # whole text, and cut only where a length is asked for
+    assert alert.sig_signature == "S" * 600 and str(alert.event_time) == "2026-09-01 10:00:00"
+    (_, short), = run(spark, lines[-1:], limits=Limits(max_string=512))
+    assert short.sig_signature == "S" * 512
 
 
 def test_hash_ignores_spelling(spark):

@@ -63,5 +63,5 @@ def test_limits(spark):
     full, row, _ = build(spark, [{"flows": n} for n in range(5)])
     small = PacketLimits(max_bytes=len(row.packet_json) - 1)
     doc, row, _ = build(spark, [{"flows": n} for n in range(5)], limits=small)
-    assert len(doc["alerts"]) == 4 and row.truncated and row.dropped == [f"alerts[4]: byte cap of {small.max_bytes}"]
+    assert len(doc["alerts"]) == 4 and row.truncated and row.dropped == [f"alerts[4]: packet would pass {small.max_bytes} bytes"]
     assert len(row.packet_json) <= small.max_bytes
