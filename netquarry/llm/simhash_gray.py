@@ -78,9 +78,9 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number). No word: zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, **carried: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number), and the ``carried`` longs. No word: zero."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carried)])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +94,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if waiting:
                 found.append(majority(waiting))
             values = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(values)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], pa.array(values), *batch.columns[2:]], schema=schema
+            )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(mark, "doc_id long, fp long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        *(c.alias(name) for name, c in carried.items()),
+    )
+    return rows.mapInArrow(mark, ", ".join(f"{c} long" for c in schema.names))
 
 
 def gray_rank(code: Column) -> Column:
@@ -347,13 +353,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of the smallest doc_id; of repeated
-    rows with that id one stays. Rows without a doc_id cannot be told apart and all stay."""
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id and, among
+    equal ones, of the smallest hash of the text. A row is known by id and text: different texts
+    that share an id, or have none, are told apart and each stays unless it is a near copy. Rows
+    without an id come last in a group. Of repeated rows one stays. Columns and their names are
+    free."""
+    k1, k2 = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
+    marked = stage(fingerprints(docs, k1=k1, k2=k2), "fingerprints")
+    codes = stage(marked.select("fp", F.col("fp").alias("id")).distinct(), "codes")
+    groups = components(fingerprint_links(codes, radius)).withColumnRenamed("id", "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
     kept = (
-        near_duplicates(docs, radius)
-        .filter(F.col("doc_id") == F.col("component_id"))
-        .select(F.col("doc_id").alias("kept_id"))
-        .distinct()
+        marked.join(groups, "fp", "left")
+        .groupBy(F.coalesce("component", "fp").alias("group"))
+        .agg(F.min(order).alias("first"))
+        .select("first.*")
+    )
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        k1.alias("k1"),
+        k2.alias("k2"),
     )
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (rows["k1"] == kept["k1"]) & (rows["k2"] == kept["k2"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "k1", "k2"]).select("row.*")

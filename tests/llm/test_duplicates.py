@@ -91,6 +91,19 @@ def test_simhash_groups(near):
     assert simhash_gray.near_duplicates(near.filter("doc_id < 0")).count() == 0
 
 
+def test_representatives_tell_texts_of_one_id_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [
+        (5, one, 1), (5, two, 2), (5, one, 1), (7, one, 3), (None, two, 4), (None, "by itself", 5),
+        (None, "by itself", 5), (9, None, 6), (8, "", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long").withColumn("a.b", F.lit(1))
+    kept = simhash_gray.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.kept_id for r in kept.collect()) == [1, 2, 5, 7]
+    assert simhash_gray.representatives(docs.filter("doc_id < 0")).count() == 0
+
+
 def test_gray_index_and_tiles(spark):
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -180,6 +193,31 @@ def test_vectors(vectors):
     assert nn_descent.near_vectors(vectors.filter("vec_id < 0")).count() == 0
 
 
+def test_vectors_without_an_id_link(spark):
+    x, y, z = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5], [-1.0, 0.0, 4.0]
+    rows = [(-4, x, 1), (None, x, 1), (None, [1.0, 2.0, 3.01], 1), (None, y, 1), (None, y, 1), (-2, z, 1), (None, z, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = nn_descent.near_vectors(table).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
+        (-4, 2, -4, True), (-2, 0, -2, True), (0, 0, 0, True), (0, 1, 0, True), (0, 1, 0, True),
+        (0, 2, -4, True), (0, 2, -4, True),
+    ]
+
+
+def test_an_audit_below_the_least_recall_raises(vectors, monkeypatch):
+    monkeypatch.setattr(nn_descent, "recall", lambda links, groups: 0.9)
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_vectors(vectors.limit(20), seedings=1)
+
+
+def test_recall_counts_small_groups_like_dense_ones(spark):
+    dense = [(1, k) for k in range(100, 199)]
+    links = spark.createDataFrame([*dense, (2, 3)], "a long, b long")
+    groups = spark.createDataFrame([(1, 1), *((k, 1) for _, k in dense)], "id long, component long")
+    assert nn_descent.recall(links, groups) == 0.5
+    assert nn_descent.recall(links.limit(0), groups) == 1.0
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
