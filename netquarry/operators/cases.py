@@ -19,6 +19,7 @@ from netquarry.functions.text import clean_keep_newline, strip_python
 from netquarry.operators.correlate import GapRules, islands, propose_cases
 from netquarry.operators.pieces import MICRO, ranked
 from netquarry.operators.prefix import longest_match
+from netquarry.operators.replay import Machine, states_before
 from netquarry.operators.sets import drop_known, union_all
 from netquarry.schemas import CLOSED_STATUSES
 from netquarry.session import materialize
@@ -481,6 +482,8 @@ LEGAL_MOVES = {
     "closed_benign": ["investigating"],
 }
 
+MACHINE = Machine(LEGAL_MOVES)
+
 
 def apply_move(status: str, target: str) -> str:
     """``moved``, ``same`` or ``illegal``."""
@@ -492,40 +495,27 @@ def apply_move(status: str, target: str) -> str:
 def replay_workflow(cases: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(outcomes, final)``. ``transitions`` is ``(incident_id, requested_at, request_id,
     to_status, reason)`` applied per case in time order; a refused move changes nothing.
-    Closing stamps ``closed_at`` and the reason, reopening clears them.
-
-    The state is one status, so a case's requests stream through in sorted batches; nothing is
-    gathered per case."""
-    rows = transitions.join(cases.select("incident_id", "status"), "incident_id").select(
-        "incident_id", "requested_at", "request_id", "to_status", "reason", "status"
-    )
-    ids = dict(rows.dtypes)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, status = None, None
-        for pdf in batches:
-            before, outcome = [], []
-            for case, initial, target in zip(pdf["incident_id"], pdf["status"], pdf["to_status"]):
-                if case != current:
-                    current, status = case, initial
-                before.append(status)
-                verdict = apply_move(status, target)
-                outcome.append(verdict)
-                if verdict == "moved":
-                    status = target
-            pdf = pdf.assign(from_status=before, outcome=outcome)
-            yield pdf[
-                ["incident_id", "requested_at", "request_id", "from_status", "to_status", "reason", "outcome"]
-            ]
-
-    outcomes = (
-        rows.repartition("incident_id")
-        .sortWithinPartitions("incident_id", "requested_at", "request_id")
-        .mapInPandas(
-            walk,
-            f"incident_id {ids['incident_id']}, requested_at timestamp, request_id {ids['request_id']},"
-            " from_status string, to_status string, reason string, outcome string",
-        )
+    Closing stamps ``closed_at`` and the reason, reopening clears them. Requests of unknown cases
+    are left out; from a status that does not exist every move is illegal.
+
+    Requests are composed block by block (``operators.replay``), so a case's requests are walked
+    by as many tasks as it has blocks."""
+    rows = transitions.select("incident_id", "requested_at", "request_id", "to_status", "reason")
+    starts = cases.select("incident_id", MACHINE.letter(F.col("status")).alias("_before"))
+    met = states_before(
+        rows, starts, "incident_id", ["requested_at", "request_id"], "to_status", MACHINE
+    )
+    target = MACHINE.letter(F.col("to_status"))
+    same = (F.col("_before") == target) & (target != "-")
+    moved = MACHINE.apply(F.col("_before"), MACHINE.move(F.col("to_status"))) != F.col("_before")
+    outcomes = met.select(
+        "incident_id",
+        "requested_at",
+        "request_id",
+        MACHINE.status(F.col("_before")).alias("from_status"),
+        "to_status",
+        "reason",
+        F.when(same, F.lit("same")).when(moved, F.lit("moved")).otherwise(F.lit("illegal")).alias("outcome"),
     )
     last = (
         outcomes.filter("outcome = 'moved'")

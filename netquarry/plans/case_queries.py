@@ -427,7 +427,7 @@ def q_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOVES = [
     "triaging", "investigating", "contained_recommended", "closed_benign", "closed_true_positive"
 ]
-_WORKFLOW_SQL = """
+_WALK_SQL = """
 WITH RECURSIVE legal(f, t) AS (VALUES
   ('new','triaging'),('new','investigating'),('new','closed_true_positive'),('new','closed_false_positive'),('new','closed_benign'),
   ('triaging','investigating'),('triaging','contained_recommended'),('triaging','closed_true_positive'),
@@ -447,27 +447,53 @@ s AS (SELECT c, 0 AS k, CAST(NULL AS BIGINT) AS request_id, 'new' AS was, 'new'
              CASE WHEN EXISTS (SELECT 1 FROM legal WHERE f = s.status AND t = q.target) THEN q.target ELSE s.status END,
              CASE WHEN s.status = q.target THEN 'same'
                   WHEN EXISTS (SELECT 1 FROM legal WHERE f = s.status AND t = q.target) THEN 'moved' ELSE 'illegal' END
-      FROM s JOIN q ON q.c = s.c AND q.k = s.k + 1)
-SELECT request_id, was AS from_status, outcome FROM s WHERE k > 0"""
+      FROM s JOIN q ON q.c = s.c AND q.k = s.k + 1)"""
+_WORKFLOW_SQL = _WALK_SQL + " SELECT request_id, was AS from_status, outcome FROM s WHERE k > 0"
+# the statuses that cases start in, and what their requests give as a reason
+_STATUSES = list(C.LEGAL_MOVES)
+_START_SQL = "[" + ", ".join(f"'{s}'" for s in _STATUSES) + "][1 + o_custkey % 7]"
+_REASON_SQL = "CASE WHEN request_id % 7 > 0 THEN 'reason ' || (request_id % 7) END"
 
 
-@query("replay_workflow", _WORKFLOW_SQL)
-def q_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = A.table(spark, sf_dir, "orders")
-    case = F.col("o_custkey").alias("incident_id")
-    cases = orders.select(case).distinct().withColumn("status", F.lit("new"))
+def _requests(orders: DataFrame) -> DataFrame:
     moves = F.array(*[F.lit(m) for m in _MOVES])
-    requests = orders.select(
-        case,
+    number = F.col("o_orderkey") % 7
+    return orders.select(
+        F.col("o_custkey").alias("incident_id"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
         F.col("o_orderkey").alias("request_id"),
         F.element_at(moves, (F.lit(1) + F.col("o_orderkey") % 5).cast("int")).alias("to_status"),
-        F.lit(None).cast("string").alias("reason"),
+        F.when(number > 0, F.concat(F.lit(" reason "), number.cast("string"))).otherwise(F.lit(" \n")).alias("reason"),
     )
-    outcomes, _ = C.replay_workflow(cases, requests)
+
+
+@query("replay_workflow", _WORKFLOW_SQL)
+def q_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = A.table(spark, sf_dir, "orders")
+    cases = orders.select(F.col("o_custkey").alias("incident_id")).distinct().withColumn("status", F.lit("new"))
+    outcomes, _ = C.replay_workflow(cases, _requests(orders))
     return outcomes.select("request_id", "from_status", "outcome")
 
 
+@query(
+    "workflow_final",
+    _WALK_SQL.replace("'new' AS was, 'new' AS status", f"{_START_SQL} AS was, {_START_SQL} AS status").replace(
+        "SELECT DISTINCT o_custkey AS c FROM", "SELECT DISTINCT o_custkey AS c, o_custkey FROM"
+    )
+    + f""", f AS (SELECT c, max_by(status, k) AS status, max_by(request_id, k) FILTER (WHERE outcome = 'moved') AS request_id FROM s GROUP BY 1)
+    SELECT c AS incident_id, status, CASE WHEN status LIKE 'closed%' THEN epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 END AS closed_s,
+           CASE WHEN status LIKE 'closed%' THEN {_REASON_SQL} END AS closure_reason
+    FROM f LEFT JOIN orders ON o_orderkey = request_id""",
+)
+def q_workflow_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = A.table(spark, sf_dir, "orders")
+    statuses = F.array(*[F.lit(s) for s in _STATUSES])
+    first = F.element_at(statuses, (F.lit(1) + F.col("incident_id") % 7).cast("int")).alias("status")
+    cases = orders.select(F.col("o_custkey").alias("incident_id")).distinct().select("incident_id", first)
+    _, final = C.replay_workflow(cases, _requests(orders))
+    return final.select("incident_id", "status", F.unix_seconds("closed_at").alias("closed_s"), "closure_reason")
+
+
 @query(
     "clean_notes",
     r"""WITH n AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g'), '^\s+|\s+$', '', 'g') AS c

@@ -122,6 +122,31 @@ def test_workflow(spark):
     assert got == {"a": ("closed_true_positive", "seen", True), "b": ("new", None, False), "c": ("closed_benign", None, False)}
 
 
+def test_a_hot_case_is_replayed_block_by_block(spark):
+    rng = random.Random(5)
+    states = [*C.LEGAL_MOVES, "unheard_of", None]
+    rows = [("hot", at(rng.randrange(2000)), n, rng.choice(states)) for n in range(9000)]
+    rows += [(f"c{n % 50}", at(rng.randrange(50)), n, rng.choice(states)) for n in range(9000, 9600)]
+    rows += [("lost", at(1), 9999, "triaging"), (None, at(1), 9998, "triaging"), ("odd", at(1), 9997, "triaging")]
+    cases = [("hot", "new"), ("idle", "triaging"), ("odd", "strange"), *((f"c{n}", states[n % 7]) for n in range(50))]
+    want, state = {}, dict(cases)
+    for case, _, n, target in sorted((r for r in rows if r[0] in state), key=lambda r: (r[0], r[1], r[2])):
+        now = state[case]
+        if now == "strange":
+            want[n] = (None, "illegal")
+            continue
+        verdict = "same" if now == target else "moved" if target in C.LEGAL_MOVES[now] else "illegal"
+        want[n] = (now, verdict)
+        state[case] = target if verdict == "moved" else now
+    requests = spark.createDataFrame([(*r, None) for r in rows], "incident_id string, requested_at timestamp,"
+                                     " request_id long, to_status string, reason string")
+    outcomes, final = C.replay_workflow(spark.createDataFrame(cases, "incident_id string, status string"), requests)
+    assert {r.request_id: (r.from_status, r.outcome) for r in outcomes.collect()} == want
+    assert {r.incident_id: r.status for r in final.collect()} == state
+    none, _ = C.replay_workflow(spark.createDataFrame(cases, "incident_id string, status string"), requests.limit(0))
+    assert none.count() == 0
+
+
 def test_notes(spark):
     df = spark.createDataFrame([(0, " a\x00b\nc "), (1, "\x01 \n"), (2, "x" * 8001), (3, None)], "i int, body string")
     got = [(r.clean, r.refused) for r in C.clean_notes(df).orderBy("i").collect()]
