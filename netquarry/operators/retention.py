@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators.sets import union_all
+from netquarry.session import stored
 
 
 @dataclass(frozen=True)
@@ -85,19 +86,70 @@ def prune(
     return kept, counts
 
 
-def prune_partitions(
-    dates: DataFrame, before: Column, protected_dates: DataFrame | None = None
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def prune_days(
+    spark: SparkSession,
+    path: str,
+    column: str,
+    before: Column,
+    protected: DataFrame | None = None,
+    key: str = "id",
 ) -> DataFrame:
-    """The whole days that lie before the cutoff and hold no protected row: what a run drops as
-    partitions, without reading a row of them."""
-    old = (
-        dates.select("event_date")
-        .distinct()
-        .filter(F.date_add("event_date", 1).cast("timestamp") <= before)
+    """Prune the day-partitioned table at ``path`` in place and return the manifest
+    ``(event_date, action, removed, remaining, stays)`` of its old days.
+
+    A day of which nothing stays is ``dropped`` as a folder, one of which all stays is ``kept``, any
+    other is ``rewritten``; days after the cutoff are not touched. ``remaining`` are old rows kept
+    as evidence. Only the key of old days is read to find those, and of no other days than theirs
+    if ``protected`` names them in ``event_date``. The rows that stay and the manifest are stored
+    before the table changes, and every change can be repeated: after a failure run it again.
+    Rows without a time lie in no old day and stay."""
+    table = spark.read.parquet(path)
+    old = table.filter(F.col("event_date") <= F.to_date(before))
+    expired = F.col(column) < before
+    # the footers have the sizes
+    sizes = old.groupBy("event_date").agg(F.count("*").alias("_n"))
+    # only the day of the cutoff holds rows of both kinds
+    stay = old.filter((F.col("event_date") == F.to_date(before)) & ~expired)
+    if protected is not None:
+        on = ["event_date", key] if "event_date" in protected.columns else [key]
+        stay = stay.unionByName(
+            old.filter(expired).join(protected.select(*on).distinct(), on, "left_semi").select(*old.columns)
+        )
+    stay = stored(stay, "pruned-rows", by=["event_date"])
+    left = stay.groupBy("event_date").agg(
+        F.count("*").alias("_stays"), F.count_if(expired).alias("_remaining")
     )
-    if protected_dates is None:
-        return old
-    return old.join(protected_dates.select("event_date").distinct(), "event_date", "left_anti")
+    stays = F.coalesce("_stays", F.lit(0))
+    action = (
+        F.when(stays == 0, "dropped").when(stays == F.col("_n"), "kept").otherwise("rewritten")
+    )
+    manifest = stored(
+        sizes.join(left, "event_date", "left").select(
+            "event_date",
+            action.alias("action"),
+            (F.col("_n") - stays).alias("removed"),
+            F.coalesce("_remaining", F.lit(0)).alias("remaining"),
+            stays.alias("stays"),
+        ),
+        "prune-manifest",
+    )
+    rewritten = manifest.filter("action = 'rewritten'").select("event_date")
+    (
+        stay.join(F.broadcast(rewritten), "event_date", "left_semi")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(path)
+    )
+    # as many names as there are days
+    for day in manifest.filter("action = 'dropped'").select("event_date").collect():
+        _remove(spark, f"{path.rstrip('/')}/event_date={day[0].isoformat()}")
+    return manifest
 
 
 def prune_table(

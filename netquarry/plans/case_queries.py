@@ -558,7 +558,8 @@ def _prune(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ sweep
 
 
-def _sweep(spark: SparkSession, sf_dir: str):
+def sweep_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(networks, baselines)`` that the sweeps resolve and compare with."""
     nets = A.networks(spark, sf_dir)
     history = nets.filter(F.col("cidr").endswith("/32")).select(
         "asset_id",
@@ -569,6 +570,11 @@ def _sweep(spark: SparkSession, sf_dir: str):
         F.lit(5e9).alias("p95"),
         F.lit(168).cast("bigint").alias("sample_count"),
     )
+    return nets, history
+
+
+def _sweep(spark: SparkSession, sf_dir: str):
+    nets, history = sweep_history(spark, sf_dir)
     start = datetime.fromtimestamp(A.BASE, tz=UTC)
     end = datetime.fromtimestamp(A.BASE + 7200, tz=UTC)
     return sweep(A.every_feed(spark, sf_dir), start, end, nets, history)

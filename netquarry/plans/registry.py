@@ -38,6 +38,7 @@ def load_all() -> None:
         detect_queries,
         ingest_queries,
         join_queries,
+        storage_queries,
         stream_queries,
         text_queries,
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netquarry.session import stored
+
 LINES = "file STRING, line_number BIGINT, raw STRING"
 
 
@@ -16,12 +18,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, line_number, raw)``. Lines are numbered from 1 in each file; blank lines count
     but are left out. A file is read in as many blocks as Spark likes: rows keep their order
     inside a block, so a line's number is its place in the block plus the lines of the blocks
-    before, which is one small row per block."""
-    rows = _text(spark.read, path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-        F.make_valid_utf8(F.regexp_replace("value", r"\r+$", "")).alias("raw"),
+    before, which is one small row per block. The files are scanned once, into the shared folder:
+    places and texts then come from one reading, whatever is computed again."""
+    rows = stored(
+        _text(spark.read, path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+            F.make_valid_utf8(F.regexp_replace("value", r"\r+$", "")).alias("raw"),
+        ),
+        "scanned-lines",
     )
     blocks = rows.groupBy("file", "_block").agg(
         F.count("*").alias("_n"), F.min("_at").alias("_start")

@@ -12,6 +12,7 @@ from netquarry.operators.documents import admit_documents
 from netquarry.operators.evaluation import grouping_metrics
 from netquarry.operators.publish import publish_audit, strip_content
 from netquarry.operators.redact import pseudonymize
+from netquarry.operators.retention import prune_days
 from netquarry.operators.rules import RULES, Rule
 from netquarry.operators.sweep import sweep
 from netquarry.sources.datasets import verify_datasets
@@ -141,6 +142,38 @@ def test_documents(spark):
     assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
 
 
+def test_pruning_in_place(spark, tmp_path):
+    path = str(tmp_path / "events")
+    days = spark.range(200).selectExpr("id", "timestamp_seconds(1767225600 + id * 3600 * 3) AS event_time")  # 2026-01-01, 8 a day
+    append_events(days.unionByName(spark.createDataFrame([(999, None)], days.schema)), path)
+
+    def files():
+        return {str(f.relative_to(path)): f.read_bytes() for f in (tmp_path / "events").rglob("*.parquet")}
+
+    first = files()
+    before = F.lit("2026-01-10 12:00:00").cast("timestamp")
+    cited = spark.createDataFrame([(3,), (17,), (17,), (190,), (12345,), *((i,) for i in range(32, 40))], "id long")
+    manifest = {str(r.event_date)[8:]: (r.action, r.removed, r.remaining, r.stays) for r in
+                prune_days(spark, path, "event_time", before, cited).collect()}
+    gone = {f"{d:02d}": ("dropped", 8, 0, 0) for d in (2, 4, 6, 7, 8, 9)}
+    assert manifest == gone | {"01": ("rewritten", 7, 1, 1), "03": ("rewritten", 7, 1, 1), "05": ("kept", 0, 8, 8),
+                               "10": ("rewritten", 4, 0, 4)}
+    left = sorted(r.id for r in spark.read.parquet(path).collect())
+    assert left == [3, 17, *range(32, 40), *range(76, 200), 999]
+    now = files()
+    young = {f for f in first if f[11:21] > "2026-01-10" or "2026-01-05" in f or "HIVE" in f}
+    assert len(young) > 15 and all(now[f] == first[f] for f in young)
+    assert not any(f"2026-01-{d}" in f for f in now for d in gone)
+    # again, with the days of the evidence at hand: nothing is left to do
+    dated = days.join(cited, "id").selectExpr("id", "to_date(event_time) AS event_date")
+    again = prune_days(spark, path, "event_time", before, dated).collect()
+    assert {r.action for r in again} == {"kept"} and files() == now
+    assert prune_days(spark, path, "event_time", F.lit("2020-01-01").cast("timestamp")).count() == 0
+    swept = prune_days(spark, path, "event_time", F.lit("2027-01-01").cast("timestamp"))
+    assert {r.action for r in swept.collect()} == {"dropped"}
+    assert [r.id for r in spark.read.parquet(path).collect()] == [999]
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     (tmp_path / "b.bin").write_bytes(b"changed")
