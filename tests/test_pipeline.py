@@ -145,7 +145,7 @@ def test_documents(spark):
 def test_pruning_in_place(spark, tmp_path):
     path = str(tmp_path / "events")
     days = spark.range(200).selectExpr("id", "timestamp_seconds(1767225600 + id * 3600 * 3) AS event_time")  # 2026-01-01, 8 a day
-    append_events(days.unionByName(spark.createDataFrame([(999, None)], days.schema)), path)
+    append_events(days.unionByName(spark.createDataFrame([(999, None)], "id long, event_time timestamp")), path)
 
     def files():
         return {str(f.relative_to(path)): f.read_bytes() for f in (tmp_path / "events").rglob("*.parquet")}
