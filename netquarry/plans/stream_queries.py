@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 
 from netquarry.operators.correlate import propose_cases
 from netquarry.operators.packets import evidence_packets
-from netquarry.operators.reports import case_reports
+from netquarry.operators.reports import case_reports, report_rows
 from netquarry.operators.rules import PortScanParams
 from netquarry.plans import adapters as A
 from netquarry.plans import case_queries as CQ
@@ -285,3 +285,54 @@ def q_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         counted.cast("bigint").alias("mentions"),
         (F.col("markdown").endswith("\n") & ~F.col("markdown").endswith("\n\n")).alias("ends_well"),
     )
+
+
+def _md(text: str) -> str:
+    return f"""regexp_replace({text}, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g')"""
+
+
+def _day(seconds: str) -> str:
+    return f"strftime(to_timestamp({seconds}) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%SZ')"
+
+
+# sections and rows of the reports, but for the first text, which has the numbers of islands
+_ROWS_SQL = (
+    CQ._PROPOSALS_SQL
+    + f""",
+a AS (SELECT m.*, g.start_s,
+             row_number() OVER (PARTITION BY m.entity_value, m.grp ORDER BY s, rule_id, CAST(alert_id AS VARCHAR)) AS place,
+             row_number() OVER (PARTITION BY m.entity_value, m.grp ORDER BY s, alert_id) AS entry
+      FROM m JOIN g ON g.entity_value = m.entity_value AND g.grp = m.grp),
+frames(section, text) AS (VALUES
+  (10, '## Inventory matches' || chr(10) || chr(10) || '_None._'),
+  (20, '## Alerts' || chr(10) || chr(10) || '| Rule | Severity | Confidence | Entity | Events | First seen | Last seen |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |'),
+  (30, '## Timeline' || chr(10) || chr(10) || '| When | What | Summary |' || chr(10) || '| --- | --- | --- |'),
+  (40, '## Notes' || chr(10) || chr(10) || '_Empty._'),
+  (50, '## Model briefs' || chr(10) || chr(10) || '_None on file._'),
+  (60, '## Reading guide' || chr(10) || chr(10) || '- Rules measure traffic. Their results need a reader''s judgement.' || chr(10)
+       || '- Each alert covers one time window of one rule.' || chr(10) || '- The inventory knows no owner for these addresses.'),
+  (70, '## Ingest batches' || chr(10) || chr(10) || '_Unknown._')),
+texts AS (
+  SELECT entity_value, start_s, section, 0 AS position, text FROM g, frames
+  UNION ALL
+  SELECT entity_value, start_s, 21, place, '| ' || {_md("rule_id")} || ' v1 | ' || severity || ' | 0.75 | ' || {_md("'src_ip=' || entity_value")}
+         || ' | ' || (alert_id % 50 + 1) || ' | ' || {_day("s")} || ' | ' || {_day("e")} || ' |' FROM a
+  UNION ALL
+  SELECT entity_value, start_s, 22, place, '### ' || {_md("rule_id")} || ' on ' || {_md("entity_value")} || chr(10) || chr(10) || '- Alert: `' || alert_id || '`' || chr(10)
+         || '- Status: `correlated`' || chr(10) || chr(10) || 'What the rule measured:' || chr(10) || chr(10) || '```json' || chr(10)
+         || '{{"app_proto":"tls","flows":' || (alert_id % 50) || ',"sample_dest_hosts":["' || {A.dotted_sql(f"(alert_id % 1000 + {A.OUTSIDE})")} || '","' || entity_value
+         || '"],"unlisted":"x"}}' || chr(10) || '```' FROM a
+  UNION ALL
+  SELECT entity_value, start_s, 31, entry, '| ' || {_day("s")} || ' | alert\\_fired | ' || {_md("rule_id || ' fired on src_ip ' || entity_value")} || ' |' FROM a)
+SELECT entity_value AS subject, start_s, section, position, text FROM texts"""
+)
+
+
+@query("report_rows", _ROWS_SQL)
+def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, alerts, timeline = _cases(spark, sf_dir)
+    rows = report_rows(cases, alerts, timeline=timeline).filter("section > 0")
+    named = cases.select("case_number", "subject", "window_start")
+    return rows.join(named, "case_number").select(
+        "subject", F.unix_seconds("window_start").alias("start_s"), "section", "position", "text"
+    )
