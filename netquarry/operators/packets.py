@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.secrets import free_text, name_class, names_in_text, replace_names
 from netquarry.functions.timing import iso_utc
+from netquarry.operators.pieces import numbered, running_total
 from netquarry.operators.redact import SUBJECT_LABEL, token_numbers
-from netquarry.session import materialize
+from netquarry.session import materialize, stored
 
 # fixed values: what may happen to an evidence key
 NUMERIC_KEYS = frozenset(
@@ -144,17 +145,19 @@ def _rendered(key: Column, v: Column, tokens: Column, limits: PacketLimits) -> C
     )
 
 
-def evidence_packets(
-    cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: PacketLimits = PacketLimits()
-) -> tuple[DataFrame, DataFrame]:
-    """``(packets, mapping)``. ``packets`` is ``(incident_id, packet_json, packet_hash,
-    truncated, dropped)``; ``mapping`` resolves the tokens and is kept apart.
+@dataclass(frozen=True)
+class _Items:
+    """What is sent of all cases: ``alerts`` ``(incident_id, _a, _j, _w)``, the JSON text of each
+    alert and what it withholds; ``lines`` ``(incident_id, _at, _l)``, NULL where a line is
+    withheld; ``over``, the cases with more alerts than allowed; ``tokens``."""
 
-    ``alerts`` carries ``incident_id`` and evidence as JSON text; ``timeline`` is
-    ``(incident_id, occurred_at, entry_id, summary)``. Tokens are numbered by alert, then by
-    evidence key in order, then along the timeline. A packet has all of its case; ``dropped`` names
-    every key and timeline line that was withheld. Limits, where given, are applied below the
-    shuffle."""
+    alerts: DataFrame
+    lines: DataFrame
+    over: DataFrame
+    tokens: DataFrame
+
+
+def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: PacketLimits) -> _Items:
     last = limits.max_alerts
     by_time = Window.partitionBy("incident_id").orderBy("first_seen", "alert_id")
     near = (
@@ -254,13 +257,17 @@ def evidence_packets(
             subject="subject",
         )
     )
-    maps = tokens.groupBy("incident_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_tokens")
-    )
     no_tokens = F.expr("CAST(map() AS MAP<STRING, STRING>)")
 
-    def with_tokens(df: DataFrame) -> DataFrame:
-        return df.join(maps, "incident_id", "left").withColumn(
+    def with_tokens(df: DataFrame, names: DataFrame, place: str) -> DataFrame:
+        """Each row with the tokens of its own names, however many its case has."""
+        maps = (
+            names.distinct()
+            .join(tokens.select("incident_id", "_value", "token"), ["incident_id", "_value"])
+            .groupBy("incident_id", place)
+            .agg(F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_tokens"))
+        )
+        return df.join(maps, ["incident_id", place], "left").withColumn(
             "_tokens", F.coalesce("_tokens", no_tokens)
         )
 
@@ -294,11 +301,11 @@ def evidence_packets(
         ),
         F.transform("_late", lambda e: F.concat(where, e["k"], F.lit(": beyond the keys allowed"))),
     )
-    per_case = (
-        with_tokens(kept)
-        .select("incident_id", "_a", alert_json.alias("_j"), withheld.alias("_w"))
-        .groupBy("incident_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_a", "_j", "_w"))).alias("_alerts"))
+    named = entity.unionByName(inside).select(
+        "incident_id", F.col("_p1").cast("int").alias("_a"), "_value"
+    )
+    rendered = with_tokens(kept, named, "_a").select(
+        "incident_id", "_a", alert_json.alias("_j"), withheld.alias("_w")
     )
     line = free_text(
         replace_names(
@@ -306,12 +313,51 @@ def evidence_packets(
         ),
         limits.line_chars,
     )
+    mentioned = read.select("incident_id", "_at", F.explode(names_in_text(F.col("summary"))).alias("_value"))
+    told_lines = with_tokens(read, mentioned, "_at").select("incident_id", "_at", line.alias("_l"))
+    return _Items(rendered, told_lines, over, tokens.select("incident_id", "token", F.col("_value").alias("value")))
+
+
+def _frame() -> tuple[Column, Column]:
+    """What stands between the alerts and the flag, and between the flag and the timeline."""
+    kind = name_class(F.col("subject"))
+    subject_class = (
+        F.when(kind == "int", F.lit("private")).when(kind == "ext", F.lit("public")).otherwise(F.lit("domain"))
+    )
+    head = F.concat(
+        F.lit('],"case_number":'), _json(F.col("case_number")),
+        F.lit(',"distinct_rule_count":'), F.col("distinct_rule_count").cast("string"),
+        F.lit(',"packet_truncated":'),
+    )
+    tail = F.concat(
+        F.lit(',"severity":'), F.col("severity").cast("string"),
+        F.lit(',"status":'), _json(F.col("status")),
+        F.lit(f',"subject":"{SUBJECT_LABEL}","subject_class":'), _json(subject_class),
+        F.lit(',"timeline":'), F.to_json("_l"),
+        F.lit(',"window_end":'), _json(iso_utc(F.col("window_end"))),
+        F.lit(',"window_start":'), _json(iso_utc(F.col("window_start"))), F.lit("}"),
+    )
+    return head, tail
+
+def evidence_packets(
+    cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: PacketLimits = PacketLimits()
+) -> tuple[DataFrame, DataFrame]:
+    """``(packets, mapping)``. ``packets`` is ``(incident_id, packet_json, packet_hash,
+    truncated, dropped)``; ``mapping`` resolves the tokens and is kept apart.
+
+    ``alerts`` carries ``incident_id`` and evidence as JSON text; ``timeline`` is
+    ``(incident_id, occurred_at, entry_id, summary)``. Tokens are numbered by alert, then by
+    evidence key in order, then along the timeline. A packet has all of its case; ``dropped`` names
+    every key and timeline line that was withheld. Limits, where given, are applied below the
+    shuffle."""
+    items = _items(cases, alerts, timeline, limits)
+    over = items.over
+    per_case = items.alerts.groupBy("incident_id").agg(
+        F.array_sort(F.collect_list(F.struct("_a", "_j", "_w"))).alias("_alerts")
+    )
     # judged on the text that would be sent
-    lines = (
-        with_tokens(read)
-        .select("incident_id", "_at", line.alias("_l"))
-        .groupBy("incident_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_l"))).alias("_lines"))
+    lines = items.lines.groupBy("incident_id").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_l"))).alias("_lines")
     )
     refused_lines = F.transform(
         F.filter("_lines", lambda x: x["_l"].isNull()),
@@ -344,23 +390,7 @@ def evidence_packets(
             }
         )
     )
-    kind = name_class(F.col("subject"))
-    subject_class = (
-        F.when(kind == "int", F.lit("private")).when(kind == "ext", F.lit("public")).otherwise(F.lit("domain"))
-    )
-    head = F.concat(
-        F.lit('],"case_number":'), _json(F.col("case_number")),
-        F.lit(',"distinct_rule_count":'), F.col("distinct_rule_count").cast("string"),
-        F.lit(',"packet_truncated":'),
-    )
-    tail = F.concat(
-        F.lit(',"severity":'), F.col("severity").cast("string"),
-        F.lit(',"status":'), _json(F.col("status")),
-        F.lit(f',"subject":"{SUBJECT_LABEL}","subject_class":'), _json(subject_class),
-        F.lit(',"timeline":'), F.to_json("_l"),
-        F.lit(',"window_end":'), _json(iso_utc(F.col("window_end"))),
-        F.lit(',"window_start":'), _json(iso_utc(F.col("window_start"))), F.lit("}"),
-    )
+    head, tail = _frame()
     framed = joined.withColumns({"_head": head, "_tail": tail})
 
     def packet(n: Column, cut: Column) -> Column:
@@ -402,7 +432,98 @@ def evidence_packets(
         F.col("_cut").alias("truncated"),
         F.concat("_w", capped, squeezed).alias("dropped"),
     )
-    return packets, tokens.select("incident_id", "token", F.col("_value").alias("value"))
+    return packets, items.tokens
+
+
+def packet_parts(
+    cases: DataFrame,
+    alerts: DataFrame,
+    timeline: DataFrame,
+    max_bytes: int,
+    limits: PacketLimits = PacketLimits(),
+    room: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(parts, withheld, mapping)``. The evidence of each case in as many packets as it takes:
+    ``parts`` is ``(incident_id, packet_no, alerts, lines, packet_json, packet_hash, oversize)``,
+    packets numbered from 1 and each with the facts of its case. Nothing is left out: alerts in
+    order, then the lines of the timeline. ``withheld`` is ``(incident_id, what)``, one row for
+    each key or line that may not leave.
+
+    The items of a case are laid end to end and cut at multiples of the bytes a packet has for
+    them (``room`` bytes if that is less); an item that lies across a cut makes a packet of its
+    own. That takes no walk along the case, and at most twice the packets of the tightest cutting. Only an item that alone passes
+    ``max_bytes`` makes a packet above it, which is marked ``oversize``. A case without items has
+    one packet."""
+    items = _items(cases, alerts, timeline, limits)
+    good = items.lines.filter(F.col("_l").isNotNull())
+    item = "struct<_p: int, _a: int, _at: struct<t: timestamp, e: string>>"
+    place = F.struct(F.lit(0), F.col("_a"), F.lit(None)).cast(item).alias("_place")
+    entry = F.struct("_at.occurred_at", F.col("_at.entry_id").cast("string"))
+    later = F.struct(F.lit(1), F.lit(None), entry).cast(item).alias("_place")
+    every = items.alerts.select("incident_id", place, F.col("_j").alias("_text")).unionByName(
+        good.select("incident_id", later, _json(F.col("_l")).alias("_text"))
+    )
+    head, tail = _frame()
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    number, flag = ',"packet_no":', ',"packet_truncated":false'
+
+    def whole(alert_list: Column, line_list: Column) -> Column:
+        return F.concat(
+            F.lit('{"alerts":['), F.array_join(alert_list, ","), F.col("_head"),
+            F.lit(number), F.col("packet_no").cast("string"), F.lit(flag), F.col("_front"), F.lit("["), F.array_join(line_list, ","), F.lit("]"), F.col("_back"),
+        )
+
+    # a case without its items; twenty bytes are more than any number of a packet takes
+    ends = F.split(tail, r'(?<="timeline":)\[\]')
+    facts = F.octet_length(F.concat("_head", "_front", "_back"))
+    fixed = len('{"alerts":[' + number + flag + "[]") + 20
+    frames = stored(
+        cases.withColumn("_l", none)
+        .select(
+            "incident_id",
+            F.regexp_replace(head, ',"packet_truncated":$', "").alias("_head"),
+            F.get(ends, F.lit(0)).alias("_front"),
+            F.get(ends, F.lit(1)).alias("_back"),
+        )
+        .withColumn("_room", F.greatest(max_bytes - fixed - facts, F.lit(1)))
+        .withColumn("_room", F.least("_room", F.lit(room))),
+        "packet-frames",
+    )
+    # the comma before it is part of an item
+    sized = every.withColumn("_size", F.octet_length("_text") + 1)
+    laid = running_total(sized, ["incident_id"], ["_place"], "_size", "_start").join(
+        frames.select("incident_id", "_room"), "incident_id"
+    )
+    stretch = F.floor(F.col("_start") / F.col("_room"))
+    across = F.col("_start") + F.col("_size") > (stretch + 1) * F.col("_room")
+    groups = (
+        laid.withColumn("_cut", F.struct(stretch.alias("s"), across.alias("x")))
+        .groupBy("incident_id", "_cut")
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_text"))).alias("_items"))
+    )
+    ranked = numbered(groups, ["incident_id"], ["_cut"], "packet_no")
+    filled = frames.join(ranked, "incident_id", "left")
+
+    def texts(part: int) -> Column:
+        chosen = F.filter("_items", lambda x: x["_place"]["_p"] == part)
+        return F.coalesce(F.transform(chosen, lambda x: x["_text"]), none)
+
+    parts = (
+        filled.withColumn("packet_no", F.coalesce("packet_no", F.lit(1)).cast("bigint"))
+        .withColumns({"alerts": texts(0), "lines": texts(1)})
+        .withColumn("packet_json", whole(F.col("alerts"), F.col("lines")))
+        .select(
+            "incident_id", "packet_no", "alerts", "lines", "packet_json",
+            F.sha2("packet_json", 256).alias("packet_hash"),
+            (F.octet_length("packet_json") > max_bytes).alias("oversize"),
+        )
+    )
+    refused = items.lines.filter(F.col("_l").isNull()).select(
+        "incident_id",
+        F.concat(F.lit("timeline["), F.col("_at.entry_id").cast("string"), F.lit("]: text looks secret")).alias("what"),
+    )
+    withheld = items.alerts.select("incident_id", F.explode("_w").alias("what")).unionByName(refused)
+    return parts, withheld, items.tokens
 
 
-__all__ = ["PacketLimits", "evidence_packets"]
+__all__ = ["PacketLimits", "evidence_packets", "packet_parts"]

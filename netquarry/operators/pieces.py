@@ -104,6 +104,32 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     )
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, name: str
+) -> DataFrame:
+    """``name``: the weights of all rows before each in its group, which is cut like in
+    :func:`numbered`. The order must tell the rows of a group apart."""
+    at = F.monotonically_increasing_id()
+    rows = stored(
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_part", F.shiftright(at, 33)),
+        "running",
+    )
+    shares = rows.groupBy(*keys, "_part").agg(F.sum(weight).alias("_share"))
+    parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = shares.select(*keys, "_part", F.coalesce(F.sum("_share").over(parts), F.lit(0)).alias("_ahead"))
+    inside = (
+        Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    own = rows.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return (
+        own.join(ahead, [*keys, "_part"])
+        .withColumn(name, F.col("_ahead") + F.col("_own"))
+        .drop("_part", "_ahead", "_own")
+    )
+
+
 def densest_span(
     df: DataFrame, keys: Sequence[str], at_us: str, seconds: int, weight: str | None = None
 ) -> DataFrame:

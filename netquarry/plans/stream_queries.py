@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from netquarry.operators.correlate import propose_cases
-from netquarry.operators.packets import evidence_packets
+from netquarry.operators.packets import evidence_packets, packet_parts
 from netquarry.operators.reports import case_reports, report_rows
 from netquarry.operators.rules import PortScanParams
 from netquarry.plans import adapters as A
@@ -270,6 +270,46 @@ def q_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# packets so small that a case takes several: the fixed facts of a packet, its room, its items
+_STAMP = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+_PARTS_SQL = (
+    CQ._PROPOSALS_SQL
+    + f""",
+a AS (SELECT m.*, g.start_s, {A.dotted_sql(f"(alert_id % 1000 + {A.OUTSIDE})")} AS dest,
+             row_number() OVER (PARTITION BY m.entity_value, m.grp ORDER BY s, alert_id) AS place
+      FROM m JOIN g ON g.entity_value = m.entity_value AND g.grp = m.grp),
+firsts AS (SELECT entity_value, grp, dest, row_number() OVER (PARTITION BY entity_value, grp ORDER BY min(place)) AS token FROM a GROUP BY 1, 2, 3),
+items AS (
+  SELECT a.entity_value, a.start_s, 0 AS part, place,
+         '{{"confidence":0.75,"entity":"asset-A","event_count":' || (alert_id % 50 + 1) || ',"evidence":{{"app_proto":"tls","flows":' || (alert_id % 50)
+         || ',"sample_dest_hosts":["ext-' || token || '","asset-A"]}},"first_seen":"' || {_STAMP.format("s")} || '","last_seen":"' || {_STAMP.format("e")}
+         || '","rule_id":"' || rule_id || '","severity":' || severity || '}}' AS text
+  FROM a JOIN firsts f ON f.entity_value = a.entity_value AND f.grp = a.grp AND f.dest = a.dest
+  UNION ALL
+  SELECT entity_value, start_s, 1, place, '"' || rule_id || ' fired on src_ip asset-A"' FROM a),
+laid AS (SELECT *, strlen(text) + 1 AS size, sum(strlen(text) + 1) OVER (PARTITION BY entity_value, start_s ORDER BY part, place) - strlen(text) - 1 AS start FROM items),
+cut AS (SELECT *, start // 600 AS stretch, start + size > (start // 600 + 1) * 600 AS across FROM laid),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY entity_value, start_s ORDER BY stretch, across) AS packet_no FROM cut)
+SELECT entity_value AS subject, start_s, packet_no, coalesce(string_agg(text, ',' ORDER BY place) FILTER (WHERE part = 0), '') AS alerts,
+       coalesce(string_agg(text, ',' ORDER BY place) FILTER (WHERE part = 1), '') AS lines, false AS oversize, true AS fits FROM numbered GROUP BY 1, 2, 3"""
+)
+
+
+@query("packet_parts", _PARTS_SQL)
+def q_packet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, alerts, timeline = _cases(spark, sf_dir)
+    parts, _, _ = packet_parts(cases, alerts, timeline, 1100, room=600)
+    return parts.join(cases.select("incident_id", "subject", "window_start"), "incident_id").select(
+        "subject",
+        F.unix_seconds("window_start").alias("start_s"),
+        "packet_no",
+        F.array_join("alerts", ",").alias("alerts"),
+        F.array_join("lines", ",").alias("lines"),
+        "oversize",
+        (F.octet_length("packet_json") <= 1100).alias("fits"),
+    )
+
+
 @query(
     "case_reports",
     CQ._PROPOSALS_SQL

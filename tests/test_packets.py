@@ -1,12 +1,13 @@
 import json
+import random
 from datetime import UTC, datetime, timedelta
 
-from netquarry.operators.packets import PacketLimits, evidence_packets
+from netquarry.operators.packets import PacketLimits, evidence_packets, packet_parts
 
 T0 = datetime(2026, 9, 1, tzinfo=UTC)
 
 
-def build(spark, evidences, lines=(), subject="10.0.0.1", limits=PacketLimits(), entities=None):
+def frames(spark, evidences, lines=(), subject="10.0.0.1", entities=None):
     cases = spark.createDataFrame(
         [("i", "CASE-2026-0001", 4, "new", 2, T0, T0 + timedelta(hours=1), subject)],
         "incident_id string, case_number string, severity int, status string, distinct_rule_count int,"
@@ -19,7 +20,11 @@ def build(spark, evidences, lines=(), subject="10.0.0.1", limits=PacketLimits(),
     timeline = spark.createDataFrame(
         [("i", T0 + timedelta(seconds=n), f"e{n:04d}", x) for n, x in enumerate(lines)],
         "incident_id string, occurred_at timestamp, entry_id string, summary string")
-    packets, mapping = evidence_packets(cases, alerts, timeline, limits)
+    return cases, alerts, timeline
+
+
+def build(spark, evidences, lines=(), subject="10.0.0.1", limits=PacketLimits(), entities=None):
+    packets, mapping = evidence_packets(*frames(spark, evidences, lines, subject, entities), limits)
     row = packets.first()
     return json.loads(row.packet_json), row, {r.token: r.value for r in mapping.collect()}
 
@@ -65,3 +70,30 @@ def test_limits(spark):
     doc, row, _ = build(spark, [{"flows": n} for n in range(5)], limits=small)
     assert len(doc["alerts"]) == 4 and row.truncated and row.dropped == [f"alerts[4]: packet would pass {small.max_bytes} bytes"]
     assert len(row.packet_json) <= small.max_bytes
+
+
+def test_parts_hold_all_of_a_case_within_the_budget(spark):
+    rng = random.Random(3)
+    evidences = [{"flows": n, "sample_dest_hosts": [f"203.0.113.{rng.randrange(200)}" for _ in range(rng.randrange(9))]}
+                 for n in range(120)]
+    evidences[40] = {"sample_dest_ports": list(range(900))}  # passes the budget alone
+    evidences[41] = {"odd": 1}
+    lines = [f"line {n} é 10.0.0.1 {'x ' * rng.randrange(40)}" for n in range(90)] + ["pass=hunter22", ""]
+    whole, row, names = build(spark, evidences, lines)
+    parts, withheld, mapping = packet_parts(*frames(spark, evidences, lines), 1500)
+    got = sorted(parts.collect(), key=lambda r: r.packet_no)
+    assert [r.packet_no for r in got] == list(range(1, len(got) + 1)) and len(got) > 20
+    docs = [json.loads(r.packet_json) for r in got]
+    assert [a for d in docs for a in d["alerts"]] == whole["alerts"] and len(whole["alerts"]) == 120
+    assert [x for d in docs for x in d["timeline"]] == whole["timeline"] and len(whole["timeline"]) == 90
+    for r, d in zip(got, docs):
+        size = len(r.packet_json.encode())
+        assert r.oversize == (size > 1500) and (not r.oversize or len(d["alerts"]) == 1)
+        assert json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.packet_json
+        rest = {k: v for k, v in d.items() if k not in ("alerts", "timeline", "packet_no")}
+        assert rest == {k: v for k, v in whole.items() if k not in ("alerts", "timeline")} and d["packet_no"] == r.packet_no
+    assert sum(r.oversize for r in got) == 1
+    assert sorted(r.what for r in withheld.collect()) == sorted(row.dropped)
+    assert {r.token: r.value for r in mapping.collect()} == names
+    empty, _, _ = packet_parts(*frames(spark, []), 1500)
+    assert [(r.packet_no, r.alerts, r.lines, r.oversize) for r in empty.collect()] == [(1, [], [], False)]
