@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.ip import cidr_struct
-from netquarry.operators.prefix import network_overlaps
+from netquarry.operators.prefix import overlap_witnesses
 from netquarry.session import materialize
 
 # fixed values
@@ -100,7 +100,7 @@ def upsert_assets(
         assets.filter("is_active").select("asset_id"), "asset_id", "left_semi"
     )
     sound = fresh_nets.join(alone.select("hostname").distinct(), "hostname", "left_anti")
-    clashes = network_overlaps(sound, active, exclude=identified.select("asset_id"))
+    clashes = overlap_witnesses(sound, active, exclude=identified.select("asset_id"))
     overlapping = (
         clashes.join(identified.select("asset_id", "hostname"), "asset_id")
         .select("hostname", F.lit("network overlap").alias("problem"))

@@ -164,3 +164,47 @@ def network_overlaps(
         F.col("_l_cidr").alias("other_cidr"),
     )
     return down.unionByName(up).filter("asset_id <> other_asset_id").distinct()
+
+
+def overlap_witnesses(
+    candidates: DataFrame, existing: DataFrame, exclude: DataFrame | None = None
+) -> DataFrame:
+    """``(asset_id, cidr, other_asset_id, other_cidr)``: every candidate network that overlaps a
+    network of another asset, with one such network. The same rule as :func:`network_overlaps`
+    without its pairs: networks under one prefix are first reduced to those of the smallest and
+    the largest asset, of which one is another asset's if any is, so the work grows with the
+    networks and the mask lengths in use."""
+    if exclude is not None:
+        existing = existing.join(exclude.select("asset_id").distinct(), "asset_id", "left_anti")
+    mine = network_keys(candidates.select("asset_id", "cidr").distinct())
+    other = network_keys(existing.select("asset_id", "cidr").distinct()).unionByName(mine)
+
+    def reduced(keyed: DataFrame) -> DataFrame:
+        net = F.struct(F.col("asset_id").alias("a"), F.col("cidr").alias("c"))
+        return keyed.groupBy(*_TRIPLE).agg(F.min(net).alias("_low"), F.max(net).alias("_high"))
+
+    def above(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+        """Each network once per mask length of ``shorter`` up to its own."""
+        width = F.when(F.col("ip_version") == 4, 8).otherwise(32)
+        hexed = longer.withColumn("_hex", F.rpad("net_key", width, "0"))
+        return _probes(
+            hexed.withColumnRenamed("masklen", "_own_len").drop("net_key", "ip_version"),
+            "_hex",
+            mask_lengths(shorter),
+            "cidr",
+        ).filter(F.col("masklen") <= F.col("_own_len"))
+
+    wider = above(mine, other).join(_salted(reduced(other)), [*_TRIPLE, "_salt"])
+    inner = mine.join(reduced(above(other, mine)), _TRIPLE)
+    witness = F.when(F.col("_low.a") != F.col("asset_id"), F.col("_low")).when(
+        F.col("_high.a") != F.col("asset_id"), F.col("_high")
+    )
+    found = wider.select("asset_id", "cidr", witness.alias("_w")).unionByName(
+        inner.select("asset_id", "cidr", witness.alias("_w"))
+    )
+    return (
+        found.groupBy("asset_id", "cidr")
+        .agg(F.min("_w").alias("_w"))
+        .filter("_w IS NOT NULL")
+        .select("asset_id", "cidr", F.col("_w.a").alias("other_asset_id"), F.col("_w.c").alias("other_cidr"))
+    )

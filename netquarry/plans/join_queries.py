@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from netquarry.functions.scoring import dedup_key, severity_score
 from netquarry.operators import baselines as B
 from netquarry.operators import reads as R
-from netquarry.operators.prefix import longest_match, memberships, network_overlaps, resolve_assets
+from netquarry.operators.prefix import (
+    longest_match,
+    memberships,
+    network_overlaps,
+    overlap_witnesses,
+    resolve_assets,
+)
 from netquarry.operators.sets import drop_known, missing_from
 from netquarry.plans import adapters as A
 from netquarry.plans.registry import query
@@ -56,23 +62,29 @@ def q_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memberships(A.flows(spark, sf_dir), "src_ip", A.networks(spark, sf_dir))
 
 
-@query(
-    "network_overlaps",
-    f"""WITH {A.NETWORKS_SQL}, c AS (
+_FRESH_SQL = f"""WITH {A.NETWORKS_SQL}, c AS (
       SELECT 'new-' || CAST(s_suppkey AS VARCHAR) AS asset_id, (s_suppkey * 37) % 4096 * 16 + {A.SITE} AS lo,
              (s_suppkey * 37) % 4096 * 16 + {A.SITE} + 7 AS hi FROM supplier),
-    o AS (SELECT asset_id, lo, hi FROM networks UNION ALL SELECT asset_id, lo, hi FROM c)
-    SELECT DISTINCT c.asset_id, {A.dotted_sql("c.lo")} || '/29' AS cidr, o.asset_id AS other_asset_id,
-           {A.dotted_sql("o.lo")} AS other_start
-    FROM c JOIN o ON c.lo <= o.hi AND o.lo <= c.hi WHERE c.asset_id <> o.asset_id""",
-)
-def q_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o AS (SELECT asset_id, lo, hi FROM networks UNION ALL SELECT asset_id, lo, hi FROM c)"""
+
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    fresh = A.table(spark, sf_dir, "supplier").select(
+    return A.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("new-"), key.cast("string")).alias("asset_id"),
         F.concat(A.dotted((key * 37) % 4096 * 16 + A.SITE), F.lit("/29")).alias("cidr"),
     )
-    found = network_overlaps(fresh, A.networks(spark, sf_dir))
+
+
+@query(
+    "network_overlaps",
+    _FRESH_SQL
+    + f""" SELECT DISTINCT c.asset_id, {A.dotted_sql("c.lo")} || '/29' AS cidr, o.asset_id AS other_asset_id,
+           {A.dotted_sql("o.lo")} AS other_start
+    FROM c JOIN o ON c.lo <= o.hi AND o.lo <= c.hi WHERE c.asset_id <> o.asset_id""",
+)
+def q_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = network_overlaps(_fresh(spark, sf_dir), A.networks(spark, sf_dir))
     return found.select(
         "asset_id",
         "cidr",
@@ -81,6 +93,17 @@ def q_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "overlap_witnesses",
+    _FRESH_SQL
+    + f""" SELECT DISTINCT c.asset_id, {A.dotted_sql("c.lo")} || '/29' AS cidr, true AS other
+    FROM c JOIN o ON c.lo <= o.hi AND o.lo <= c.hi WHERE c.asset_id <> o.asset_id""",
+)
+def q_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap_witnesses(_fresh(spark, sf_dir), A.networks(spark, sf_dir))
+    return found.select("asset_id", "cidr", (F.col("other_asset_id") != F.col("asset_id")).alias("other"))
+
+
 @query(
     "events_of_asset",
     f"""WITH {A.FLOWS_SQL}, {A.NETWORKS_SQL},

@@ -51,6 +51,36 @@ def test_matches_brute_force(spark):
     assert over == {(a, b) for a, n in parsed for b, m in parsed if a != b and n.overlaps(m)}
 
 
+def test_a_witness_for_every_overlap(spark):
+    rng = random.Random(8)
+
+    def some(n, name):
+        out = [(f"{name}{rng.randrange(n // 3)}", str(ipaddress.ip_network((rng.randrange(2**32), rng.randrange(6, 33)), strict=False)))
+               for _ in range(n)]
+        return out + [(f"{name}{rng.randrange(n // 3)}", f"2001:db8:{rng.randrange(4)}::/{rng.choice([33, 48, 64])}") for _ in range(6)]
+
+    mine, theirs = some(90, "a"), some(120, "b")
+    theirs += [("a1", c) for _, c in mine[:20]] + [("b0", "nonsense"), (mine[0][0], mine[0][1])]
+    gone = {"b1", "b2"}
+
+    def table(rows):
+        return spark.createDataFrame(rows, "asset_id string, cidr string")
+
+    left = [(a, ipaddress.ip_network(c, strict=False), c) for a, c in theirs if a not in gone and c != "nonsense"]
+    left += [(a, ipaddress.ip_network(c, strict=False), c) for a, c in mine]
+    want = {}
+    for a, c in mine:
+        net = ipaddress.ip_network(c, strict=False)
+        others = {(b, d) for b, m, d in left if b != a and m.version == net.version and m.overlaps(net)}
+        if others:
+            want[a, c] = others
+    excluded = table([(g, "") for g in gone])
+    rows = P.overlap_witnesses(table(mine), table(theirs), excluded).collect()
+    assert {(r.asset_id, r.cidr) for r in rows} == set(want) and len(rows) == len(want)
+    assert all((r.other_asset_id, r.other_cidr) in want[r.asset_id, r.cidr] for r in rows)
+    assert P.overlap_witnesses(table([]), table(theirs)).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 def test_no_nested_loop(spark, broadcast):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -58,7 +88,8 @@ def test_no_nested_loop(spark, broadcast):
     try:
         for df in (P.longest_match(addresses(spark, ["10.1.2.3"]), "ip", nets(spark)),
                    P.memberships(addresses(spark, ["10.1.2.3"]), "ip", nets(spark)),
-                   P.network_overlaps(nets(spark), nets(spark))):
+                   P.network_overlaps(nets(spark), nets(spark)),
+                   P.overlap_witnesses(nets(spark), nets(spark))):
             rows = df.count()
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert rows and "NestedLoop" not in plan and "Cartesian" not in plan
