@@ -455,7 +455,7 @@ _START_SQL = "[" + ", ".join(f"'{s}'" for s in _STATUSES) + "][1 + o_custkey % 7
 _REASON_SQL = "CASE WHEN request_id % 7 > 0 THEN 'reason ' || (request_id % 7) END"
 
 
-def _requests(orders: DataFrame) -> DataFrame:
+def requests(orders: DataFrame) -> DataFrame:
     moves = F.array(*[F.lit(m) for m in _MOVES])
     number = F.col("o_orderkey") % 7
     return orders.select(
@@ -471,26 +471,34 @@ def _requests(orders: DataFrame) -> DataFrame:
 def q_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = A.table(spark, sf_dir, "orders")
     cases = orders.select(F.col("o_custkey").alias("incident_id")).distinct().withColumn("status", F.lit("new"))
-    outcomes, _ = C.replay_workflow(cases, _requests(orders))
+    outcomes, _ = C.replay_workflow(cases, requests(orders))
     return outcomes.select("request_id", "from_status", "outcome")
 
 
-@query(
-    "workflow_final",
-    _WALK_SQL.replace("'new' AS was, 'new' AS status", f"{_START_SQL} AS was, {_START_SQL} AS status").replace(
-        "SELECT DISTINCT o_custkey AS c FROM", "SELECT DISTINCT o_custkey AS c, o_custkey FROM"
-    )
-    + f""", f AS (SELECT c, max_by(status, k) AS status, max_by(request_id, k) FILTER (WHERE outcome = 'moved') AS request_id FROM s GROUP BY 1)
+def started_cases(orders: DataFrame) -> DataFrame:
+    """The cases of the requests, each with a status of its own."""
+    statuses = F.array(*[F.lit(s) for s in _STATUSES])
+    first = F.element_at(statuses, (F.lit(1) + F.col("incident_id") % 7).cast("int")).alias("status")
+    return orders.select(F.col("o_custkey").alias("incident_id")).distinct().select("incident_id", first)
+
+
+def moved_sql() -> str:
+    """How the requests leave those cases."""
+    walk = _WALK_SQL.replace("'new' AS was, 'new' AS status", f"{_START_SQL} AS was, {_START_SQL} AS status")
+    walk = walk.replace("SELECT DISTINCT o_custkey AS c FROM", "SELECT DISTINCT o_custkey AS c, o_custkey FROM")
+    return (
+        walk
+        + f""", f AS (SELECT c, max_by(status, k) AS status, max_by(request_id, k) FILTER (WHERE outcome = 'moved') AS request_id FROM s GROUP BY 1)
     SELECT c AS incident_id, status, CASE WHEN status LIKE 'closed%' THEN epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 END AS closed_s,
            CASE WHEN status LIKE 'closed%' THEN {_REASON_SQL} END AS closure_reason
-    FROM f LEFT JOIN orders ON o_orderkey = request_id""",
-)
+    FROM f LEFT JOIN orders ON o_orderkey = request_id"""
+    )
+
+
+@query("workflow_final", moved_sql())
 def q_workflow_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = A.table(spark, sf_dir, "orders")
-    statuses = F.array(*[F.lit(s) for s in _STATUSES])
-    first = F.element_at(statuses, (F.lit(1) + F.col("incident_id") % 7).cast("int")).alias("status")
-    cases = orders.select(F.col("o_custkey").alias("incident_id")).distinct().select("incident_id", first)
-    _, final = C.replay_workflow(cases, _requests(orders))
+    _, final = C.replay_workflow(started_cases(orders), requests(orders))
     return final.select("incident_id", "status", F.unix_seconds("closed_at").alias("closed_s"), "closure_reason")
 
 

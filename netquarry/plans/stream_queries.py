@@ -153,23 +153,48 @@ def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CQ.requests(_stream(spark, sf_dir, "orders")).withColumn(
+        "incident_id", F.col("incident_id").cast("string")
+    )
+
+
+_LAST_REQUEST = {"incident_id": "end", "requested_at": FAR, "request_id": -1, "to_status": "new"}
+
+
 @query(
     "stream_workflow",
     CQ._WORKFLOW_SQL,
 )
 def q_stream_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = F.array(*[F.lit(m) for m in CQ._MOVES])
-    requests = _stream(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("incident_id"),
-        F.col("o_orderdate").cast("timestamp").alias("requested_at"),
-        F.col("o_orderkey").alias("request_id"),
-        F.element_at(moves, (F.lit(1) + F.col("o_orderkey") % 5).cast("int")).alias("to_status"),
-    )
-    closing = {"incident_id": "end", "requested_at": FAR, "request_id": -1, "to_status": "new"}
-    out = _run(spark, requests, SC.stream_workflow, closing, rocks=True)
+    out = _run(spark, _requests(spark, sf_dir), SC.stream_workflow, _LAST_REQUEST, rocks=True)
     return out.select("request_id", "from_status", "outcome")
 
 
+@query("stream_workflow_final", CQ.moved_sql())
+def q_stream_workflow_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with a status of their own, and how the last request leaves them."""
+    cases = CQ.started_cases(A.table(spark, sf_dir, "orders")).withColumn(
+        "incident_id", F.col("incident_id").cast("string")
+    )
+    out = _run(
+        spark,
+        _requests(spark, sf_dir),
+        lambda rows: SC.stream_workflow(rows, cases=cases),
+        _LAST_REQUEST,
+        rocks=True,
+    )
+    last = out.groupBy("incident_id").agg(
+        F.max_by(F.struct("status", "closed_us", "closure_reason"), F.struct("us", "request_id")).alias("l")
+    )
+    return last.select(
+        F.col("incident_id").cast("bigint").alias("incident_id"),
+        "l.status",
+        F.floor(F.col("l.closed_us") / 1_000_000).alias("closed_s"),
+        "l.closure_reason",
+    )
+
+
 @query(
     "stream_capped_sessions",
     CQ._CAPPED_SQL

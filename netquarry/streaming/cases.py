@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netquarry.operators.cases import apply_move
+from netquarry.operators.cases import apply_move, clean_reason
+from netquarry.schemas import CLOSED_STATUSES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,8 +49,9 @@ def stream_sessions(
 
 
 class _Ordered(StatefulProcessor):
-    """Applies ``step`` to a key's rows in event order. Rows wait in the state until the
-    watermark has passed them, then leave it; what stays per key is one small value."""
+    """Applies ``step`` to a key's rows in event order. Rows wait in a map by millisecond until the
+    watermark has passed it; its one timer then takes just those rows out, whatever else waits.
+    Timers come in the order of their time. What stays per key is one small value."""
 
     buffer_schema: str
     value_schema: str
@@ -58,28 +60,29 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.buffer_schema)
+        self.waiting = handle.getMapState(
+            "waiting", "ms long", f"items array<struct<{self.buffer_schema}>>"
+        )
         self.value = handle.getValueState("value", self.value_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, list[tuple]] = {}
         for pdf in rows:
             for row in pdf[list(self.columns)].itertuples(index=False):
                 item = tuple(None if pd.isna(x) else x for x in row)
-                self.waiting.appendValue(item)
-                self.handle.registerTimer(int(item[self.time_index] // 1000) + 1)
+                fresh.setdefault(int(item[self.time_index]) // 1000, []).append(item)
+        for ms, items in fresh.items():
+            if self.waiting.containsKey((ms,)):
+                items = [tuple(x) for x in self.waiting.getValue((ms,))[0]] + items
+            else:
+                self.handle.registerTimer(ms + 1)
+            self.waiting.updateValue((ms,), (items,))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for item in self.waiting.get():
-            (ready if item[self.time_index] // 1000 < mark else later).append(tuple(item))
-        if not ready:
-            return
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        ready = [tuple(x) for x in self.waiting.getValue((ms,))[0]]
+        self.waiting.removeKey((ms,))
         state = self.value.get() if self.value.exists() else None
         out = []
         for item in sorted(ready, key=lambda r: tuple((x is not None, x) for x in r)):
@@ -98,37 +101,56 @@ class _Ordered(StatefulProcessor):
 
 
 class _Workflow(_Ordered):
-    buffer_schema = "us long, request_id long, to_status string"
-    value_schema = "status string"
-    columns = ("us", "request_id", "to_status")
+    buffer_schema = "us: long, request_id: long, to_status: string, reason: string"
+    value_schema = "status string, closed_us long, closure_reason string"
+    columns = ("us", "request_id", "to_status", "reason")
     time_index = 0
-    output = ["incident_id", "us", "request_id", "from_status", "to_status", "outcome"]
+    output = [
+        "incident_id", "us", "request_id", "from_status", "to_status", "outcome", "status",
+        "closed_us", "closure_reason",
+    ]
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.value.update((str(initialState["status"].iloc[0]), None, None))
 
     def step(self, key: Any, state: Any, item: tuple) -> tuple[tuple, tuple]:
-        status = state[0] if state is not None else "new"
-        us, request, target = item
+        status, closed, why = state if state is not None else ("new", None, None)
+        us, request, target, reason = item
         verdict = apply_move(status, target)
-        after = target if verdict == "moved" else status
-        return (after,), (key[0], us, request, status, target, verdict)
+        before = status
+        if verdict == "moved":
+            shut = target in CLOSED_STATUSES
+            status, closed, why = target, us if shut else None, reason if shut else None
+        after = (status, closed, why)
+        return after, (key[0], us, request, before, target, verdict, *after)
 
 
-def stream_workflow(transitions: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Status requests applied per case in time order as they arrive; every case begins as
-    ``new``. Needs the RocksDB state store (:data:`ROCKSDB`)."""
-    rows = transitions.withWatermark("requested_at", delay).withColumn(
-        "us", F.unix_micros("requested_at")
+def stream_workflow(
+    transitions: DataFrame, delay: str = "10 minutes", cases: DataFrame | None = None
+) -> DataFrame:
+    """Status requests applied per case in time order as they arrive, each with the case as it
+    leaves it: ``status``, and while closed ``closed_us`` and ``closure_reason`` (from a ``reason``
+    column, where there is one). A case begins with its status in ``cases`` (a table of
+    ``incident_id``, ``status``) or else as ``new``. Needs the RocksDB state store
+    (:data:`ROCKSDB`)."""
+    given = F.col("reason") if "reason" in transitions.columns else F.lit(None).cast("string")
+    rows = (
+        transitions.withWatermark("requested_at", delay)
+        .withColumn("us", F.unix_micros("requested_at"))
+        .withColumn("reason", clean_reason(given))
     )
     return rows.groupBy("incident_id").transformWithStateInPandas(
         statefulProcessor=_Workflow(),
         outputStructType="incident_id string, us long, request_id long, from_status string,"
-        " to_status string, outcome string",
+        " to_status string, outcome string, status string, closed_us long, closure_reason string",
         outputMode="Append",
         timeMode="EventTime",
+        initialState=None if cases is None else cases.select("incident_id", "status").groupBy("incident_id"),
     )
 
 
 class _Sessions(_Ordered):
-    buffer_schema = "us long, end_us long, alert_id string"
+    buffer_schema = "us: long, end_us: long, alert_id: string"
     value_schema = "start_us long, end_us long, n long, part long"
     columns = ("us", "end_us", "alert_id")
     time_index = 0
