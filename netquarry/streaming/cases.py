@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,48 +49,96 @@ def stream_sessions(
     )
 
 
+CHUNK = 1024
+
+
+def _place(item: tuple) -> tuple:
+    return tuple((x is not None, x) for x in item)
+
+
 class _Ordered(StatefulProcessor):
-    """Applies ``step`` to a key's rows in event order. Rows wait in a map by millisecond until the
-    watermark has passed it; its one timer then takes just those rows out, whatever else waits.
-    Timers come in the order of their time. What stays per key is one small value."""
+    """Applies ``step`` to a key's rows in event order; the first of ``columns`` is the time. Rows wait
+    in sorted chunks under the millisecond of their first row. A key has one timer, at its earliest row;
+    it takes out all that the watermark has passed, chunk by chunk, and does not read chunks that
+    begin later. What stays per key is one small value."""
 
     buffer_schema: str
     value_schema: str
     columns: tuple[str, ...]
-    time_index: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState(
-            "waiting", "ms long", f"items array<struct<{self.buffer_schema}>>"
+            "waiting", "ms long, number long", f"items array<struct<{self.buffer_schema}>>"
         )
-        self.value = handle.getValueState("value", self.value_schema)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, list[tuple]] = {}
-        for pdf in rows:
-            for row in pdf[list(self.columns)].itertuples(index=False):
-                item = tuple(None if pd.isna(x) else x for x in row)
-                fresh.setdefault(int(item[self.time_index]) // 1000, []).append(item)
-        for ms, items in fresh.items():
-            if self.waiting.containsKey((ms,)):
-                items = [tuple(x) for x in self.waiting.getValue((ms,))[0]] + items
-            else:
-                self.handle.registerTimer(ms + 1)
-            self.waiting.updateValue((ms,), (items,))
+        self.value = handle.getValueState("value", f"{self.value_schema}, first_ms long, number long")
+
+    def _read(self) -> tuple[tuple | None, int | None, int]:
+        """The value, the earliest waiting millisecond, the last chunk's number: one read, since
+        each call to the state costs more than a row."""
+        held = self.value.get()
+        if held is None:
+            return None, None, 0
+        *state, first, number = held
+        return (None if state[0] is None else tuple(state)), first, number or 0
+
+    def _write(self, state: tuple | None, first: int | None, number: int) -> None:
+        empty = (None,) * len(self.value_schema.split(","))
+        self.value.update((*(empty if state is None else state), first, number))
+
+    def _keep(self, items: list[tuple], number: int) -> tuple[int | None, int]:
+        """Store sorted rows; the first millisecond among them and the last chunk's number."""
+        for at in range(0, len(items), CHUNK):
+            number += 1
+            chunk = items[at : at + CHUNK]
+            self.waiting.updateValue((int(chunk[0][0]) // 1000, number), (chunk,))
+        return (int(items[0][0]) // 1000 if items else None), number
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        state, due, number = self._read()
+        first = due
+        # a key's rows may be many
+        while batch := list(islice(rows, 8 * CHUNK)):
+            items = sorted((tuple(row[c] for c in self.columns) for row in batch), key=_place)
+            ms, number = self._keep(items, number)
+            first = min((x for x in (first, ms) if x is not None), default=None)
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due + 1)
+            self.handle.registerTimer(first + 1)
+        self._write(state, first, number)
         yield from ()
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        ready = [tuple(x) for x in self.waiting.getValue((ms,))[0]]
-        self.waiting.removeKey((ms,))
-        state = self.value.get() if self.value.exists() else None
-        out = []
-        for item in sorted(ready, key=lambda r: tuple((x is not None, x) for x in r)):
-            state, produced = self.step(key, state, item)
-            out.append(produced)
-        self.value.update(state)
-        yield pd.DataFrame(out, columns=self.output)
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        state, _, number = self._read()
+        later = None
+        due = []
+        for ms, chunk in self.waiting.keys():
+            if ms < mark:
+                due.append((ms, chunk))
+            else:
+                later = ms if later is None else min(later, ms)
+        due.sort(reverse=True)
+        ready: list[tuple[tuple, tuple]] = []
+        left: list[tuple] = []
+        while due or ready:
+            # every chunk that may hold the next row
+            while due and (not ready or due[-1][0] <= ready[0][1][0] // 1000):
+                chunk = due.pop()
+                for item in map(tuple, self.waiting.getValue(chunk)[0]):
+                    if item[0] // 1000 < mark:
+                        heapq.heappush(ready, (_place(item), item))
+                    else:
+                        left.append(item)
+                self.waiting.removeKey(chunk)
+            state, produced = self.step(key, state, heapq.heappop(ready)[1])
+            yield Row(**dict(zip(self.output, produced, strict=True)))
+        ms, number = self._keep(sorted(left, key=_place), number)
+        first = min((x for x in (ms, later) if x is not None), default=None)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        self._write(state, first, number)
 
     output: list[str]
 
@@ -104,14 +153,13 @@ class _Workflow(_Ordered):
     buffer_schema = "us: long, request_id: long, to_status: string, reason: string"
     value_schema = "status string, closed_us long, closure_reason string"
     columns = ("us", "request_id", "to_status", "reason")
-    time_index = 0
     output = [
         "incident_id", "us", "request_id", "from_status", "to_status", "outcome", "status",
         "closed_us", "closure_reason",
     ]
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self.value.update((str(initialState["status"].iloc[0]), None, None))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self._write((str(initialState["status"]), None, None), None, 0)
 
     def step(self, key: Any, state: Any, item: tuple) -> tuple[tuple, tuple]:
         status, closed, why = state if state is not None else ("new", None, None)
@@ -139,7 +187,7 @@ def stream_workflow(
         .withColumn("us", F.unix_micros("requested_at"))
         .withColumn("reason", clean_reason(given))
     )
-    return rows.groupBy("incident_id").transformWithStateInPandas(
+    return rows.groupBy("incident_id").transformWithState(
         statefulProcessor=_Workflow(),
         outputStructType="incident_id string, us long, request_id long, from_status string,"
         " to_status string, outcome string, status string, closed_us long, closure_reason string",
@@ -153,7 +201,6 @@ class _Sessions(_Ordered):
     buffer_schema = "us: long, end_us: long, alert_id: string"
     value_schema = "start_us long, end_us long, n long, part long"
     columns = ("us", "end_us", "alert_id")
-    time_index = 0
     output = ["correlation_key", "alert_id", "part"]
 
     def __init__(self, gap_us: int, span_us: int, cap: int) -> None:
@@ -187,7 +234,7 @@ def stream_capped_sessions(
         F.unix_micros("last_seen").alias("end_us"),
         F.col("alert_id").cast("string").alias("alert_id"),
     )
-    return rows.groupBy("correlation_key").transformWithStateInPandas(
+    return rows.groupBy("correlation_key").transformWithState(
         statefulProcessor=_Sessions(gap_seconds * 1_000_000, max_span_seconds * 1_000_000, max_n),
         outputStructType="correlation_key string, alert_id string, part long",
         outputMode="Append",

@@ -4,6 +4,7 @@ import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from netquarry.operators.rules import RULES
@@ -147,3 +148,90 @@ def test_capped_sessions(spark, tmp_path, rocks):
     drain(SC.stream_capped_sessions(rows, max_n=3), tmp_path, "capped")
     got = {r.alert_id: r.part for r in spark.table("capped").collect()}
     assert {k: got[k] for k in ("a1", "a2", "a3", "a4")} == {"a1": 1, "a2": 1, "a3": 1, "a4": 2}
+
+
+class _Calls:
+    """State of one key, counting what is asked of it."""
+
+    def __init__(self):
+        self.timers, self.chunks, self.value, self.calls = set(), {}, None, 0
+
+    def getMapState(self, *_):
+        held = self
+
+        class Map:
+            def updateValue(self, key, value):
+                held.calls += 1
+                held.chunks[key] = value
+
+            def getValue(self, key):
+                held.calls += 1
+                return held.chunks[key]
+
+            def removeKey(self, key):
+                held.calls += 1
+                del held.chunks[key]
+
+            def containsKey(self, key):
+                held.calls += 1
+                return key in held.chunks
+
+            def keys(self):
+                held.calls += 1
+                return iter(list(held.chunks))
+
+        return Map()
+
+    def getValueState(self, *_):
+        held = self
+
+        class Value:
+            def exists(self):
+                held.calls += 1
+                return held.value is not None
+
+            def get(self):
+                held.calls += 1
+                return held.value
+
+            def update(self, value):
+                held.calls += 1
+                held.value = value
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_ordered_state_takes_few_calls_and_keeps_event_order():
+    """5,000 requests of one case at as many times arrive out of order in three batches."""
+    handle, machine = _Calls(), SC._Workflow()
+    machine.init(handle)
+    order = [(i * 2003) % 5000 for i in range(5000)]
+    rows = [Row(us=i * 1_000_000, request_id=i, to_status="triaging", reason=None) for i in order]
+    got = []
+    for at, mark in ((0, 0), (2000, 0), (4000, 2_500_500)):
+        list(machine.handleInputRows(("a",), iter(rows[at : at + 2000]), _Mark(mark)))
+        assert len(handle.timers) == 1
+    for mark in (2_500_500, 9_000_000):
+        (timer,) = handle.timers
+        assert timer < mark
+        handle.timers.clear()
+        got.append([r["request_id"] for r in machine.handleExpiredTimer(("a",), _Mark(mark), None)])
+    assert got[0] + got[1] == list(range(5000)) and len(got[0]) == 2501
+    assert not handle.timers and not handle.chunks
+    assert handle.calls < 100
