@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from netquarry.operators.evaluation import label_by_interval
-from netquarry.operators.pieces import densest_span, interval_stats, numbered
+from netquarry.operators.pieces import densest_span, interval_stats, numbered, sample_contributors
 from netquarry.operators.rules import RULES, AuthBurstParams, DnsParams, PortScanParams, run_rules
 from netquarry.plans import adapters
 
@@ -86,3 +86,19 @@ def test_shared_scan_equals_rules_alone(spark, sf):
         assert got == text(alone), rule.rule_id
     assert together["D-001"].count() > 0 and together["D-002"].count() > 0 and together["D-003"].count() > 0
     events.unpersist()
+
+
+def test_samples_with_a_peak_shuffle_their_rows_once(spark, capsys):
+    """The peak, earliest of equals, is a sample of its own, and finding it moves no row again."""
+    rows = spark.createDataFrame(
+        [("a", i * 40_000_000, f"{i:03}", 9 if i in (30, 70) else 1) for i in range(100)]
+        + [("b", 0, "x", None), ("b", None, "y", 5), (None, 0, "z", 1)],
+        "who string, us long, id string, w long",
+    )
+    out = sample_contributors(rows, ["who"], "us", "id", 300, 5, "w")
+    got = {r.who: [(s.event_id, s.role) for s in r.samples] for r in out.collect()}
+    assert got["a"] == [("000", "first"), ("099", "last"), ("030", "peak"), ("001", "sample"), ("050", "sample")]
+    assert set(got) == {"a", "b"} and [x for x, _ in got["b"]] == ["x"]
+    out.explain("simple")
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
