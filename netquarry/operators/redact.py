@@ -15,7 +15,7 @@ from netquarry.functions.secrets import (
     secret_names,
 )
 from netquarry.operators.pieces import numbered
-from netquarry.session import materialize
+from netquarry.session import stored
 
 # fixed value: the label of a case's subject
 SUBJECT_LABEL = "asset-A"
@@ -62,24 +62,37 @@ def pseudonymize(
     stable within a case; ``mapping`` is ``(case, token, value)``, to be kept apart.
 
     Tokens travel by name, not as one map per case: a text gets the tokens of its own names, and
-    the case may have any number of them."""
-    keep = [case, *order] + ([subject] if subject else [])
+    the case may have any number of them. Texts of a case with the same names in the same order
+    share one map, so each such list is handled once, with the first place it has."""
+    owner = [case] + ([subject] if subject else [])
     # a name repeated in one text keeps its first place
     names = F.array_distinct(names_in_text(F.col(column)))
+    named = [*owner, "_names"]
+    list_key = F.struct(F.xxhash64(*named), F.xxhash64(F.lit(case), *named))
+    # texts without a name have no map; their keys only spread them over the tasks
     row_key = F.struct(F.xxhash64(*df.columns), F.xxhash64(F.lit(case), *df.columns))
-    found = materialize(
-        df.select(*keep, row_key.alias("_row"), F.posexplode(names).alias("_pos", "_value"))
+    some = F.size("_names") > 0
+    listed = df.select(*owner, F.struct(*order).alias("_order"), names.alias("_names"))
+    lists = stored(
+        listed.withColumn("_row", list_key)
+        .groupBy("_row", *owner)
+        .agg(F.min("_order").alias("_order"), F.first("_names").alias("_names")),
+        "name-lists",
+    )
+    places = lists.select(*owner, "_order", F.posexplode("_names").alias("_pos", "_value"))
+    tokens = stored(
+        token_numbers(places, case, "_value", ["_order", "_pos"], subject), "tokens"
     )
-    tokens = materialize(token_numbers(found, case, "_value", [*order, "_pos"], subject))
-    # equal rows have equal names, so their map is the same
     maps = (
-        found.select("_row", case, "_value")
-        .distinct()
+        lists.select("_row", case, F.explode("_names").alias("_value"))
         .join(tokens, [case, "_value"])
         .groupBy("_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("_value", "token"))).alias("_map"))
     )
-    joined = df.withColumn("_row", row_key).join(maps, "_row", "left")
+    keyed = df.withColumn("_names", names).withColumn(
+        "_row", F.when(some, list_key).otherwise(row_key)
+    )
+    joined = keyed.drop("_names").join(maps, "_row", "left")
     scrubbed = joined.withColumn(
         column,
         F.when(F.col("_map").isNull(), F.col(column)).otherwise(

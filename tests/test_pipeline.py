@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+from collections import Counter
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from netquarry.operators.redact import pseudonymize
 from netquarry.operators.retention import prune_days
 from netquarry.operators.rules import RULES, Rule
 from netquarry.operators.sweep import sweep
+from netquarry.session import checkpoint_dir
 from netquarry.sources.datasets import verify_datasets
 from netquarry.sources.ingest import Provenance, append_events, ingest
 from tests.cases import MIB, START, Case
@@ -103,6 +106,23 @@ def test_every_name_gets_a_token(spark):
     assert words[:2] == ["ext-1", "ext-2"] and words[199:] == [f"ext-{n}" for n in range(200, 206)] and mapping.count() == 205
 
 
+def test_lines_with_equal_names_are_stored_once(spark):
+    rows = [(i % 2, i, f"10.0.0.{i % 2} to 8.8.8.8 and 10.0.0.{i % 2}, {i}") for i in range(400)]
+    rows += [(0, 400, None), (0, 401, "no name"), (None, 402, "of 8.8.4.4"), (1, -1, "8.8.4.4"), (1, -1, "8.8.4.4")]
+    folder = Path(checkpoint_dir(spark)) / "stored"
+    before = set(folder.glob("*"))
+    out, mapping = pseudonymize(spark.createDataFrame(rows, "case int, n int, text string"), "case", "text", ["n"])
+    got = Counter((r.case, r.n, r.text) for r in out.collect())
+    want = Counter((c, n, f"int-1 to ext-{c + 1} and int-1, {n}") for c, n, _ in rows[:400])
+    assert got == want + Counter(rows[400:403]) + Counter({(1, -1, "ext-1"): 2})
+    assert {tuple(r) for r in mapping.collect()} >= {(0, "int-1", "10.0.0.0"), (0, "ext-1", "8.8.8.8"), (1, "ext-1", "8.8.4.4"), (1, "ext-2", "8.8.8.8")}
+    kept = [spark.read.parquet(str(f)) for f in set(folder.glob("*")) - before]
+    lists = [f for f in kept if "_names" in f.columns]
+    # each list of names of a case once, with the lists that are empty; nothing larger is stored
+    assert len(lists) == 1 and lists[0].filter("size(_names) > 0").count() == 4
+    assert max(f.count() for f in kept) <= 7
+
+
 def test_publication(spark):
     deep = "1"
     for _ in range(26):
