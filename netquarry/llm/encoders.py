@@ -2,9 +2,10 @@
 
 A text is cut into units at places where no token can reach across: where white space follows
 something else. A unit is encoded once per worker and kept in a bounded cache; a text is then a
-walk over its units. Units of plain Latin text are merged by tiktoken over the vocabulary's own
-ranks, all others (and those that hold a special token) by the tokenizers library itself, whose
-ids are the definition; the tests hold the two against each other.
+walk over its units. Pieces of words that mark their ends are kept in the same way. Units of plain
+Latin text are merged by tiktoken over the vocabulary's own ranks, all others (and those that hold
+a special token) by the tokenizers library itself, whose ids are the definition; the tests hold the
+two against each other.
 
 Ids are kept as little-endian ``uint16`` bytes: both vocabularies have fewer than 65,536 entries.
 """
@@ -15,6 +16,7 @@ import base64
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -26,6 +28,8 @@ WORD = re.compile(f"[^{WHITE_SPACE}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Latin letters, digits and signs, for which both libraries know the same character classes.
 PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
+#: The usual cut of a word into pieces; under it a word of letters alone is one piece.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
 
@@ -42,7 +46,7 @@ def resolve(name: str) -> str:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u2").tobytes()
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
 class Memo(dict):
@@ -74,12 +78,13 @@ class Reference:
         self.special = tuple(
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
         )
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def has_special(self, text: str) -> bool:
-        return any(token in text for token in self.special)
+        return self.specials.search(text) is not None
 
 
 class ByteLevel(Reference):
@@ -164,6 +169,7 @@ class WordEnd(Reference):
         self.ordered = all(vocabulary[p] == first + i for i, p in enumerate(pairs))
         split = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
+        self.uncut = self.ordered and split == SPLIT and not any(map(str.isalpha, self.special))
         symbols, ranks = byte_symbols(), {}
         for token, rank in vocabulary.items():
             if token in self.special:
@@ -174,15 +180,18 @@ class WordEnd(Reference):
         self.merger = tiktoken.Encoding(
             "word ends", pat_str=".+", mergeable_ranks=ranks, special_tokens={}
         )
-        self.words = Memo(self._word)
+        self.words, self.parts = Memo(self._word), Memo(self._part)
+
+    def _part(self, piece: str) -> bytes:
+        return packed(self.merger._encode_single_piece(piece.encode() + self.END))
 
     def _word(self, word: str) -> bytes:
+        if self.uncut and word.isalpha() and (word.isascii() or PLAIN.fullmatch(word)):
+            return self.parts[word.lower()]
         if not self.ordered or not PLAIN.fullmatch(word) or self.has_special(word):
             return packed(self.ids(word))
-        ids: list[int] = []
-        for piece in self.pieces.findall(word.lower()):
-            ids += self.merger._encode_single_piece(piece.encode() + self.END)
-        return packed(ids)
+        # new words are often made of known pieces: digits, signs, a word before a full stop
+        return b"".join(map(self.parts.__getitem__, self.pieces.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
         words = WORD.findall(text) if SEPARATORS.search(text) else text.split()

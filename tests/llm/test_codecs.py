@@ -46,6 +46,16 @@ def test_encoders_match_the_library(kind, name):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.ids(text), text
 
 
+def test_known_pieces_are_merged_once():
+    encoder, seen = WordEnd(resolve("word_bpe_49k.json")), []
+    merge = encoder.merger._encode_single_piece
+    encoder.merger._encode_single_piece = lambda piece: seen.append(piece) or merge(piece)
+    text = "Straße straße. STRASSE ab1 ab2 ab12, l'été it's ŉı İx \u01c5 <|endoftext|>ab ª½ ab\u0301"
+    ids = np.frombuffer(encoder.encode(text), dtype="<u2").tolist()
+    assert ids == encoder.ids(text)
+    assert len(seen) == len(set(seen)) and b"ab\xff" in seen
+
+
 def test_chunks_move_with_their_text():
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(20000))
