@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from netquarry.operators import evaluation, rules as rules_module
 from netquarry.operators.evaluation import label_by_interval
 from netquarry.operators.pieces import densest_span, interval_stats, numbered, sample_contributors
 from netquarry.operators.rules import RULES, AuthBurstParams, DnsParams, PortScanParams, run_rules
@@ -103,3 +104,55 @@ def test_samples_with_a_peak_shuffle_their_rows_once(spark, capsys):
     plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
     moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(who" in x and "_piece" in x]
     assert len([x for x in moved if "ReusedExchange" not in x]) == 1
+
+
+def _connections(spark):
+    """A beacon among places that see one connection each, and a client with long names."""
+    rows = [(f"b{i:02}", START + timedelta(seconds=60 * i), "flow", "10.0.0.1", "9.9.9.9", 443, "tls", None) for i in range(30)]
+    rows += [(f"o{i:02}", START + timedelta(seconds=7 * i), "flow", "10.0.0.1", f"8.8.8.{i}", 80, None, None) for i in range(40)]
+    rows += [
+        (f"d{i:02}", START + timedelta(seconds=i), "dns", "10.0.0.2", "10.0.0.3", 53, None, f"{i:044d}.evil.test")
+        for i in range(60)
+    ]
+    layout = (
+        "id string, event_time timestamp, event_type string, src_ip string, dest_ip string, dest_port int,"
+        " app_proto string, dns_query string"
+    )
+    missing = {
+        "pkts_toclient": "bigint", "bytes_toserver": "bigint", "dns_rcode": "string",
+        "sig_signature": "string", "sig_category": "string", "sig_signature_id": "bigint",
+    }
+    return spark.createDataFrame(rows, layout).select("*", *[F.lit(None).cast(t).alias(c) for c, t in missing.items()])
+
+
+def test_contributors_carry_only_what_is_read(spark, monkeypatch):
+    """Rules that ask for no contributors send none, and only the fields that are looked at travel."""
+    kept, timed = {}, []
+    write, measure = rules_module.stored, rules_module.interval_stats
+
+    def storing(df, name, by=()):
+        kept[name] = write(df, name, by)
+        return kept[name]
+
+    def timing(df, *args, **more):
+        timed.append(df.select("k1").distinct().collect())
+        return measure(df, *args, **more)
+
+    monkeypatch.setattr(rules_module, "stored", storing)
+    monkeypatch.setattr(rules_module, "interval_stats", timing)
+    events = _connections(spark)
+    able = [RULES[r] for r in ("D-001", "D-003", "D-004")]
+    found, total = run_rules(events, able, detail=False, every=True)
+    assert total == 130
+    [beacon] = found["D-004"].collect()
+    assert (beacon.entity_value, beacon.event_count, beacon.evidence.app_proto) == ("10.0.0.1", 30, "tls")
+    [names] = found["D-003"].collect()
+    assert (names.entity_value, names.evidence.top_domain) == ("10.0.0.2", "evil.test")
+    assert found["D-001"].count() == 1
+    assert set(kept["contributors"].columns) == {"rule_id", "_b", "_entity", "_part", "_us", "id", "k1", "_note"}
+    assert kept["contributors"].groupBy("rule_id").count().orderBy("rule_id").collect() == [("D-003", 60), ("D-004", 30)]
+    assert kept["contributors"].filter("rule_id = 'D-004' AND k1 IS NOT NULL").count() == 0
+    # places with one connection have no intervals to measure
+    assert timed == [[("9.9.9.9:443",)]]
+    noise = {r.rule_id: (r.events, r.alerts) for r in evaluation.benign_noise(events, able).collect()}
+    assert noise == {"D-001": (130, 1), "D-003": (130, 1), "D-004": (130, 1)}
