@@ -11,7 +11,7 @@ from netquarry.operators import evaluation, rules as rules_module
 from netquarry.operators.evaluation import label_by_interval
 from netquarry.operators.pieces import densest_span, interval_stats, numbered, sample_contributors
 from netquarry.operators.rules import RULES, AuthBurstParams, DnsParams, PortScanParams, run_rules
-from netquarry.plans import adapters
+from netquarry.plans import adapters, detect_queries
 
 START = datetime(2026, 9, 1, 10)
 
@@ -156,3 +156,24 @@ def test_contributors_carry_only_what_is_read(spark, monkeypatch):
     assert timed == [[("9.9.9.9:443",)]]
     noise = {r.rule_id: (r.events, r.alerts) for r in evaluation.benign_noise(events, able).collect()}
     assert noise == {"D-001": (130, 1), "D-003": (130, 1), "D-004": (130, 1)}
+
+
+def test_metrics_run_the_rule_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1,), (3,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(i * 7200, 1, i * 7, 3, 10.0 + i, datetime(2026, 1, 1), "N", 5.0) for i in range(200)]
+    spark.createDataFrame(
+        lines,
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double,"
+        " l_shipdate timestamp, l_returnflag string, l_quantity double",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls, detect = [], detect_queries.detect_port_scan
+
+    def counting(*args, **more):
+        # the tiny table has 8 ports and 6 hosts
+        calls.append(args[1])
+        return detect(args[0], PortScanParams(distinct_ports=6, distinct_hosts=6), **more)
+
+    monkeypatch.setattr(detect_queries, "detect_port_scan", counting)
+    [got] = detect_queries.q_metrics(spark, str(tmp_path)).collect()
+    assert (got.rule_id, got.tp, got.fp, got.fn, got.tn, got.alerts_per_10k) == ("D-001", 1, 0, 0, 1, 50.0)
+    assert calls == [PortScanParams(distinct_ports=25, distinct_hosts=20)]
