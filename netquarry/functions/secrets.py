@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ SECRET_PATTERNS = (
     ("base64_blob", r"\b[A-Za-z0-9+/]{60,}={0,2}\b"),
 )
 
+# fixed values: literals of which a match must hold one, and the least characters of a match. They
+# spare texts that cannot match the pattern itself.
+_NEEDS = {
+    "email": ("@",),
+    "aws_access_key_id": ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA", "ANVA"),
+    "private_key_block": ("--",),
+    "jwt": ("eyJ",),
+    "credential_assignment": (":", "="),
+    "slack_or_github_token": ("xox", "ghp_", "gho_", "ghs_", "github_pat_"),
+    "private_key_body": ("MII",),
+}
+_SHORTEST = {"bearer_token": 22, "base64_blob": 60}
+
 # fixed value: an address or a host name inside a sentence
 NAME_IN_TEXT = (
     r"\b(?:\d{1,3}(?:\.\d{1,3}){3}"
@@ -36,11 +51,17 @@ NAME_IN_TEXT = (
 SENSITIVE_KEY = r"(?i)pass(?:word)?|secret|token|api[_-]?key|authorization|cookie|credential"
 
 
+def _possible(text: Column, name: str) -> Column:
+    if name in _SHORTEST:
+        return F.length(text) >= _SHORTEST[name]
+    return reduce(Column.__or__, [text.contains(part) for part in _NEEDS[name]])
+
+
 def _hit(text: Column, name: str, pattern: str) -> Column:
     if name != "base64_blob":
-        return text.rlike(pattern)
+        return _possible(text, name) & text.rlike(pattern)
     runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.exists(
+    return _possible(text, name) & F.exists(
         runs, lambda r: r.rlike("[a-z]") & r.rlike("[A-Z]") & r.rlike("[0-9]")
     )
 

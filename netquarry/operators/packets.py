@@ -188,6 +188,23 @@ def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: Pac
         )
         .join(cases.select("incident_id", "subject"), "incident_id")
     )
+    where = F.concat(F.lit("alerts["), F.col("_a").cast("string"), F.lit("]."))
+    withheld = F.concat(
+        F.transform(
+            F.filter("_judged", lambda e: e["why"].isNotNull()),
+            lambda e: F.concat(where, e["k"], F.lit(": "), e["why"]),
+        ),
+        F.transform("_late", lambda e: F.concat(where, e["k"], F.lit(": beyond the keys allowed"))),
+    )
+    # judged once; the names, the tokens and the texts all read this
+    kept = materialize(
+        kept.select(
+            "incident_id", "subject", "_a", "entity_value", "confidence", "event_count", "first_seen",
+            "last_seen", "rule_id", "severity",
+            F.transform("_sent", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))).alias("_sent"),
+            withheld.alias("_w"),
+        )
+    )
 
     # timeline: all lines, or those up to the last one that fits
     numbered = timeline.withColumn(
@@ -209,7 +226,11 @@ def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: Pac
             | (F.col("_n") < limits.max_timeline)
             | (F.col("_at") <= F.col("_end"))
         )
-    read = read.join(cases.select("incident_id", "subject"), "incident_id")
+    read = materialize(
+        read.join(cases.select("incident_id", "subject"), "incident_id").select(
+            "incident_id", "subject", "_at", "summary", names_in_text(F.col("summary")).alias("_names")
+        )
+    )
 
     # every value that gets a token, with its place
     def place(df: DataFrame, part: int, a: Column, b: Column, c: Column, value: Column) -> DataFrame:
@@ -236,7 +257,7 @@ def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: Pac
     )
     told = place(
         read.select(
-            "incident_id", "subject", "_at", F.posexplode(names_in_text(F.col("summary"))).alias("_i", "_s")
+            "incident_id", "subject", "_at", F.posexplode("_names").alias("_i", "_s")
         ),
         1,
         F.concat(
@@ -293,19 +314,11 @@ def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: Pac
         F.lit(',"rule_id":'), _json(F.col("rule_id")),
         F.lit(',"severity":'), F.col("severity").cast("string"), F.lit("}"),
     )
-    where = F.concat(F.lit("alerts["), F.col("_a").cast("string"), F.lit("]."))
-    withheld = F.concat(
-        F.transform(
-            F.filter("_judged", lambda e: e["why"].isNotNull()),
-            lambda e: F.concat(where, e["k"], F.lit(": "), e["why"]),
-        ),
-        F.transform("_late", lambda e: F.concat(where, e["k"], F.lit(": beyond the keys allowed"))),
-    )
     named = entity.unionByName(inside).select(
         "incident_id", F.col("_p1").cast("int").alias("_a"), "_value"
     )
     rendered = with_tokens(kept, named, "_a").select(
-        "incident_id", "_a", alert_json.alias("_j"), withheld.alias("_w")
+        "incident_id", "_a", alert_json.alias("_j"), "_w"
     )
     line = free_text(
         replace_names(
@@ -313,7 +326,7 @@ def _items(cases: DataFrame, alerts: DataFrame, timeline: DataFrame, limits: Pac
         ),
         limits.line_chars,
     )
-    mentioned = read.select("incident_id", "_at", F.explode(names_in_text(F.col("summary"))).alias("_value"))
+    mentioned = read.select("incident_id", "_at", F.explode("_names").alias("_value"))
     told_lines = with_tokens(read, mentioned, "_at").select("incident_id", "_at", line.alias("_l"))
     return _Items(rendered, told_lines, over, tokens.select("incident_id", "token", F.col("_value").alias("value")))
 

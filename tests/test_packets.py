@@ -2,6 +2,7 @@ import json
 import random
 from datetime import UTC, datetime, timedelta
 
+from netquarry.operators import packets
 from netquarry.operators.packets import PacketLimits, evidence_packets, packet_parts
 
 T0 = datetime(2026, 9, 1, tzinfo=UTC)
@@ -97,3 +98,20 @@ def test_parts_hold_all_of_a_case_within_the_budget(spark):
     assert {r.token: r.value for r in mapping.collect()} == names
     empty, _, _ = packet_parts(*frames(spark, []), 1500)
     assert [(r.packet_no, r.alerts, r.lines, r.oversize) for r in empty.collect()] == [(1, [], [], False)]
+
+
+def test_evidence_is_judged_once(spark, monkeypatch):
+    plans = []
+    real = packets.token_numbers
+
+    def spy(values, *args, **kwargs):
+        plans.append(values._jdf.queryExecution().optimizedPlan().toString())
+        return real(values, *args, **kwargs)
+
+    monkeypatch.setattr(packets, "token_numbers", spy)
+    doc, _, names = build(spark, [{"destination": "203.0.113.9", "odd": 1}], ["D-001 near 198.51.100.7"])
+    assert doc["timeline"] == ["D-001 near ext-2"] and names["ext-1"] == "203.0.113.9"
+    # the names are read from judged rows; nothing is parsed, ranked or searched again for them
+    (plan,) = plans
+    for work in ("parse_json", "Window", "regexp_extract_all", "Join"):
+        assert work not in plan
