@@ -18,15 +18,20 @@ _INVISIBLE_RANGES = (
     (0x2066, 0x2069),
     (0xFEFF, 0xFEFF),
 )
+_INVISIBLE = [chr(p) for low, high in _INVISIBLE_RANGES for p in range(low, high + 1)]
+# what a text must hold for anything of it to be rewritten: more than plain ASCII and line ends
+_ODD = r"[^\t\n\r -~]"
 
 
 def md_visible(text: Column) -> Column:
-    """Controls gone; invisible code points written out as ``<U+202E>``."""
-    out = F.regexp_replace(text, _CONTROL, "")
-    for low, high in _INVISIBLE_RANGES:
-        for point in range(low, high + 1):
-            out = F.replace(out, F.lit(chr(point)), F.lit(f"<U+{point:04X}>"))
-    return out
+    """Controls gone; invisible code points written out as ``<U+202E>``. Most texts have neither
+    and are only looked through; the code points are one loop, not a call for each in the plan."""
+    names = F.array(
+        *(F.struct(F.lit(c).alias("c"), F.lit(f"<U+{ord(c):04X}>").alias("n")) for c in _INVISIBLE)
+    )
+    bare = F.regexp_replace(text, _CONTROL, "")
+    written = F.aggregate(names, bare, lambda out, x: F.replace(out, x["c"], x["n"]))
+    return F.when(text.rlike(_ODD), written).otherwise(text)
 
 
 def _escape(visible: Column) -> Column:
@@ -38,7 +43,8 @@ def md_escape(text: Column) -> Column:
 
 
 def md_one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(md_visible(text), r"(?U)[\s\x1c-\x1f]+", " "))
+    spaced = F.regexp_replace(md_visible(text), r"(?U)[\s\x1c-\x1f]+", " ")
+    return F.trim(F.when(text.rlike(r"[^ -~]|  "), spaced).otherwise(text))
 
 
 def md_cell(text: Column) -> Column:
@@ -48,7 +54,8 @@ def md_cell(text: Column) -> Column:
 
 def _longest_ticks(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit("(`+)"), 1)
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    return F.when(text.contains("`"), longest).otherwise(F.lit(0))
 
 
 def md_code(text: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.functions import dns, ip, markdown, scoring, text, timing
+from netquarry.functions import dns, ip, markdown, scoring, secrets, text, timing
 
 
 def column(spark, values, expr, name="v", kind="string"):
@@ -250,3 +250,44 @@ def test_whole_text_unless_a_length_is_given(spark):
     assert row.title > 400 and row.short_title == 200
     assert (row.raw, row.short_raw) == (900, 256)
     assert (row["keys"], row.value, row.some_keys, row.equal_keys) == (50, 700, 32, 1)
+
+
+def test_invisible_text_is_written_out(spark):
+    odd = [p for low, high in markdown._INVISIBLE_RANGES for p in range(low, high + 1)]
+    values = [f"a{chr(p)}b{chr(p)}" for p in odd] + ["plain", "é", "a\x07b\x7f", "\x0b", "\ta\nb\rc", "", None]
+    want = [f"a<U+{p:04X}>b<U+{p:04X}>" for p in odd] + ["plain", "é", "ab", "", "\ta\nb\rc", "", None]
+    assert column(spark, values, markdown.md_visible(F.col("v"))) == want
+    spaced = ["a  b", " a ", "a\u00a0b", "a\t b", "a\u2028b", "a\x1cb", "a b", "\u200b a", "", None]
+    assert column(spark, spaced, markdown.md_one_line(F.col("v"))) == [
+        "a b", "a", "a b", "a b", "a b", "ab", "a b", "<U+200B> a", "", None]
+    # plain text is looked through once, not once for each of the code points
+    plan = spark.range(1).select(markdown.md_visible(F.col("id").cast("string")).alias("t"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("replace(") <= 2
+
+
+def test_shortest_secrets_pass_the_first_look(spark):
+    found = {
+        "email": ["a@b.cc", "a@b.c"],
+        "aws_access_key_id": [k + "A" * 12 for k in ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA", "ANVA")] + ["AKIA"],
+        "private_key_block": ["--BEGINPRIVATE KEY--", "--begin rsa private key--", "-BEGIN PRIVATE KEY-"],
+        "jwt": ["eyJ" + ".".join(["a" * 8] * 3), "eyJ"],
+        "bearer_token": ["token " + "a" * 16, "BEARER\t" + "a" * 16, "token " + "a" * 15],
+        "credential_assignment": ["auth:abcd", "Secret = abcd", "auth abcd"],
+        "slack_or_github_token": [k + "a" * 8 for k in ("xoxa-", "xoxs-", "ghp_", "gho_", "ghs_", "github_pat_")] + ["ghx_" + "a" * 8],
+        "private_key_body": ["MII" + "a" * 40, "MII" + "a" * 39],
+        "base64_blob": ["aA1" * 20, "aA1" * 19 + "aA", "a" * 60],
+    }
+    assert list(found) == [n for n, _ in secrets.SECRET_PATTERNS]
+    for name, values in found.items():
+        pattern = dict(secrets.SECRET_PATTERNS)[name]
+        misses = 2 if name == "base64_blob" else 1
+        hits = column(spark, values, F.array_contains(secrets.secret_names(F.col("v")), name))
+        assert hits == [True] * (len(values) - misses) + [False] * misses
+        if name != "base64_blob":
+            assert hits == column(spark, values, F.col("v").rlike(pattern))
+    assert column(spark, [None], secrets.free_text(F.col("v"))) == [None]
+    # a text that holds none of a pattern's literals is not searched for it
+    plan = spark.range(1).select(secrets.secret_names(F.col("id").cast("string")).alias("t"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in text and "length(" in text
