@@ -177,3 +177,52 @@ def test_metrics_run_the_rule_once(spark, tmp_path, monkeypatch):
     [got] = detect_queries.q_metrics(spark, str(tmp_path)).collect()
     assert (got.rule_id, got.tp, got.fp, got.fn, got.tn, got.alerts_per_10k) == ("D-001", 1, 0, 0, 1, 50.0)
     assert calls == [PortScanParams(distinct_ports=25, distinct_hosts=20)]
+
+
+def test_contributors_are_ranked_where_they_meet(spark, monkeypatch, capsys):
+    """Of rules that look at nothing only samples are stored, the same as those of rows ranked by group; an
+    event is dealt out once for all rules that it serves, and tags are compiled."""
+    rng = random.Random(5)
+    rows = [
+        (f"f{i:03}", START + timedelta(seconds=rng.randrange(3600)), "flow", f"10.0.0.{i % 2}", f"9.9.{i % 7}.{i % 23}", 1000 + i % 31, i % 50)
+        for i in range(600)
+    ]
+    rows += rows[:40] + [("none", None, "flow", "10.0.0.1", "9.9.9.9", 5, 7), ("who", START, "flow", None, "9.9.9.9", 5, 7)]
+    layout = "id string, event_time timestamp, event_type string, src_ip string, dest_ip string, dest_port int, bytes_toserver long"
+    missing = {
+        "pkts_toclient": "bigint", "app_proto": "string", "dns_rcode": "string", "dns_query": "string",
+        "sig_signature": "string", "sig_category": "string", "sig_signature_id": "bigint",
+    }
+    events = spark.createDataFrame(rows, layout).select("*", *[F.lit(None).cast(t).alias(c) for c, t in missing.items()])
+    kept, write = {}, rules_module.stored
+
+    def storing(df, name, by=()):
+        kept[name] = df, write(df, name, by)
+        return kept[name][1]
+
+    monkeypatch.setattr(rules_module, "stored", storing)
+    history = spark.createDataFrame(
+        [(f"10.0.0.{i}", "outbound_bytes_per_hour", 7, 1.0, 1.0, 1.0, 100) for i in range(2)],
+        "address string, metric string, window_days int, mean double, stddev double, p95 double, sample_count long",
+    )
+    volume = replace(RULES["D-005"], params=rules_module.VolumeParams(min_bytes=100))
+    found, _ = run_rules(events, [RULES["D-001"], volume], history)
+    for rule, seconds in (("D-001", 600), ("D-005", 3600)):
+        served = events.filter("src_ip IS NOT NULL AND event_time IS NOT NULL" + (" AND bytes_toserver > 0" if rule == "D-005" else ""))
+        at = F.unix_micros("event_time")
+        grouped = served.select(
+            F.col("src_ip").alias("who"), (F.floor(at / 1_000_000) - F.floor(at / 1_000_000) % seconds).alias("b"),
+            at.alias("us"), "id", F.col("bytes_toserver" if rule == "D-005" else "dest_port").alias("w"),
+        )
+        peak = "w" if rule == "D-005" else None
+        want = {(r.who, r.b): r.samples for r in sample_contributors(grouped, ["who", "b"], "us", "id", 60, 20, peak).collect()}
+        fired = found[rule].select("entity_value", F.unix_seconds("window_bucket").alias("b"), "samples").collect()
+        assert {(r.entity_value, r.b): r.samples for r in fired} == {(r.entity_value, r.b): want[r.entity_value, r.b] for r in fired}
+        assert len(fired) == {"D-001": 12, "D-005": 2}[rule]
+    assert kept["contributors"][1].filter("role IS NULL").count() == 0
+    capsys.readouterr()
+    kept["contributors"][0].explain("simple")
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert plan.count("explode(array_distinct(") >= 1 and "D-001" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    rules_module.tagged(events, [RULES["D-001"], volume], every=True).explain("simple")
+    assert "lambda" not in capsys.readouterr().out
